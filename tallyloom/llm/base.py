@@ -49,6 +49,17 @@ def save(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of at most a few numbers each that may be broadcast.
+SMALL_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """Hint a broadcast if a count shows at most ``rows`` rows, else leave it to a shuffle join."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of finished steps."""
     import gc

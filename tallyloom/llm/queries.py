@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, tokenbin
+from . import bpe, decontam, neardup, tokenbin, vptree
 
 
 def _vocab(name: str) -> str:
@@ -25,6 +25,19 @@ def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return vptree.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.round_trip(_table(spark, sf_dir, "documents"), _vocab("byte_bpe_50k.json"))
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
@@ -32,7 +45,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_token_binary": op4_token_binary,
+    "op6_near_duplicates": op6_near_duplicates,
+    "op7_decontamination": op7_decontamination,
+    "op8_nearest": op8_nearest,
     "op10_bpe": op10_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_decontamination": decontam.ORACLE,
+}
