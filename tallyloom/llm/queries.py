@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, neardup, tokenbin, vptree
+from . import bpe, decontam, neardup, secrets, tokenbin, vptree
 
 
 def _vocab(name: str) -> str:
@@ -20,6 +20,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    spans = F.col("secrets")
+    return found.select(
+        "doc_id",
+        *[secrets.count_of(spans, kind).alias(f"n_{kind}") for kind in secrets.KINDS[:3]],
+        F.sha2(F.encode(secrets.joined(spans, secrets.KINDS[:3]), "UTF-8"), 256).alias("base_sha256"),
+        secrets.joined(spans, secrets.KINDS).alias("spans"),
+    )
+
+
 def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tokenbin.tokenize_to_files(_table(spark, sf_dir, "documents"), _vocab("word_bpe_49k.json"), end_id=1)
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -44,6 +55,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_secrets": op2_secrets,
     "op4_token_binary": op4_token_binary,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_decontamination": op7_decontamination,

@@ -94,35 +94,36 @@ def write_shards(docs: DataFrame, vocab_path: str, folder: str, end_id: int, id_
     filesystem, root = _open(folder)
     filesystem.create_dir(root, recursive=True)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        shard, attempt = context.partitionId(), context.taskAttemptId()
-        store, base = _open(folder)
-        path, name = f"{base}/.shard-{shard:06d}-{attempt}", f"shard-{shard:06d}-{attempt}.tlm"
-        encoder, end = WordEncoder(vocab_path, width), np.array([end_id], dtype=f"<u{width}").tobytes()
-        lengths: list[np.ndarray] = []
-        keys: list[np.ndarray] = []
-        n_null, out = 0, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            out = out or store.open_output_stream(path)
-            ids = [encoder.encode(t) + end for t in batch.column(1).to_pylist()]
-            out.write(b"".join(ids))
-            lengths.append(np.array([len(x) // width for x in ids], dtype=np.int64))
-            n_null += batch.column(0).null_count
-            keys.append(batch.column(0).drop_null().to_numpy(zero_copy_only=False))
-        if out is None:
-            return
-        bounds = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
-        codes = [EliasFano.of(bounds).to_bytes(), EliasFano.of(np.concatenate(keys)).to_bytes()]
-        n_docs, n_ids = len(bounds) - 1, int(bounds[-1])
-        out.write(codes[0] + codes[1] + _TRAILER.pack(MAGIC, width, n_docs, n_null, n_ids, len(codes[0]), len(codes[1])))
-        out.close()
-        store.move(path, f"{base}/{name}")
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"{folder}/{name}"], "n_docs": [n_docs], "n_ids": [n_ids]})
-
-    return save(source.mapInArrow(work, "shard int, path string, n_docs long, n_ids long"))
+    return save(source.mapInArrow(lambda batches: _write(batches, folder, vocab_path, width, end_id), "shard int, path string, n_docs long, n_ids long"))
+
+
+def _write(batches: Iterator[pa.RecordBatch], folder: str, vocab_path: str, width: int, end_id: int) -> Iterator[pa.RecordBatch]:
+    context = TaskContext.get()
+    shard, attempt = context.partitionId(), context.taskAttemptId()
+    store, base = _open(folder)
+    path, name = f"{base}/.shard-{shard:06d}-{attempt}", f"shard-{shard:06d}-{attempt}.tlm"
+    encoder, end = WordEncoder(vocab_path, width), np.array([end_id], dtype=f"<u{width}").tobytes()
+    lengths: list[np.ndarray] = []
+    keys: list[np.ndarray] = []
+    n_null, out = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        out = out or store.open_output_stream(path)
+        ids = [encoder.encode(t) + end for t in batch.column(1).to_pylist()]
+        out.write(b"".join(ids))
+        lengths.append(np.array([len(x) // width for x in ids], dtype=np.int64))
+        n_null += batch.column(0).null_count
+        keys.append(batch.column(0).drop_null().to_numpy(zero_copy_only=False))
+    if out is None:
+        return
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+    codes = [EliasFano.of(bounds).to_bytes(), EliasFano.of(np.concatenate(keys)).to_bytes()]
+    n_docs, n_ids = len(bounds) - 1, int(bounds[-1])
+    out.write(codes[0] + codes[1] + _TRAILER.pack(MAGIC, width, n_docs, n_null, n_ids, len(codes[0]), len(codes[1])))
+    out.close()
+    store.move(path, f"{base}/{name}")
+    yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"{folder}/{name}"], "n_docs": [n_docs], "n_ids": [n_ids]})
 
 
 def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:

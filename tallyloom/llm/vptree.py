@@ -178,7 +178,7 @@ def build_index(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFr
     sizes = rows.groupBy("dim").agg(F.count("*").alias("n")).withColumn("shards", F.ceil(F.col("n") / shard_rows)).drop("n")
     dealt = rows.join(F.broadcast(sizes), "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
 
-    def make(key, table: pa.Table) -> pa.Table:
+    def make(key, table):
         dim, shard, shards = (x.as_py() for x in key)
         tree = build(table["vec_id"].to_numpy(), _matrix(table["v"], dim), k)
         return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int32()), "shards": pa.array([shards], pa.int64()), "tree": pa.array([_pack(**tree)], pa.binary())})
@@ -203,7 +203,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     asked = usable(queries, id_col, vector_col).dropDuplicates(["vec_id"])
     blocks = max(1, -(-asked.count() // QUERY_ROWS))
 
-    def block(key, table: pa.Table) -> pa.Table:
+    def block(key, table):
         dim, number = (x.as_py() for x in key)
         data = _pack(ids=table["vec_id"].to_numpy(), v=_matrix(table["v"], dim))
         return pa.table({"dim": pa.array([dim], pa.int32()), "block": pa.array([number], pa.int32()), "asked": pa.array([data], pa.binary())})
@@ -214,7 +214,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     packed = save(packed.join(shards, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), (F.col("shards") - 1).cast("int")))).drop("shards"))
     tasks = packed.join(index.drop("shards"), ["dim", "shard"])
 
-    def find(table: pa.Table) -> pa.Table:
+    def find(table):
         parts = []
         for tree, data in zip(table["tree"].to_pylist(), table["asked"].to_pylist(), strict=True):
             q = _unpack(data)
