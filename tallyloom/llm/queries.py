@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, neardup, secrets, tokenbin, vptree
+from . import bpe, decontam, langid, neardup, secrets, tokenbin, vptree
 
 
 def _vocab(name: str) -> str:
@@ -20,6 +20,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs, ~langid.held_out())
+    found = langid.predict(docs.select("doc_id", "text", langid.held_out().alias("held_out")), model, keep=["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
     spans = F.col("secrets")
@@ -55,6 +62,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language": op1_language,
     "op2_secrets": op2_secrets,
     "op4_token_binary": op4_token_binary,
     "op6_near_duplicates": op6_near_duplicates,
