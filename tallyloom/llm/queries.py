@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, neardup, secrets, tokenbin, vptree
+from . import bpe, decontam, hpylm, langid, neardup, secrets, tokenbin, vptree
 
 
 def _vocab(name: str) -> str:
@@ -43,6 +43,10 @@ def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(_table(spark, sf_dir, "documents"), langid.held_out(parts=7))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op1_language": op1_language,
     "op2_secrets": op2_secrets,
     "op4_token_binary": op4_token_binary,
+    "op5_language_model": op5_language_model,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_decontamination": op7_decontamination,
     "op8_nearest": op8_nearest,
