@@ -7,10 +7,11 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, hpylm, langid, neardup, secrets, tokenbin, vptree
+from . import bpe, decontam, hpylm, langid, licenses, neardup, quality, secrets, tokenbin, vptree
 
 
-def _vocab(name: str) -> str:
+def vocabulary(name: str) -> str:
+    """Where a tokenizer file is: in TALLYLOOM_TOKENIZERS if set, else in the installed package."""
     import public_tokenizers
 
     return os.environ.get("TALLYLOOM_TOKENIZERS", "") and os.path.join(os.environ["TALLYLOOM_TOKENIZERS"], name) or public_tokenizers.path(name)
@@ -38,8 +39,13 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = quality.good(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality.resample(docs, F.col("target"))
+
+
 def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tokenbin.tokenize_to_files(_table(spark, sf_dir, "documents"), _vocab("word_bpe_49k.json"), end_id=1)
+    found = tokenbin.tokenize_to_files(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -60,19 +66,28 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(_table(spark, sf_dir, "documents"))
+    names = F.array_join(F.array_sort(F.array_distinct(F.col("licenses.license"))), ",")
+    spans = F.array_join(F.transform("licenses", lambda m: F.concat_ws(":", m["license"], m["start"].cast("string"), m["end"].cast("string"))), ",")
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_matches"), names.alias("licenses"), spans.alias("spans"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bpe.round_trip(_table(spark, sf_dir, "documents"), _vocab("byte_bpe_50k.json"))
+    found = bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
 QUERIES = {
     "op1_language": op1_language,
     "op2_secrets": op2_secrets,
+    "op3_quality": op3_quality,
     "op4_token_binary": op4_token_binary,
     "op5_language_model": op5_language_model,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_decontamination": op7_decontamination,
     "op8_nearest": op8_nearest,
+    "op9_licenses": op9_licenses,
     "op10_bpe": op10_bpe,
 }
 
