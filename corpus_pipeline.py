@@ -1,7 +1,87 @@
-"""Placeholder until the stages exist."""
-STAGES = []
+"""The corpus pipeline: five stages from raw documents to token ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and
+read again as the next stage's documents. All stages but the last return the
+columns of the documents as they came, whatever further columns these have.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyloom.llm import bpe, decontam, langid, neardup, secrets
+from tallyloom.llm.base import save, small_side
+from tallyloom.llm.queries import vocabulary
+
+#: A predicted language's least share of the softmax over all languages.
+LEAST_SCORE = 0.4
+#: Near duplicates on word shingles take five words.
+SHINGLE_WORDS = 5
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """Columns under names that clash with nothing, and those names by column."""
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the model knows; texts without letters and texts like none go.
+
+    The model learns from a bounded sample of the labelled documents.
+    """
+    model = langid.fit(docs)
+    held, names = _numbered(docs)
+    found = langid.predict(held, model, text_col=names["text"], keep=list(names.values()))
+    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, the one with the smallest id."""
+    found = neardup.near_duplicates(docs, width=SHINGLE_WORDS)
+    gone = save(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(small_side(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret in their texts replaced, and ``n_chars`` to match."""
+    held, names = _numbered(docs)
+    found = secrets.find_secrets(held, text_col=names["text"], keep=[n for c, n in names.items() if c != "text"], redact=True)
+    new = {"text": F.col("redacted"), "n_chars": F.coalesce(F.length("redacted").cast("long"), F.col(names.get("n_chars", "redacted")).cast("long"))}
+    return found.select(*[new.get(c, F.col(n)).alias(c) for c, n in names.items()])
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id``, ``lang``, ``source``, ``n_tokens``, ``ids``, and whether decoding gave the text back."""
+    found = bpe.round_trip(docs, vocabulary("byte_bpe_50k.json"), keep=["doc_id", "lang", "source", "text"])
+    same = F.coalesce(F.col("decoded") == F.col("text"), F.col("decoded") == "")
+    return found.select("doc_id", "lang", "source", "n_tokens", "ids", same.alias("round_trip"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("token_ids", token_ids),
+]
+
+#: SQL can express neither the language model nor the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table of documents, each but the last written to the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = save(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
