@@ -8,8 +8,9 @@
 2. Documents with equal sets are one class; the smallest id stands for it. Only
    representatives go on, so thousands of copies cost one row each.
 3. Representatives that share a band are compared with the smallest of that
-   bucket (a star, never all pairs), on full sets; verified links are united.
-4. Members of a bucket that are still in different components are compared with
+   bucket (a star, never all pairs), on full sets, and take the smallest
+   label over verified links.
+4. Members of a bucket that still have different labels are compared with
    each other if they share a second band too. Two documents at the
    threshold share two of the 32 bands but for a chance of about one in a
    million, while those that share just a passage rarely do.
@@ -147,25 +148,22 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (the smallest node reachable) of edges (a, b).
 
-    Alternating large-star and small-star rounds (Kiveris et al. 2014); each
-    round's edges are written to the shared scratch folder. The driver sees
-    two counts a round.
+    Alternating large-star and small-star rounds (Kiveris et al. 2014), until every
+    node hangs on one root; each round's edges are written to the shared scratch
+    folder. The driver sees one count a round.
     """
-    spark = edges.sparkSession
     now = save(edges.where("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct())
-    before = None
     while True:
+        roles = now.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("child")), F.struct(F.col("v").alias("node"), F.lit(0).alias("child")))).alias("r")).select("r.*")
+        uneven = roles.groupBy("node").agg(F.sum("child").alias("up"), F.min("child").alias("root")).where("up > 1 or up = 1 and root = 0")
+        if uneven.isEmpty():
+            break
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         now = save(small.where("u <> v").distinct())
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
-        if mark == before:
-            break
-        before = mark
-    free_shuffles(spark)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
@@ -188,35 +186,36 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, bands: i
     full = sig.where("n_shingles > 0 and doc_id is not null")
     reps = save(full.groupBy("key1", "key2").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")))
     flat = reps.select("rep", "n", F.explode("bands").alias("band"))
-    shared = flat.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("m")).where("m > 1").drop("m")
+    first = F.min(F.struct("rep", "n")).alias("first")
+    shared = flat.groupBy("band").agg(first, F.count("*").alias("m")).where("m > 1").select("band", F.col("first.rep").alias("leader"), F.col("first.n").alias("na"))
     buckets = save(flat.join(shared, "band"))
     free_shuffles(spark)
 
     near = f"100 * least(n, na) >= {int(percent)} * greatest(n, na)"
-    leaders = buckets.where("rep = leader").select(F.col("leader").alias("l"), F.col("n").alias("na"), F.col("band").alias("band_l"))
-    star = buckets.where("rep <> leader").join(leaders, F.col("band") == F.col("band_l")).where(near)
-    star = save(star.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
+    star = save(buckets.where("rep <> leader").where(near).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
     links = save(verify(star, _sets_of(star, source, width), percent))
-    first = components(links)
-
-    labelled = buckets.join(first, buckets.rep == first.node, "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    torn = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    rest = labelled.join(torn, "band", "left_semi")
-    second = rest.join(buckets.select("rep", F.col("band").alias("other")), "rep").where("band < other")
-    keyed = save(second.select(F.xxhash64("band", "other").alias("key"), "rep", "n", "component").distinct())
-    mixed = keyed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    keyed = keyed.join(mixed, "key", "left_semi")
-    right = keyed.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    pairs = keyed.join(right, "key").where((F.col("a") < F.col("rep")) & (F.col("ca") != F.col("component"))).where(near)
-    pairs = pairs.select("a", F.col("rep").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    pairs = save(pairs)
-    more = save(verify(pairs, _sets_of(pairs, source, width), percent))
     free_shuffles(spark)
+
+    # Two hops towards the smallest leader label most of a component alike; what they miss costs a pair, not a link.
+    hop = save(links.groupBy("b").agg(F.min("a").alias("a")))
+    label = hop.alias("x").join(small_side(hop).alias("y"), F.col("x.a") == F.col("y.b"), "left").select(F.col("x.b").alias("node"), F.coalesce("y.a", "x.a").alias("label"))
+    labelled = buckets.join(small_side(save(label)), F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
+    torn = save(labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band"))
+    rest = save(labelled.join(small_side(torn), "band", "left_semi"))
+    second = reps.join(small_side(rest), "rep").select("rep", "n", "label", "band", F.explode("bands").alias("other")).where("band <> other")
+    keyed = second.select(F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("key"), "rep", "n", "label").distinct()
+    keyed = save(keyed)
+    mixed = save(keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"))
+    keyed = keyed.join(small_side(mixed), "key", "left_semi")
+    right = keyed.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("other"))
+    pairs = keyed.join(right, "key").where((F.col("a") < F.col("rep")) & (F.col("other") != F.col("label"))).where(near)
+    pairs = save(pairs.select("a", F.col("rep").alias("b")).distinct())
+    more = verify(pairs, _sets_of(pairs, source, width), percent)
     final = components(links.unionByName(more))
 
-    member = full.select("key1", "key2", "doc_id").join(reps.select("key1", "key2", "rep"), ["key1", "key2"])
-    class_of = member.groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    found = class_of.join(final, class_of.rep == final.node, "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    out = sig.select("doc_id", "n_shingles").join(found, "doc_id", "left")
-    group = F.coalesce("component_id", "doc_id")
+    named = F.col("n_shingles") > 0
+    classes = reps.select(F.col("key1").alias("k1"), F.col("key2").alias("k2"), "rep")
+    member = sig.select("doc_id", "n_shingles", "key1", "key2").join(classes, named & F.col("doc_id").isNotNull() & (F.col("key1") == F.col("k1")) & (F.col("key2") == F.col("k2")), "left")
+    out = member.join(small_side(final), F.col("rep") == F.col("node"), "left")
+    group = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", group.alias("component_id"), F.coalesce(F.col("doc_id") == group, F.lit(True)).alias("kept"))
