@@ -11,7 +11,10 @@
    bucket (a star, never all pairs), on full sets, and take the smallest
    label over verified links.
 4. Members of a bucket that still have different labels are compared with
-   each other if they share a second band too. Two documents at the
+   each other if they share a second band too: as pairs where few
+   share both bands, else in blocks of the family that such buckets form, where
+   a matrix product of each pair of blocks gives the links and no
+   pair is ever a row. Two documents at the
    threshold share two of the 32 bands but for a chance of about one in a
    million, while those that share just a passage rarely do.
 5. Links are united by large-star and small-star rounds, each written to the
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +36,8 @@ from .base import distinct, free_shuffles, mix, pieces, prepare, save, shingles,
 BANDS, ROWS = 32, 4
 _GOLD = 0x9E3779B97F4A7C15
 _U = np.uint64
+#: Members of a bucket that are compared as pairs; those of larger ones, by blocks.
+FEW, BLOCK = 64, 1024
 #: Elements times places that one step of signature making may hold.
 _CELLS = 32_000_000
 
@@ -167,6 +173,63 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _families(many: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links across labels in families, the components of buckets with many members.
+
+    A family is cut into blocks, and each pair of blocks is a task of its own that
+    compares their sets by a matrix product and returns the links alone.
+    """
+    family = components(many.select("a", "b"))
+    labels = many.groupBy(F.col("b").alias("rep")).agg(F.min("label").alias("label"))
+    member = save(family.join(labels, F.col("node") == F.col("rep")).select("component", "rep", "label"))
+    size = member.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sets = _sets_of(member.select(F.col("rep").alias("a"), F.col("rep").alias("b")), source, width)
+    rows = member.join(size, "component").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own"), "rep", "label", "shingles")
+
+    def compare(key, table):
+        i, j = key[1].as_py(), key[2].as_py()
+        own, rep, label = table["own"].to_numpy(), table["rep"].to_numpy(), table["label"].to_numpy()
+        lists = table["shingles"].combine_chunks()
+        a, b = links_between(lists, np.flatnonzero(own == i), np.flatnonzero(own == j), label, percent)
+        return pa.table({"a": pa.array(np.minimum(rep[a], rep[b]), pa.int64()), "b": pa.array(np.maximum(rep[a], rep[b]), pa.int64())})
+
+    return rows.groupBy("component", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def links_between(lists: pa.ListArray, left: np.ndarray, right: np.ndarray, label: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (a, b) of linked sets, one of each side, with different labels."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    size = np.asarray(pc.list_value_length(lists)).astype(np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    _, code, n = np.unique(flat, return_inverse=True, return_counts=True)
+    common = n[code] > 1  # others are in no intersection
+    code, row = code[common], row[common]
+    order = np.argsort(code, kind="stable")
+    code, row = code[order], row[order]
+    code = np.cumsum(np.concatenate([[0], code[1:] != code[:-1]])) if len(code) else code
+    place_l, place_r = np.full(len(size), -1), np.full(len(size), -1)
+    place_l[left], place_r[right] = np.arange(len(left)), np.arange(len(right))
+    both = np.zeros((len(left), len(right)), dtype=np.float32)
+    step = 4096
+    edges = np.searchsorted(code, np.arange(0, (int(code[-1]) if len(code) else 0) + step + 1, step))
+    for k in range(len(edges) - 1):
+        c, r = code[edges[k] : edges[k + 1]] - k * step, row[edges[k] : edges[k + 1]]
+        x, y = np.zeros((len(left), step), np.float32), np.zeros((len(right), step), np.float32)
+        on = place_l[r] >= 0
+        x[place_l[r[on]], c[on]] = 1
+        on = place_r[r] >= 0
+        y[place_r[r[on]], c[on]] = 1
+        both += x @ y.T
+    union = size[left][:, None] + size[right][None, :] - both
+    a, b = np.nonzero((both * 100 >= union * percent) & (label[left][:, None] != label[right][None, :]))
+    return left[a], right[b]
+
+
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate groups: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -205,12 +268,16 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, bands: i
     second = reps.join(small_side(rest), "rep").select("rep", "n", "label", "band", F.explode("bands").alias("other")).where("band <> other")
     keyed = second.select(F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("key"), "rep", "n", "label").distinct()
     keyed = save(keyed)
-    mixed = save(keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"))
-    keyed = keyed.join(small_side(mixed), "key", "left_semi")
-    right = keyed.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("other"))
-    pairs = keyed.join(right, "key").where((F.col("a") < F.col("rep")) & (F.col("other") != F.col("label"))).where(near)
+    mixed = keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), F.min("rep").alias("first"))
+    mixed = save(mixed.where("lo <> hi").select("key", "m", "first"))
+    few = keyed.join(small_side(mixed.where(F.col("m") <= FEW)), "key", "left_semi")
+    right = few.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("other"))
+    pairs = few.join(right, "key").where((F.col("a") < F.col("rep")) & (F.col("other") != F.col("label"))).where(near)
     pairs = save(pairs.select("a", F.col("rep").alias("b")).distinct())
     more = verify(pairs, _sets_of(pairs, source, width), percent)
+    many = save(keyed.join(small_side(mixed.where(F.col("m") > FEW)), "key").select(F.col("first").alias("a"), F.col("rep").alias("b"), "label").distinct())
+    if not many.isEmpty():
+        more = more.unionByName(_families(many, source, width, percent))
     final = components(links.unionByName(more))
 
     named = F.col("n_shingles") > 0
