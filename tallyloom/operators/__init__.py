@@ -1 +1 @@
-"""See the package README."""
+"""DataFrame-to-DataFrame operators: provenance, intervals, dedup, windows, aggregates, resolution, graphs."""
