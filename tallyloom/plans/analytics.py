@@ -428,21 +428,22 @@ def era_filter(spark, sf_dir):
 
 # --- rules and text ----------------------------------------------------------
 
-_DOC_RULES = [
-    rules.Rule("notice", r"(?i)all rights reserved", F.length("text") < 1200),
-    rules.Rule("permissive", r"(?i)apache|mit license|bsd"),
-    rules.Rule("license", r"(?i)licen[sc]e|copyright"),
-    rules.Rule("shouting", r"[A-Z]{5,}"),
-    rules.Rule("phone", r"[0-9]{3}-[0-9]{4}"),
-    rules.Rule("english", r"(?i)\bthe\b", F.length("text") > 300),
-]
+def _doc_rules() -> list[rules.Rule]:
+    return [
+        rules.Rule("notice", r"(?i)all rights reserved", F.length("text") < 1200),
+        rules.Rule("permissive", r"(?i)apache|mit license|bsd"),
+        rules.Rule("license", r"(?i)licen[sc]e|copyright"),
+        rules.Rule("shouting", r"[A-Z]{5,}"),
+        rules.Rule("phone", r"[0-9]{3}-[0-9]{4}"),
+        rules.Rule("english", r"(?i)\bthe\b", F.length("text") > 300),
+    ]
 
 
 @query(r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)all rights reserved') AND length(text) < 1200 THEN 'notice' WHEN regexp_matches(text, '(?i)apache|mit license|bsd') THEN 'permissive'
 WHEN regexp_matches(text, '(?i)licen[sc]e|copyright') THEN 'license' WHEN regexp_matches(text, '[A-Z]{5,}') THEN 'shouting' WHEN regexp_matches(text, '[0-9]{3}-[0-9]{4}') THEN 'phone'
 WHEN regexp_matches(text, '(?i)(^|[^a-zA-Z0-9_])the($|[^a-zA-Z0-9_])') AND length(text) > 300 THEN 'english' ELSE 'other' END AS kind FROM documents""")
 def rule_classifier(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", rules.first_match(F.col("text"), _DOC_RULES, "other").alias("kind"))
+    return table(spark, sf_dir, "documents").select("doc_id", rules.first_match(F.col("text"), _doc_rules(), "other").alias("kind"))
 
 
 @query(r"""SELECT p_partkey, coalesce(CASE WHEN regexp_matches(p_name, '^[a-m]') THEN 'early' WHEN regexp_matches(p_name, '^[n-r]') THEN 'middle' END, CASE WHEN regexp_matches(p_name, 'green|red') THEN 'colour' END, 'other') AS verb FROM part""")
