@@ -266,16 +266,19 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, bands: i
     torn = save(labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band"))
     rest = save(labelled.join(small_side(torn), "band", "left_semi"))
     second = reps.join(small_side(rest), "rep").select("rep", "n", "label", "band", F.explode("bands").alias("other")).where("band <> other")
-    keyed = second.select(F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("key"), "rep", "n", "label").distinct()
-    keyed = save(keyed)
-    mixed = keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), F.min("rep").alias("first"))
-    mixed = save(mixed.where("lo <> hi").select("key", "m", "first"))
+    low, high = F.least("band", "other"), F.greatest("band", "other")
+    keyed = save(second.select(F.xxhash64(low, high).alias("key"), low.alias("low"), high.alias("high"), "rep", "n", "label").distinct())
+    mixed = keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), F.min("low").alias("low"), F.min("high").alias("high"))
+    mixed = save(mixed.where("lo <> hi").select("key", "m", "low", "high"))
     few = keyed.join(small_side(mixed.where(F.col("m") <= FEW)), "key", "left_semi")
     right = few.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("other"))
     pairs = few.join(right, "key").where((F.col("a") < F.col("rep")) & (F.col("other") != F.col("label"))).where(near)
     pairs = save(pairs.select("a", F.col("rep").alias("b")).distinct())
     more = verify(pairs, _sets_of(pairs, source, width), percent)
-    many = save(keyed.join(small_side(mixed.where(F.col("m") > FEW)), "key").select(F.col("first").alias("a"), F.col("rep").alias("b"), "label").distinct())
+    crowded = mixed.where(F.col("m") > FEW).select(F.explode(F.array("low", "high")).alias("band")).distinct()
+    many = save(rest.join(small_side(crowded), "band", "left_semi"))
+    heads = many.groupBy("band").agg(F.min("rep").alias("a"))
+    many = many.join(small_side(heads), "band").select("a", F.col("rep").alias("b"), "label").distinct()
     if not many.isEmpty():
         more = more.unionByName(_families(many, source, width, percent))
     final = components(links.unionByName(more))
