@@ -22,10 +22,16 @@ def later_names(edges: DataFrame, hops: int = 4) -> DataFrame:
     return found
 
 
-def successors(splits: list[tuple[str, str, int]], name: str, year: int | None) -> list[str]:
-    """What a place at a year has become: itself and all split off after that year.
+Split = tuple[str, str, int]
 
-    Without a year every split applies. ``splits`` is a small dimension in code.
+
+def successors(splits: list[Split], name: str, year: int | None, defunct: frozenset[str] = frozenset(), always: dict[str, list[str]] | None = None) -> list[str]:
+    """What a place named in a year has become, in order of discovery.
+
+    Itself, unless it is ``defunct``, and what was split off after that year, and so on
+    from the later of both years; without a year every split applies. ``always`` lists
+    parts that belong to a name in any year. A defunct place named after all its splits
+    stands for all its parts. ``splits`` is a small dimension in code.
     """
     out, todo, seen = [], [(name, year)], set()
     while todo:
@@ -33,12 +39,16 @@ def successors(splits: list[tuple[str, str, int]], name: str, year: int | None)
         if place in seen:
             continue
         seen.add(place)
-        out.append(place)
-        todo += [(child, split if since is None else max(since, split)) for parent, child, split in splits if parent == place and (since is None or split > since)]
+        if place not in defunct:
+            out.append(place)
+        parts = [(child, split) for parent, child, split in splits if parent == place and (since is None or since < split)]
+        todo += [(child, None if since is None else max(since, split)) for child, split in parts]
+        todo += [(child, since) for child in (always or {}).get(place, [])]
+        if place in defunct and not parts and place not in (always or {}):
+            todo += [(child, since) for parent, child, _ in splits if parent == place]
     return out
 
 
-def successor_table(splits: list[tuple[str, str, int]], years: list[int | None]) -> list[tuple[str, int | None, list[str]]]:
-    """The closure for every parent and year, as rows of a dimension to broadcast."""
-    parents = list(dict.fromkeys(p for p, _, _ in splits))
-    return [(p, y, successors(splits, p, y)) for p in parents for y in years]
+def successor_table(splits: list[Split], names: list[str], years: list[int | None], **options) -> list[tuple[str, int | None, list[str]]]:
+    """The closure for every name and year, as rows of a dimension to broadcast."""
+    return [(n, y, successors(splits, n, y, **options)) for n in names for y in years]
