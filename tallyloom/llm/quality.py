@@ -77,7 +77,7 @@ def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
         for batch in batches:
             for first, n, bucket, row in _buckets(batch.column(1)):
                 size = np.bincount(row, minlength=n)
-                total = np.bincount(row, ratio[bucket], minlength=n)
+                total = np.bincount(row, ratio[bucket], minlength=n).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(size, pa.int64()), pa.array(total), pa.array(total / np.maximum(1, size))], names=["doc_id", "n_grams", "log_ratio", "weight"])
 
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_grams long, log_ratio double, weight double")
