@@ -289,3 +289,16 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, bands: i
     out = member.join(small_side(final), F.col("rep") == F.col("node"), "left")
     group = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", group.alias("component_id"), F.coalesce(F.col("doc_id") == group, F.lit(True)).alias("kept"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+sn AS (SELECT doc_id, sh, n FROM s JOIN n USING (doc_id)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sn a JOIN sn b ON a.sh = b.sh AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(doc, comp) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.comp FROM r JOIN l ON r.doc = l.a),
+c AS (SELECT doc, min(comp) AS comp FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, comp AS component_id, doc_id = comp AS kept FROM documents LEFT JOIN n USING (doc_id) JOIN c ON c.doc = doc_id
+"""

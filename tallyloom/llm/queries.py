@@ -92,5 +92,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_near_duplicates": neardup.ORACLE,
     "op7_decontamination": decontam.ORACLE,
 }
