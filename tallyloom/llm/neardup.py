@@ -37,7 +37,7 @@ BANDS, ROWS = 32, 4
 _GOLD = 0x9E3779B97F4A7C15
 _U = np.uint64
 #: Members of a bucket that are compared as pairs; those of larger ones, by blocks.
-FEW, BLOCK = 64, 1024
+FEW, BLOCK = 16, 1024
 #: Elements times places that one step of signature making may hold.
 _CELLS = 32_000_000
 

@@ -325,7 +325,7 @@ def test_near_duplicate_chain_and_crowd(spark, monkeypatch):
     rows += [(1000 + i, " ".join(base[i * 4 : i * 4 + 60])) for i in range(12)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_groups(rows)
-    for few in (64, 2):
+    for few in (16, 2):
         monkeypatch.setattr(neardup, "FEW", few)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs).collect()}
         assert got == want
