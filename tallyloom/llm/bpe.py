@@ -35,7 +35,7 @@ WINDOW = 16
 CHUNK_BITS = 9
 MAX_CHUNK = 8192
 #: A task forgets its chunks beyond so many characters.
-CACHE_CHARS = 24_000_000
+CACHE_CHARS = 8_000_000
 
 
 def cuts(text: str) -> list[int]:

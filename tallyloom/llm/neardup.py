@@ -39,7 +39,7 @@ _U = np.uint64
 #: Members of a bucket that are compared as pairs; those of larger ones, by blocks.
 FEW, BLOCK = 16, 1024
 #: Elements times places that one step of signature making may hold.
-_CELLS = 32_000_000
+_CELLS = 8_000_000
 
 
 def superminhash(elements: np.ndarray, row: np.ndarray, n_rows: int, places: int) -> np.ndarray:
@@ -69,7 +69,7 @@ def superminhash(elements: np.ndarray, row: np.ndarray, n_rows: int, places: int
         stay = open_rows[at]
         if perm is None:
             live, at, k = live[stay], at[stay], k[stay]
-            perm = np.tile(np.arange(places, dtype=np.uint16), (len(live), 1))
+            perm = np.tile(np.arange(places, dtype=np.uint8 if places <= 256 else np.uint16), (len(live), 1))
             perm[np.arange(len(live)), k] = 0
         elif not stay.all():
             live, at, perm = live[stay], at[stay], perm[stay]

@@ -20,9 +20,9 @@ import regex
 #: The splitting patterns of the two vocabularies' files.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Entries of one generation of a cache of tokens and of longer pieces; two
-#: generations are held, together about 250 MB at most.
-TOKENS, PIECES = 400_000, 200_000
+#: Entries of one generation of a cache: of tokens of the vocabulary with word ends, of tokens of
+#: the other one, and of longer pieces. Two generations are held, about 200 bytes an entry.
+WORD_TOKENS, BYTE_TOKENS, PIECES = 400_000, 120_000, 120_000
 _OTHER = re.compile(r"[^\x00-ɏ]|[İ\x85\xa0\x1c-\x1f]|<\|")
 
 
@@ -66,7 +66,7 @@ class PieceEncoder:
         self.words, self.dtype = words, np.dtype(dtype)
         self.split = regex.compile(WORD_PATTERN if words else BYTE_PATTERN).findall
         self.table = byte_characters()
-        self.tokens = Cache(TOKENS)
+        self.tokens = Cache(WORD_TOKENS if words else BYTE_TOKENS)
         self.code = {1: "B", 2: "H", 4: "I"}[self.dtype.itemsize]
 
     def library(self, text: str) -> bytes:
