@@ -14,6 +14,12 @@ weight ``S_d(c, t) * a**t`` (generalized Stirling numbers), and is drawn from it
 short runs. Probabilities are averaged over the kept samples. Discounts are
 ``n1 / (n1 + 2 n2)`` of each level's counts.
 
+A second seating has a word restaurant for every previous word (a text's first word
+follows its end), all sharing a unigram parent whose customers are their tables, above
+the same spellings. It gives ``context_score``. Its pairs of words are counted exactly,
+by 64-bit hashes of both words, pre-aggregated by block; a pair that occurs once has one
+table, so only the others are seated again, by joins on either word.
+
 Words are counted exactly, over all training texts. The words of a block of
 documents are numbered there; counts and probabilities go back to the blocks
 by a join on the word, so no table of words is ever broadcast. What the driver and
@@ -23,6 +29,7 @@ and sent as the rows of contexts that occurred.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
@@ -49,6 +56,8 @@ END_BASE = 1e-3
 EXACT = 64
 #: Kept samples of the seating of words, and sweeps over spellings for each.
 SAMPLES, SWEEPS, KEPT = 2, 6, 3
+#: Seatings drawn before the first kept one.
+BURN = 1
 
 
 # --- seating -----------------------------------------------------------------
@@ -224,24 +233,42 @@ def _larger(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[p
 
 # --- passes over the corpus --------------------------------------------------
 
-_BLOCKS = "block long, doc_id long, held_out boolean, n_tokens long, ids binary, word binary, local int, c long"
+_BLOCKS = "block long, doc_id long, held_out boolean, n_tokens long, ids binary, word binary, local int, c long, u long, w long"
+#: Rows of an Arrow batch of word pairs.
+_PAIR_ROWS = 65536
+
+
+def hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words."""
+    return np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in words), np.int64)
+
+
+def pair_keys(ids: np.ndarray, end: int, size: int) -> np.ndarray:
+    """Each token's pair (previous word, word) as one number; a text's first word follows its end."""
+    previous = np.concatenate([[end], ids[:-1]]).astype(np.int64)
+    return previous * size + ids
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number the words of blocks of documents; rows of documents and of words."""
+    """Number the words and word pairs of blocks of documents; rows of documents, of words and of pairs.
+
+    A pair is numbered by its place among the block's sorted pairs; ``local`` is -1 less that.
+    """
     codec = pa.Codec("zstd", 1)
     number: defaultdict[bytes, int] = defaultdict(count().__next__)
     docs: list[tuple] = []
     train: list[np.ndarray] = []
+    other: list[np.ndarray] = []
     tokens = 0
 
-    def flush() -> pa.RecordBatch:
+    def flush() -> Iterator[pa.RecordBatch]:
         nonlocal number, tokens
         block, n, m = uuid.uuid4().int >> 66, len(docs), len(number)
         c = np.bincount(np.concatenate(train), minlength=m) if train else np.zeros(m, np.int64)
         doc = list(zip(*docs, strict=True))
         blank = pa.nulls
-        out = pa.RecordBatch.from_arrays(
+        h, end = hashes(list(number)), number[b""]
+        yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.full(n + m, block)),
                 pa.concat_arrays([pa.array(doc[0], pa.int64()), blank(m, pa.int64())]),
@@ -251,14 +278,32 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.concat_arrays([blank(n, pa.binary()), pa.array(list(number), pa.binary())]),
                 pa.concat_arrays([blank(n, pa.int32()), pa.array(np.arange(m, dtype=np.int32))]),
                 pa.concat_arrays([blank(n, pa.int64()), pa.array(c.astype(np.int64))]),
+                blank(n + m, pa.int64()),
+                pa.concat_arrays([blank(n, pa.int64()), pa.array(h)]),
             ],
-            names=["block", "doc_id", "held_out", "n_tokens", "ids", "word", "local", "c"],
+            names=names,
         )
+        seen, times = np.unique(np.concatenate([pair_keys(x, end, m) for x in train]), return_counts=True) if train else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        pairs = np.union1d(seen, np.concatenate([pair_keys(x, end, m) for x in other])) if other else seen
+        c = np.zeros(len(pairs), np.int64)
+        c[np.searchsorted(pairs, seen)] = times
+        for begin in range(0, len(pairs), _PAIR_ROWS):
+            part = pairs[begin : begin + _PAIR_ROWS]
+            k = len(part)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(k, block)), blank(k, pa.int64()), blank(k, pa.bool_()), blank(k, pa.int64()), blank(k, pa.binary()), blank(k, pa.binary()),
+                    pa.array((-1 - np.arange(begin, begin + k)).astype(np.int32)), pa.array(c[begin : begin + k]), pa.array(h[part // m]), pa.array(h[part % m]),
+                ],
+                names=names,
+            )
         number = defaultdict(count().__next__)
         docs.clear()
         train.clear()
+        other.clear()
         tokens = 0
-        return out
+
+    names = [f.split()[0] for f in _BLOCKS.split(", ")]
 
     for batch in batches:
         for doc_id, text, held in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -266,20 +311,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found.append(b"")
             ids = np.array(list(map(number.__getitem__, found)), dtype=np.int32)
             docs.append((doc_id, held, len(ids), bytes(codec.compress(ids.tobytes()))))
-            if not held:
-                train.append(ids)
+            (other if held else train).append(ids)
             tokens += len(ids)
             if tokens >= BLOCK_TOKENS:
-                yield flush()
+                yield from flush()
     if docs:
-        yield flush()
+        yield from flush()
 
 
 _SWEEP = "word binary, c long, t array<long>, cell long, n long"
 
 
-def _sweep(batches: Iterator[pa.RecordBatch], symbol: np.ndarray, d: float, sample: Sample | None, draw: bool) -> Iterator[pa.RecordBatch]:
-    """Seat the words again, and count the cells of their tables' spellings."""
+def _sweep(batches: Iterator[pa.RecordBatch], symbol: np.ndarray, d: float, sample: Sample | None, draw: bool, first: bool = False) -> Iterator[pa.RecordBatch]:
+    """Seat the words again, and count the cells of their tables' spellings; a ``first`` seating replaces those of the burn-in."""
     total = np.zeros(LEVELS[3] * SYMBOLS, dtype=np.int32)
     log_p = sample.spelling.lookup() if draw else None
     for batch in _larger(batches):
@@ -293,7 +337,7 @@ def _sweep(batches: Iterator[pa.RecordBatch], symbol: np.ndarray, d: float, samp
         cell, own = cells(words, symbol)
         real = np.asarray(pc.binary_length(words))[own] > 0
         np.add.at(total, cell[real], t[own][real].astype(np.int32))
-        old = np.asarray(lists.flatten()).reshape(len(words), -1) if len(lists.flatten()) else np.zeros((len(words), 0), np.int64)
+        old = np.asarray(lists.flatten()).reshape(len(words), -1) if len(lists.flatten()) and not first else np.zeros((len(words), 0), np.int64)
         new = np.concatenate([old, t[:, None]], axis=1) if draw else old
         k = new.shape[1]
         arrays = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * k), pa.array(new.ravel().astype(np.int64)))
@@ -314,7 +358,7 @@ def _gather(swept: DataFrame) -> np.ndarray:
     return out
 
 
-def fit(vocabulary: DataFrame, samples: int = SAMPLES) -> tuple[Model, DataFrame]:
+def fit(vocabulary: DataFrame, samples: int = SAMPLES, burn: int = BURN) -> tuple[Model, DataFrame]:
     """A model of ``word`` binary and ``c`` long (over 0), and a saved table with its words' tables (``t``)."""
     numbers = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
     tokens, types = int(numbers["n"] or 0), int(numbers["v"])
@@ -322,13 +366,14 @@ def fit(vocabulary: DataFrame, samples: int = SAMPLES) -> tuple[Model, DataFrame
     symbol = _alphabet(vocabulary)
     swept = save(vocabulary.select("word", "c", F.array().cast("array<long>").alias("t")).mapInArrow(lambda b: _sweep(b, symbol, d, None, False), _SWEEP))
     kept, tables = [], types
-    for k in range(samples):
+    for k in range(burn + samples):
         sample = Sample(spelling(_gather(swept), k), tables)
         words = swept.where("word is not null").select("word", "c", "t")
-        before, swept = swept, save(words.mapInArrow(lambda b, s=sample: _sweep(b, symbol, d, s, True), _SWEEP))
+        before, swept = swept, save(words.mapInArrow(lambda b, s=sample, first=k <= burn: _sweep(b, symbol, d, s, True, first), _SWEEP))
         discard(before)
         tables = int(swept.where("word is not null").agg(F.sum(F.element_at("t", -1))).first()[0] or 0)
-        kept.append(Sample(sample.spelling, tables))
+        if k >= burn:
+            kept.append(Sample(sample.spelling, tables))
     return Model(symbol, d, tokens, types, kept), swept
 
 
@@ -375,16 +420,95 @@ def _known(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
     yield pa.RecordBatch.from_pydict({"k": pa.array(range(len(total)), pa.int32()), "mass": pa.array(total)})
 
 
+def _unknown(model: Model, seen: DataFrame) -> float:
+    """log10 of what the model leaves for all words never seen; notes what the parent gives to the known ones."""
+    for r in seen.select("word").mapInArrow(lambda b: _known(b, model), "k int, mass double").groupBy("k").agg(F.sum("mass").alias("mass")).collect():
+        model.samples[r["k"]].known = float(r["mass"])
+    return model.unknown()
+
+
+_SEATED = "u long, w long, c long, t array<long>"
+
+
+def _seat_pairs(batches: Iterator[pa.RecordBatch], d: float, k: int) -> Iterator[pa.RecordBatch]:
+    """Seat pairs again: ``u``, ``w``, ``c``, ``t``, the context's ``tables`` and the parent's log10 ``lp``."""
+    for batch in _larger(batches):
+        c = batch.column(2).to_numpy()
+        rng = np.random.default_rng([len(c), int(c.sum()), k, batch.column(0)[0].as_py() & 0xFFFFFFFF])
+        log_a = np.log(THETA + d * batch.column(4).to_numpy()) + batch.column(5).to_numpy() * np.log(10)
+        t = seat(c, log_a, d, rng)
+        old = np.asarray(batch.column(3).flatten()).reshape(len(c), -1)
+        new = np.concatenate([old, t[:, None]], axis=1)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * new.shape[1]), pa.array(new.ravel().astype(np.int64)))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], names=["u", "w", "c", "t"])
+
+
+def _in_context(block_pairs: DataFrame, every: DataFrame, samples: int = SAMPLES, burn: int = BURN) -> DataFrame:
+    """A saved table of all pairs ``u``, ``w`` with ``lp``, log10 of the word's probability after the previous one.
+
+    ``every`` has the words with their hash ``w``. Tables of pairs start at one each;
+    the unigram parent is fitted to them anew before each seating, and with each kept one.
+    """
+    spark = block_pairs.sparkSession
+    pairs = save(block_pairs.groupBy("u", "w").agg(F.sum("c").alias("c")))
+    n1, n2 = pairs.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    d = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
+    once = pairs.where("c = 1")
+    fixed = {x: save(once.groupBy(x).agg(F.count("*").alias("n"))) for x in ("u", "w")}
+    customers = save(pairs.where("c > 0").groupBy("u").agg(F.sum("c").alias("customers")))
+    state = save(pairs.where("c > 1").select("u", "w", "c", F.array(F.lit(1).cast("long")).alias("t")))
+
+    def tables(key: str, k: int) -> DataFrame:
+        seated = state.select(key, F.col("t")[k].alias("n"))
+        return seated.unionByName(fixed[key]).groupBy(key).agg(F.sum("n").alias("tables"))
+
+    parents, unknown = [], []
+    for k in range(burn + samples):
+        vocabulary = save(tables("w", k).join(every.select("word", "w"), "w").select("word", F.col("tables").alias("c"), "w"))
+        model, swept = fit(vocabulary.select("word", "c"), samples=1)
+        seen = swept.where("word is not null").select("word", "c", "t")
+        left = _unknown(model, seen)
+        log_p = seen.mapInArrow(lambda b, m=model: _probabilities(b, m), "word binary, c long, lp double")
+        parent = save(log_p.join(vocabulary.select("word", "w"), "word").select("w", "lp"))
+        discard(swept)
+        discard(vocabulary)
+        if k >= burn:
+            parents.append(parent)
+            unknown.append(left)
+        if k < burn + samples - 1:
+            ready = state.join(tables("u", k), "u").join(parent, "w").select("u", "w", "c", "t", "tables", "lp")
+            before, state = state, save(ready.mapInArrow(lambda b, n=k: _seat_pairs(b, d, n), _SEATED))
+            discard(before)
+        free_shuffles(spark)
+    contexts = customers
+    for k in range(samples):
+        contexts = contexts.join(tables("u", burn + k).withColumnRenamed("tables", f"tables{k}"), "u")
+    words = parents[0].withColumnRenamed("lp", "lp0")
+    for k in range(1, samples):
+        words = words.join(parents[k].withColumnRenamed("lp", f"lp{k}"), "w")
+    found = pairs.join(state.select("u", "w", "t"), ["u", "w"], "left").join(contexts, "u", "left").join(words, "w", "left")
+    share = F.lit(0.0)
+    for k in range(samples):
+        own = F.coalesce(F.col("t")[burn + k], F.col("c"))
+        back = THETA + d * F.coalesce(f"tables{k}", F.lit(0))
+        share = share + F.greatest(F.col("c") - d * own, F.lit(0.0)) + back * F.pow(F.lit(10.0), F.coalesce(f"lp{k}", F.lit(unknown[k])))
+    out = save(found.select("u", "w", F.log10(share / samples / (THETA + F.coalesce("customers", F.lit(0)))).alias("lp")))
+    for used in (pairs, state, customers, *fixed.values(), *parents):
+        discard(used)
+    return out
+
+
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Scores of whole texts by a model of those where ``held_out`` isn't true.
+    """Scores of whole texts by models of those where ``held_out`` isn't true.
 
     A-Z are lower-cased; tokens are the words (runs without space and \\x09-\\x0D)
     and one end. Returns ``doc_id``, ``held_out``, ``n_tokens``, ``n_known`` (tokens
     seen in training), ``train_tokens``, ``base_score`` (log10 of add-one
     probabilities), ``score`` (log10 of the text's probability under the model; perplexity
-    is ``10 ** (-score / n_tokens)``) and ``spelled_score``. As in the base, all words
+    is ``10 ** (-score / n_tokens)``), ``spelled_score`` and ``context_score``. As in the base, all words
     never seen in training are one type of ``score``, which gets what the known words leave;
-    ``spelled_score`` gives each of them the probability of its own spelling instead. A null text counts as empty: it has the end alone.
+    ``spelled_score`` gives each of them the probability of its own spelling instead. Both
+    take words one by one; ``context_score`` is as ``score``, each word given the word before it. A null text counts as empty: it has the end alone.
     Null ids and repeated rows are scored like others, and ``held_out`` null means
     false. With no training text every count is 0. An empty table gives no rows.
     """
@@ -393,31 +517,39 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     counted = save(source.mapInArrow(_count, _BLOCKS))
     words = counted.where("word is not null")
-    every = save(words.groupBy("word").agg(F.sum("c").alias("c")))
+    every = save(words.groupBy("word").agg(F.sum("c").alias("c"), F.first("w").alias("w")))
     model, swept = fit(every.where("c > 0"))
     seen = swept.where("word is not null").select("word", "c", "t")
-    for r in seen.select("word").mapInArrow(lambda b: _known(b, model), "k int, mass double").groupBy("k").agg(F.sum("mass").alias("mass")).collect():
-        model.samples[r["k"]].known = float(r["mass"])
-    unknown = model.unknown()
+    unknown = _unknown(model, seen)
     free_shuffles(spark)
     unseen = every.where("c = 0").select("word", "c", F.array_repeat(F.lit(0).cast("long"), len(model.samples)).alias("t"))
     valued = save(seen.unionByName(unseen).mapInArrow(lambda b: _probabilities(b, model), "word binary, c long, lp double"))
-    discard(every)
     discard(swept)
     free_shuffles(spark)
+    pairs = counted.where("u is not null")
+    in_context = _in_context(pairs, every)
+    discard(every)
+    free_shuffles(spark)
     back = words.select(F.col("block").alias("of"), "local", "word").join(valued, "word").select("of", "local", "c", "lp")
+    of_pairs = pairs.select(F.col("block").alias("of"), "local", "u", "w").join(in_context, ["u", "w"]).select("of", "local", F.lit(0).cast("long").alias("c"), "lp")
+    back = back.unionByName(of_pairs)
     n, v = model.tokens, model.types
 
     def total(left, right):
         codec = pa.Codec("zstd", 1)
-        local = right["local"].to_numpy()
-        c, lp = np.zeros(len(local), np.int64), np.zeros(len(local))
-        c[local], lp[local] = right["c"].to_numpy(), right["lp"].to_numpy()
+        local, value = right["local"].to_numpy(), right["lp"].to_numpy()
+        word = local >= 0
+        size = int(word.sum())
+        c, lp, context = np.zeros(size, np.int64), np.zeros(size), np.zeros(len(local) - size)
+        c[local[word]], lp[local[word]] = right["c"].to_numpy()[word], value[word]
+        context[-1 - local[~word]] = value[~word]
         base = np.log10((c + 1) / (n + 1 * (v + 1)))
         closed = np.where(c > 0, lp, unknown)
-        known, sums, bases, spelled = [], [], [], []
-        for size, data in zip(left["n_tokens"].to_pylist(), left["ids"].to_pylist(), strict=True):
-            ids = np.frombuffer(codec.decompress(data, size * 4), np.int32)
+        known, sums, bases, spelled, contexts = [], [], [], [], []
+        texts = [np.frombuffer(codec.decompress(data, n_ids * 4), np.int32) for n_ids, data in zip(left["n_tokens"].to_pylist(), left["ids"].to_pylist(), strict=True)]
+        pairs = np.unique(np.concatenate([pair_keys(ids, ids[-1], size) for ids in texts]))
+        for ids in texts:
+            contexts.append(float(context[np.searchsorted(pairs, pair_keys(ids, ids[-1], size))].sum()))
             known.append(int((c[ids] > 0).sum()))
             bases.append(float(base[ids].sum()))
             sums.append(float(closed[ids].sum()))
@@ -427,9 +559,10 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             {
                 "doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": left["n_tokens"], "n_known": pa.array(known, pa.int64()),
                 "train_tokens": pa.array([n] * m, pa.int64()), "base_score": pa.array(bases, pa.float64()), "score": pa.array(sums, pa.float64()), "spelled_score": pa.array(spelled, pa.float64()),
+                "context_score": pa.array(contexts, pa.float64()),
             }
         )
 
     texts = counted.where("ids is not null").select("block", "doc_id", "held_out", "n_tokens", "ids")
     both = texts.groupBy("block").cogroup(back.groupBy("of"))
-    return both.applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, spelled_score double")
+    return both.applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, spelled_score double, context_score double")

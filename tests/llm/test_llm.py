@@ -249,6 +249,39 @@ def test_language_model_is_a_distribution(spark):
     assert math.isclose(total, 1, rel_tol=0.02)
 
 
+def test_language_model_hears_the_previous_word(spark):
+    rng = np.random.default_rng(7)
+    order = {"the": ["cat", "dog", "bird"], "cat": ["sees", "eats"], "dog": ["sees", "eats"], "bird": ["sees"], "sees": ["the"], "eats": ["the", "fish"], "fish": ["and"], "and": ["the"]}
+
+    def walk():
+        out = ["the"]
+        while len(out) < 30:
+            out.append(str(rng.choice(order[out[-1]])))
+        return out
+
+    fluent = [walk() for _ in range(5)]
+    rows = [(i, " ".join(walk())) for i in range(60)]
+    rows += [(100 + i, " ".join(w)) for i, w in enumerate(fluent)] + [(200 + i, " ".join(rng.permutation(w).tolist())) for i, w in enumerate(fluent)]
+    got = {r.doc_id: r for r in hpylm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 100).collect()}
+    for i in range(5):
+        assert got[100 + i].context_score > got[200 + i].context_score + 5
+        assert got[100 + i].context_score > got[100 + i].score
+
+
+def test_language_model_in_context_is_a_distribution(spark):
+    docs = spark.createDataFrame([(i, "ab ab ba abb " * (i % 5 + 1)) for i in range(40)], "doc_id long, text string")
+    w = ["ab", "ba", "abb", "zzz"]
+    texts = ["", *w, *[f"{a} {b}" for a in w for b in w]]
+    probe = spark.createDataFrame(list(enumerate(texts, 100)), "doc_id long, text string")
+    found = {r.doc_id: r.context_score for r in hpylm.score(docs.unionByName(probe), F.col("doc_id") >= 100).collect()}
+    f = {text: found[i] for i, text in enumerate(texts, 100)}
+    # P(b | a) times P(end | b) / P(end | a): the matrix is similar to that of the probabilities, so its largest eigenvalue is 1.
+    m = np.full((5, 5), 10 ** f[""])
+    m[0, 1:] = [10 ** (f[b] - f[""]) for b in w]
+    m[1:, 1:] = [[10 ** (f[f"{a} {b}"] - f[a]) for b in w] for a in w]
+    assert math.isclose(abs(np.linalg.eigvals(m)).max(), 1, rel_tol=0.02)
+
+
 def test_seating_follows_the_restaurant():
     rng = np.random.default_rng(0)
     c = np.full(20000, 3)
