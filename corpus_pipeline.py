@@ -16,8 +16,10 @@ from tallyloom.llm import bpe, decontam, langid, neardup, secrets
 from tallyloom.llm.base import save, small_side
 from tallyloom.llm.queries import vocabulary
 
-#: A predicted language's least share of the softmax over all languages.
+#: A predicted language's share of the softmax over all languages that is enough by itself.
 LEAST_SCORE = 0.4
+#: Log odds above which other texts are like no language (about 19 to 1).
+STRANGE = 3.0
 #: Near duplicates on word shingles take five words.
 SHINGLE_WORDS = 5
 
@@ -31,12 +33,14 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; texts without letters and texts like none go.
 
+    A short text is near to no landmark, so a small share of its language is no reason to drop it:
+    its n-grams must be ones that the landmarks don't have.
     The model learns from a bounded sample of the labelled documents.
     """
     model = langid.fit(docs)
     held, names = _numbered(docs)
-    found = langid.predict(held, model, text_col=names["text"], keep=list(names.values()))
-    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    found = langid.predict(held, model, text_col=names["text"], keep=list(names.values()), strangeness=True)
+    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & ((F.col("score") >= LEAST_SCORE) | (F.col("strangeness") <= STRANGE)))
     return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 

@@ -32,6 +32,8 @@ LENGTHS = (1, 2, 3)
 PER_LANGUAGE = 400
 LANDMARKS = 192
 RIDGE = 1e-2
+#: A learned language's texts are taken to have so many new n-grams at least.
+LEAST_NEW = 0.02
 UNKNOWN = "und"
 #: Code points handled at once.
 _PIECE = 1 << 19
@@ -83,6 +85,16 @@ class Model:
     landmarks: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
+    #: Share of a learned language's n-grams that no landmark has: each landmark against the others.
+    new: float = 1.0
+
+    def strangeness(self, bits: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Natural log odds of n-grams that meet the landmarks' bits by chance, against those of a learned language."""
+        known = marks.any(axis=0)
+        chance = min(max(float(known.mean()), 1e-3), 1 - 1e-3)
+        new = min(self.new, 1 - chance)
+        n, met = bits.sum(axis=1), bits @ known.astype(np.float32)
+        return (n - met) * np.log((1 - chance) / new) + met * np.log(chance / (1 - new))
 
     def scores(self, bits: np.ndarray) -> np.ndarray:
         marks = np.unpackbits(self.landmarks, axis=1)[:, : bits.shape[1]].astype(np.float32)
@@ -118,7 +130,8 @@ def train(packed: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, rid
     centre = (weight[:, None] * target).sum(axis=0) / weight.sum()
     p = phi - mean
     beta = np.linalg.solve(p.T @ (weight[:, None] * p) + ridge * len(y) * np.eye(p.shape[1]), p.T @ (weight[:, None] * (target - centre)))
-    return Model(languages, packed[chosen], (root @ beta).astype(np.float32), (centre - mean @ beta).astype(np.float32))
+    new = max(LEAST_NEW, float(marks[:, marks.sum(axis=0) == 1].sum() / marks.sum()))
+    return Model(languages, packed[chosen], (root @ beta).astype(np.float32), (centre - mean @ beta).astype(np.float32), new)
 
 
 def sample(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -152,17 +165,18 @@ def fit(docs: DataFrame, usable: Column | None = None, per_language: int = PER_L
     return train(packed, [r[0] for r in rows], landmarks)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, strangeness: bool = False) -> DataFrame:
     """``lang_pred`` and ``score`` (0 to 1) of whole texts.
 
-    Returns ``keep`` (by default ``doc_id``) as it is, with the two columns; columns of
+    Returns ``keep`` (by default ``doc_id``) as it is, with the two columns, and if asked for
+    ``strangeness``, the log odds that a text is like no language of the model (0 without letters); columns of
     ``keep`` with these names give way. A text that is null or has no letter,
     and every text under a model without languages, is ``und`` with score 0. Equal
     scores go to the first language by name. Repeated rows stay repeated; an empty
     table gives an empty result.
     """
     prepare(docs.sparkSession)
-    own = ["lang_pred", "score"]
+    own = ["lang_pred", "score", *["strangeness"] * strangeness]
     keep = [c for c in (keep if keep is not None else ["doc_id"]) if c not in own]
     names = list(dict.fromkeys([*keep, text_col]))
     source = docs.select(*names)
@@ -172,7 +186,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
         marks = np.unpackbits(model.landmarks, axis=1).astype(np.float32)
         for batch in batches:
             texts = batch.column(names.index(text_col)).to_pylist()
-            lang, score = [], []
+            lang, score, strange = [], [], []
             for begin in range(0, len(texts), 64):
                 bits = presence(texts[begin : begin + 64]).astype(np.float32)
                 some = bits.any(axis=1)
@@ -185,11 +199,13 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
                 best = raw.argmax(axis=1)
                 share = e[np.arange(len(best)), best] / e.sum(axis=1)
                 lang += [model.languages[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)]
+                if strangeness:
+                    strange += model.strangeness(bits, marks).astype(float).tolist() if model.languages else [0.0] * len(bits)
                 score += [float(p) if s else 0.0 for p, s in zip(share, some, strict=True)]
             columns = [batch.column(names.index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, *own])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), *[pa.array(strange, pa.float64())] * strangeness], names=[*keep, *own])
 
-    return source.mapInArrow(work, ", ".join([*fields, "lang_pred string, score double"]))
+    return source.mapInArrow(work, ", ".join([*fields, "lang_pred string, score double", *["strangeness double"] * strangeness]))
 
 
 def held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2) -> Column:

@@ -54,3 +54,15 @@ def test_stages_keep_odd_rows_and_columns(spark):
     left = {r.doc_id: r for r in docs.collect()}
     assert set(left) == {None, 3}
     assert left[3].text == 'the [REDACTED]" is here' and left[3].n_chars == len(left[3].text) and (left[3].lang_pred, left[3].redacted) == ("p", "r")
+
+
+def test_language_keeps_short_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    strange = ["日", "日本語の文章はここにある", "Ελληνικά κείμενα εδώ", "текст на русском", "xqzj kwvx qqzz"]
+    more = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(strange)], "doc_id long, text string")
+    after = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(more, allowMissingColumns=True), SF).select("doc_id").collect()}
+    before = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    short = {k for k, t in before.items() if t and len(t.split()) <= 4 and any(c.isalpha() for c in t)}
+    assert len(short) > 50 and short <= after
+    assert {k for k, t in before.items() if t and any(c.isalpha() for c in t)} <= after
+    assert not after & {-1 - i for i in range(len(strange))}
