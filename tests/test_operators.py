@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +110,19 @@ def test_aggregates(spark):
     assert sorted(r[0] for r in aggregate.top_tied(rows.where("k <> 'b'").withColumn("v", F.least("v", F.lit(3))), "v").select("v").collect()) == [3, 3, 3]
 
 
+def test_bootstrap_query_takes_2000_draws(spark):
+    from tallyloom.plans import analytics
+
+    sf = "/root/testdata/sf0.001"
+    values = {}
+    for r in spark.read.parquet(f"{sf}/customer.parquet").orderBy("c_custkey").collect():
+        values.setdefault(r.c_mktsegment, []).append(r.c_acctbal)
+    for r in analytics.bootstrap_ci(spark, sf).collect():
+        v, rng = values[r.c_mktsegment], random.Random(7)
+        means = sorted(sum(v[rng.randrange(len(v))] for _ in v) / len(v) for _ in range(2000))
+        assert (r.n, r.lo, r.hi) == (len(v), means[50], means[1949])
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "f")], "old string, new string")
     got = {(r.start, r["name"]): r.hop for r in graph.later_names(edges, 4).collect()}
