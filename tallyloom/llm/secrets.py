@@ -4,8 +4,8 @@ A text that may hold an assignment is lexed as source code or configuration:
 ``name = literal``, ``name: literal``, ``"name": "literal"``, ``name := literal``,
 ``name => literal`` and ``<name>literal</name>`` give name-literal pairs. Constants are
 propagated: ``k = "x1"; password = k`` pairs ``password`` with the literal where it
-stands, also over several names and over ``+`` of known parts. A literal is scored
-by how sensitive its target names are (their words, split at ``_``, ``-``, ``.``, and
+stands, also over several names and over ``+`` of known parts, however many. A literal, or the joined
+value that it is a part of, is scored by how sensitive its target names are (their words, split at ``_``, ``-``, ``.``, and
 humps) and by how much it looks like a secret.
 
 Three plain patterns for assignments, access keys and long hexadecimal runs are
@@ -19,6 +19,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -64,47 +65,91 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str) -> float:
     """How much a literal looks like a secret, from 0 to 1."""
-    if len(value) < 6 or any(c.isspace() for c in value):
+    return _looks(Value((), value[:_PREFIX], Counter(value), len(value)))
+
+
+#: Code points that a value keeps of its beginning: more than any placeholder has.
+_PREFIX = 32
+
+
+@dataclass
+class Value:
+    """What is known of a literal, or of the joined value of other values' numbers ``parts``; ``span`` is where a literal stands."""
+
+    parts: tuple[int, ...]
+    begin: str
+    chars: Counter
+    size: int
+    span: tuple[int, int] | None = None
+
+
+def _looks(value: Value) -> float:
+    n, low = value.size, value.begin.lower()
+    if n < 6 or any(c.isspace() for c in value.chars):
         return 0.0
-    low = value.lower()
-    if low in PLACEHOLDERS or low.startswith(("${", "{{", "<", "%", "your", "xxx", "http:", "https:", "/", "./")) or len(set(low)) < 4:
+    whole = n <= _PREFIX
+    if whole and low in PLACEHOLDERS or low.startswith(("${", "{{", "<", "%", "your", "xxx", "http:", "https:", "/", "./")) or len(set("".join(value.chars).lower())) < 4:
         return 0.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    classes = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    entropy = -sum(c / n * math.log2(c / n) for c in value.chars.values())
+    classes = sum(any(f(c) for c in value.chars) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
     return min(1.0, entropy / 4.5 * 0.7 + classes * 0.15 + min(n, 32) / 320)
 
 
+def _join(parts: list[int], values: list[Value]) -> int:
+    """The number of the joined value; its size counts every repeat, its text is never made."""
+    if len(parts) == 1:
+        return parts[0]
+    begin, chars, size = "", Counter(), 0
+    for p in parts:
+        begin = (begin + values[p].begin)[:_PREFIX] if len(begin) == size else begin
+        chars.update(values[p].chars)
+        size += values[p].size
+    values.append(Value(tuple(parts), begin, chars, size))
+    return len(values) - 1
+
+
 def lex(text: str) -> list[tuple[int, int, str, float]]:
-    """(start, end, target name, score) of literals with sensitive targets."""
-    known: dict[str, list[tuple[int, int, str]]] = {}
-    names: dict[tuple[int, int, str], tuple[str, float]] = {}
+    """(start, end, target name, score) of literals with sensitive targets.
+
+    A literal counts by itself and as a part of joined values, whichever scores more.
+    """
+    values: list[Value] = []
+    known: dict[str, int | None] = {}
+    target: dict[int, tuple[float, int, str]] = {}  # by value: its most sensitive name's score, the first such, that name
+    joined: dict[int, tuple[float, int, str]] = {}  # by value: the best score of a joined value it is part of
     for m in _PAIR.finditer(text):
         if not m["open"] and m["op"].strip() == "==":
             continue
-        found: list[tuple[int, int, str]] = []
+        found: list[int] = []
         base = m.start("rhs")
         bare = 0
         for p in _PART.finditer(m["rhs"]):
             k = next(i for i in (1, 2, 3) if p[i] is not None)
             value = p[k]
             if k == 3 and value in known:
-                found += known[value]
+                found += [known[value]] if known[value] is not None else []
             elif k < 3 or not _IDENTIFIER.match(value) or not bare and any(c.isdigit() for c in value):
-                found.append((base + p.start(k), base + p.end(k), value))
+                values.append(Value((), value[:_PREFIX], Counter(value), len(value), (base + p.start(k), base + p.end(k))))
+                found.append(len(values) - 1)
             bare += k == 3
-        known[m["name"]] = found[:16]
+        at = known[m["name"]] = _join(found, values) if found else None
         score = name_score(m["name"])
-        if score:
-            for part in found:
-                old = names.get(part)
-                if old is None or score > old[1]:
-                    names[part] = (m["name"], score)
+        if score and at is not None:
+            target[at] = max(target.get(at, (0.0, 0, "")), (score, -m.start(), m["name"]))
+    for at, (score, place, name) in target.items():
+        joined[at] = (score * _looks(values[at]), place, name)
     out = []
-    for (a, b, value), (name, score) in names.items():
-        total = score * literal_score(value)
-        if total >= THRESHOLD:
-            out.append((a, b, name, total))
+    for at in range(len(values) - 1, -1, -1):  # parts come before what is joined of them
+        value = values[at]
+        for best in (target, joined):
+            if at in best:
+                for p in value.parts:
+                    best[p] = max(best.get(p, (0.0, 0, "")), best[at])
+        if value.span and at in target:
+            score, place, name = target[at]
+            total, _, name = max((score * _looks(value), place, name), joined[at])
+            if total >= THRESHOLD:
+                out.append((*value.span, name, total))
     return sorted(out)
 
 

@@ -191,6 +191,20 @@ def test_secrets_lexing():
     assert secrets.hide("a SECRET b", [("assign", 2, 8), ("hex", 4, 8)]) == "a [REDACTED] b"
 
 
+def test_secrets_in_parts():
+    def literals(text):
+        return [(text[a:b], name) for kind, a, b, name, _ in secrets.scan(text) if kind == "literal"]
+
+    assert literals('a = "Zx81"; b = "kLmQ"; password = a + b') == [("Zx81", "password"), ("kLmQ", "password")]
+    many = [f"{c}{i}" for i, c in enumerate("ZxkLmQpWvBnMrTyHgFdS" * 2)]
+    text = "".join(f'p{i} = "{v}"\n' for i, v in enumerate(many)) + "password = " + " + ".join(f"p{i}" for i in range(len(many)))
+    assert literals(text) == [(v, "password") for v in many]
+    assert literals('a = "hello"; b = " all of you"; password = a + b') == []
+    assert literals('a = "hello you "; b = "Zx81kLmQ09aa"; password = a + b') == [("Zx81kLmQ09aa", "password")]
+    doubled = 'a = "Zx81"\n' + "a = a + a\n" * 3000 + "password = a"
+    assert literals(doubled) == [("Zx81", "password")]
+
+
 def test_secrets_odd_rows(odd, empty):
     got = secrets.find_secrets(odd, keep=odd.columns, redact=True).collect()
     assert len(got) == 12 and all(r.redacted == r.text and not r.secrets for r in got)
