@@ -44,11 +44,35 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
+def _with_row(held: DataFrame, id_col: str) -> DataFrame:
+    """``_row``: the id where it is one row's alone, else a number larger than all ids."""
+    own = F.col(id_col).cast("long")
+    twice = save(held.select(own.alias("_id")).groupBy("_id").count().where("count > 1 or _id is null").select("_id"))
+    if twice.isEmpty():
+        return held.withColumn("_row", own)
+    top = held.agg(F.max(own)).first()[0] or 0
+    marked = held.join(small_side(twice.where("_id is not null")), own == F.col("_id"), "left")
+    alone = own.isNotNull() & F.col("_id").isNull()
+    return save(marked.withColumn("_row", F.when(alone, own).otherwise(F.lit(max(top, 0) + 1).cast("long") + F.monotonically_increasing_id())).drop("_id"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id."""
-    found = neardup.near_duplicates(docs, width=SHINGLE_WORDS)
-    gone = save(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(small_side(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One row of each near-duplicate group, the one with the smallest id; a null id is larger than all others.
+
+    Rows with a null or repeated id get numbers of their own, beyond all ids, so rows repeated
+    with the same id, and copies with a null id, leave one row, and different texts under
+    the same id are different documents. Rows without words stand alone.
+    """
+    held, names = _numbered(docs)
+    rows = _with_row(held, names["doc_id"])
+    found = neardup.near_duplicates(rows, width=SHINGLE_WORDS, id_col="_row", text_col=names["text"])
+    others = found.where(~F.col("kept")).select(F.col("doc_id").alias("_row"), "component_id")
+    members = save(others.unionByName(others.select(F.col("component_id").alias("_row"), "component_id").distinct()))
+    ids = rows.select("_row", F.col(names["doc_id"]).alias("id")).join(small_side(members), "_row")
+    ids = save(ids.select("_row", "component_id", F.struct(F.col("id").isNull().alias("none"), "id", "_row").alias("place")))
+    first = ids.groupBy("component_id").agg(F.min("place").alias("first")).select(F.col("first._row").alias("_row"))
+    gone = save(ids.select("_row").join(small_side(save(first)), "_row", "left_anti"))
+    return rows.join(small_side(gone), "_row", "left_anti").select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,3 +66,11 @@ def test_language_keeps_short_texts(spark):
     assert len(short) > 50 and short <= after
     assert {k for k, t in before.items() if t and any(c.isalpha() for c in t)} <= after
     assert not after & {-1 - i for i in range(len(strange))}
+
+
+def test_one_row_of_each_near_duplicate_group(spark):
+    same, other, third = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(5, same), (5, same), (None, other), (None, other), (None, third), (7, third), (3, same + " x"), (9, "a text that shares its id"), (9, other + " y"), (2, other + " z"), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()), key=str)
+    assert left == sorted([(3, same + " x"), (2, other + " z"), (7, third), (9, "a text that shares its id"), (None, None), (None, None)], key=str)
