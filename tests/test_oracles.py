@@ -1,6 +1,7 @@
 """Every query with SQL against DuckDB, on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 from tallyloom.plans import analytics
 
@@ -20,7 +21,7 @@ def canonical(frame):
     frame = frame[sorted(frame.columns)]
 
     def one(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return ""
         return f"{v:.9g}" if isinstance(v, float) else str(v)
 
