@@ -20,9 +20,11 @@ import regex
 #: The splitting patterns of the two vocabularies' files.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Entries of one generation of a cache: of tokens of the vocabulary with word ends, of tokens of
-#: the other one, and of longer pieces. Two generations are held, about 200 bytes an entry.
-WORD_TOKENS, BYTE_TOKENS, PIECES = 400_000, 120_000, 120_000
+#: Tokens held of the vocabulary with word ends and of the other one, all forgotten when that many are
+#: held, and entries of one generation of a cache of longer pieces (two are held); about 200 bytes an entry.
+WORD_TOKENS, BYTE_TOKENS, PIECES = 600_000, 240_000, 120_000
+#: Marks that make one token after a word of letters.
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _OTHER = re.compile(r"[^\x00-ɏ]|[İ\x85\xa0\x1c-\x1f]|<\|")
 
 
@@ -66,31 +68,38 @@ class PieceEncoder:
         self.words, self.dtype = words, np.dtype(dtype)
         self.split = regex.compile(WORD_PATTERN if words else BYTE_PATTERN).findall
         self.table = byte_characters()
-        self.tokens = Cache(WORD_TOKENS if words else BYTE_TOKENS)
+        self.tokenize = self.model.tokenize
+        self.tokens: dict[str, bytes] = {}
+        self.most = WORD_TOKENS if words else BYTE_TOKENS
         self.code = {1: "B", 2: "H", 4: "I"}[self.dtype.itemsize]
 
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def piece(self, text: str) -> bytes:
+        token = self.token
         if text.isascii():
             if text.isalpha():
-                return self._token(text.lower() if self.words else text)
-            if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+                return token(text.lower() if self.words else text)
+            if self.words and (core := text.rstrip(MARKS)).isalpha():
+                return token(core.lower()) + token(text[len(core) :])
+            if "<|" in text or not text.isprintable() and any(c in text for c in "\x1c\x1d\x1e\x1f"):
                 return self.library(text)
         elif _OTHER.search(text):
             return self.library(text)
         found = self.split(text.lower() if self.words else text)
         if len(found) == 1:
-            return self._token(found[0])
-        return b"".join([self._token(x) for x in found])
+            return token(found[0])
+        return b"".join(map(token, found))
 
-    def _token(self, token: str) -> bytes:
-        got = self.tokens.young.get(token) or self.tokens.get(token)
+    def token(self, token: str) -> bytes:
+        got = self.tokens.get(token)
         if got is None:
-            mapped = token.encode().decode("latin-1").translate(self.table)
-            got = array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
-            self.tokens.put(token, got)
+            mapped = token if token.isascii() and token.isprintable() and " " not in token else token.encode().decode("latin-1").translate(self.table)
+            got = array(self.code, [t.id for t in self.tokenize(mapped)]).tobytes()
+            if len(self.tokens) >= self.most:
+                self.tokens.clear()
+            self.tokens[token] = got
         return got
 
 

@@ -94,10 +94,33 @@ def test_elias_fano():
     rng = np.random.default_rng(0)
     for values in ([], [7], [0, 0, 0], [-5, -5, 3], sorted(rng.integers(-(10**15), 10**15, 3000).tolist()), list(range(2000)), [-(2**63), 2**63 - 1]):
         code, size = EliasFano.from_bytes(data := EliasFano.of(np.array(values, dtype=np.int64)).to_bytes() + b"tail")
-        assert size == len(data) - 4 and code.all().tolist() == values
+        assert size == len(data) - 4 and code.slice(0, len(values)).tolist() == values
         assert [code.select(i) for i in range(0, len(values), 37)] == values[::37]
     bounds = np.cumsum(rng.integers(1, 2000, 10000))
-    assert len(EliasFano.of(bounds).to_bytes()) < len(bounds) * 2
+    data = EliasFano.of(bounds).to_bytes()
+    assert len(data) < len(bounds) * 2
+    code, _ = EliasFano.from_bytes(data)
+    for i, j in ((0, 1), (255, 257), (256, 256), (4095, 9000), (9999, 10000), (77, 4097)):
+        assert code.slice(i, j).tolist() == bounds[i:j].tolist()
+    raw = np.frombuffer(data, np.uint8)
+    held = [v for v in vars(code).values() if isinstance(v, np.ndarray)]
+    assert len(held) == 4 and all(np.shares_memory(v, raw) for v in held) and sum(v.nbytes for v in held) < len(data)
+
+
+def test_one_id_fills_several_shards(spark, tmp_path, monkeypatch):
+    path = queries.vocabulary("word_bpe_49k.json")
+    docs = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text of row "), "id").alias("text"))
+    manifest = tokenbin.write_shards(docs, path, f"file://{tmp_path}/hot", 1, shards=4)
+    assert manifest.count() > 1
+    rows = tokenbin.read_shards(spark, manifest).collect()
+    assert len(rows) == 400 and {r.doc_id for r in rows} == {None} and len({r.start for r in rows}) == 400
+    monkeypatch.setattr(tokenbin, "READ_IDS", 20)
+    monkeypatch.setattr(tokenbin, "READ_DOCS", 3)
+    with open(manifest.first().path.removeprefix("file://"), "rb") as file:
+        data = io.BytesIO(file.read())
+    data.size = lambda: len(data.getvalue())
+    few = [(d, a, n) for b in tokenbin._documents(data, 0) for d, a, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
+    assert len(few) == manifest.first().n_docs and few == sorted(few, key=lambda r: r[1])
 
 
 def test_token_files(spark, documents, odd, empty, tmp_path):
