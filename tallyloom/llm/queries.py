@@ -94,4 +94,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op6_near_duplicates": neardup.ORACLE,
     "op7_decontamination": decontam.ORACLE,
+    "op8_nearest": vptree.ORACLE,
 }

@@ -28,8 +28,8 @@ from .base import prepare, save
 SHARD_ROWS = 8192
 QUERY_ROWS = 2048
 LEAF_ROWS = 96
-#: Distinct vectors held beyond k, against rounding in matrix products.
-SLACK = 12
+#: Pairs of vectors that are multiplied at once.
+_PAIRS = 1 << 16
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -101,11 +101,30 @@ def build(ids: np.ndarray, vectors: np.ndarray, k: int) -> dict[str, np.ndarray]
     }
 
 
+def _better(tree: dict[str, np.ndarray], who: np.ndarray, at: np.ndarray, exact: np.ndarray, best: np.ndarray, best_at: np.ndarray) -> None:
+    """Put candidates (query, entry, score) in their place among each query's best: by score, then the smallest id."""
+    rows = np.unique(who)
+    held = best.shape[1]
+    who = np.concatenate([np.repeat(rows, held), who])
+    at = np.concatenate([best_at[rows].ravel(), at])
+    exact = np.concatenate([best[rows].ravel(), exact])
+    first = np.where(at >= 0, tree["ids"][tree["owner"][np.maximum(at, 0)]], np.iinfo(np.int64).max)
+    by = np.lexsort((first, -exact, who))
+    start = np.searchsorted(who[by], rows)
+    top = by[(start[:, None] + np.arange(held)[None, :]).ravel()]
+    best[rows], best_at[rows] = exact[top].reshape(-1, held), at[top].reshape(-1, held)
+
+
 def search(tree: dict[str, np.ndarray], q_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vec_id, score) of the k best in the shard for each query."""
+    """(query, vec_id, score) of the k best in the shard for each query, ties to smaller ids.
+
+    A leaf's scores come from a matrix product; those within its rounding of the worst
+    held are computed anew, one by one, and only these count. A query holds k + 1 entries (one
+    may be itself), the ones with the smallest ids among equal scores.
+    """
     x = tree["x"].astype(np.float64)
     q = queries.astype(np.float64)
-    n_q, held = len(q), k + SLACK
+    n_q, held = len(q), k + 1
     q_norm = (q * q).sum(axis=1)
     top = float(tree["top"][0])
     v = tree["vantage"]
@@ -121,9 +140,10 @@ def search(tree: dict[str, np.ndarray], q_ids: np.ndarray, queries: np.ndarray,
     best_at = np.full((n_q, held), -1, dtype=np.int64)
     live = np.arange(n_q)
     slack = 1e-7 * (np.sqrt(q_norm) + np.sqrt(top) + 1)
+    rounding = 4 * x.shape[1] * np.finfo(np.float64).eps * np.sqrt(q_norm * top)
     for turn in range(order.shape[1]):
         leaf = order[live, turn]
-        kth = np.sqrt(np.maximum(0, q_norm[live] + top - 2 * best[live, held - 1]))
+        kth = np.sqrt(np.maximum(0, q_norm[live] + top - 2 * best[live, -1]))
         go = bound[live, leaf] * factor <= kth + slack[live]
         live, leaf = live[go], leaf[go]
         if not len(live):
@@ -133,25 +153,20 @@ def search(tree: dict[str, np.ndarray], q_ids: np.ndarray, queries: np.ndarray,
         for rows in np.split(by, edges):
             a, b = int(tree["start"][leaf[rows[0]]]), int(tree["stop"][leaf[rows[0]]])
             who = live[rows]
-            score = np.concatenate([best[who], q[who] @ x[a:b].T], axis=1)
-            at = np.concatenate([best_at[who], np.broadcast_to(np.arange(a, b), (len(who), b - a))], axis=1)
-            keep = np.argpartition(-score, held - 1, axis=1)[:, :held]
-            score, at = np.take_along_axis(score, keep, 1), np.take_along_axis(at, keep, 1)
-            last = score.argmin(axis=1)  # the worst goes last
-            ends = np.arange(len(who))
-            score[ends, last], score[ends, -1] = score[ends, -1].copy(), score[ends, last].copy()
-            at[ends, last], at[ends, -1] = at[ends, -1].copy(), at[ends, last].copy()
-            best[who], best_at[who] = score, at
+            row, at = np.nonzero(q[who] @ x[a:b].T >= (best[who, -1] - rounding[who])[:, None])
+            if len(row):
+                row, at = who[row], at + a
+                exact = np.concatenate([(x[at[i : i + _PAIRS]] * q[row[i : i + _PAIRS]]).sum(axis=1) for i in range(0, len(row), _PAIRS)])
+                _better(tree, row, at, exact, best, best_at)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     owner, ids = tree["owner"], tree["ids"]
     for i in range(n_q):
         at = best_at[i][best_at[i] >= 0]
         if not len(at):
             continue
-        exact = (x[at] * q[i]).sum(axis=1)
         n = owner[at + 1] - owner[at]
         vec = np.concatenate([ids[owner[t] : owner[t + 1]] for t in at])
-        score = np.repeat(exact, n)
+        score = np.repeat(best[i][: len(at)], n)
         other = vec != q_ids[i]
         vec, score = vec[other], score[other]
         first = np.lexsort((vec, -score))[:k]
@@ -186,7 +201,7 @@ def build_index(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFr
     return dealt.groupBy("dim", "shard", "shards").applyInArrow(make, "dim int, shard int, shards long, tree binary")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Each query's k nearest by inner product: ``query_id``, ``rank``, ``vec_id``, ``score``.
 
     ``queries`` has the columns of ``vectors``; a query's own id is no
@@ -199,7 +214,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     """
     prepare(vectors.sparkSession)
     rows = usable(vectors, id_col, vector_col)
-    index = save(build_index(rows, k))
+    index = save(build_index(rows, k, shard_rows))
     asked = usable(queries, id_col, vector_col).dropDuplicates(["vec_id"])
     blocks = max(1, -(-asked.count() // QUERY_ROWS))
 
@@ -226,3 +241,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+ORACLE = r"""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e) AS score FROM v q JOIN v ON v.vec_id <> q.vec_id AND len(v.e) = len(q.e) WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
