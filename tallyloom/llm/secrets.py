@@ -33,6 +33,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _ASSIGN_HINTS = ("password", "passwd", "secret", "token", "api_key", "apikey")
+#: What stands between the words of a name, as bytes: a name's words are found in a text without these.
+_BETWEEN = b"_$.-" + bytes(range(128, 256))
 _HEX_BYTES = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 
 #: Words of target names and how sensitive each makes a name.
@@ -45,9 +47,9 @@ HARMLESS = ("public", "primary", "foreign", "sort", "type", "name", "file", "pat
 PLACEHOLDERS = ("changeme", "example", "placeholder", "password", "secret", "token", "none", "null", "true", "false", "undefined", "your", "xxx", "todo", "test")
 THRESHOLD = 0.5
 
-_LEXED_HINTS = tuple(sorted(SENSITIVE))
+_LEXED_HINTS = tuple(word.encode() for word in sorted(SENSITIVE))
 _PAIR = re.compile(
-    r"""(?:(?P<open><)|(?P<q>["'])?)(?P<name>[A-Za-z_$][\w$.-]{0,99})(?:(?(open)>|(?(q)(?P=q))))"""
+    r"""(?:(?P<open><)|(?P<q>["'])|(?<![\w$.-])(?:(?![A-Za-z_$])[\w$.-])*+)(?P<name>[A-Za-z_$][\w$.-]*+)(?:(?(open)>|(?(q)(?P=q))))"""
     r"""(?P<op>(?(open)|[\x20\t]*(?::=|=>|==?|:)[\x20\t]*))(?P<rhs>(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[^\s,;#"'(){}\[\]<>]+)(?:[\x20\t]*\+[\x20\t]*(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[\w$.]+))*)"""
 )
 _PART = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([^\s+"']+(?:\+[^\s+"']+)*)""")
@@ -164,10 +166,13 @@ def scan(text: str) -> list[tuple[str, int, int, str, float]]:
         out += [("assign", m.start(), m.end(), m[1], 1.0) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         out += [("access", m.start(), m.end(), "", 1.0) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    if b"x" * 24 in text.encode("utf-8", "surrogatepass").translate(_HEX_BYTES):
+    raw = text.encode("utf-8", "surrogatepass")
+    if b"x" * 24 in raw.translate(_HEX_BYTES):
         out += [("hex", m.start(), m.end(), "", 0.5) for m in _HEX.finditer(text)]
-    if ("=" in text or ":" in text or "</" in text) and any(h in low for h in _LEXED_HINTS):
-        out += [("literal", a, b, name, score) for a, b, name, score in lex(text)]
+    if "=" in text or ":" in text or ">" in text:
+        names = raw.translate(None, _BETWEEN).lower()
+        if any(h in names for h in _LEXED_HINTS):
+            out += [("literal", a, b, name, score) for a, b, name, score in lex(text)]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
