@@ -2,10 +2,9 @@
 
 Two generative models of hashed word n-grams (n = 1, 2) are counted: one of the target, the
 documents labelled good (and not toxic), one of all raw documents. A document's
-importance is the log of the ratio of its probability under both, divided by its number of n-grams
-so that long texts have no edge. Documents are drawn without replacement with
-probabilities in proportion to ``exp(temperature * weight)``: each gets a Gumbel number of its
-id's hash, and the k largest sums stay (Gumbel top-k).
+importance is the log of the ratio of its probability under both. Documents are drawn without
+replacement with probabilities in proportion to that ratio: each gets a Gumbel number of its
+id's hash, and the k largest sums of the two stay (Gumbel top-k).
 
 Counting sums bounded arrays (one count a bucket) from all tasks. The k-th
 largest key is found by counting keys in ranges, then in ranges of the
@@ -25,7 +24,6 @@ from pyspark.sql import functions as F
 from .base import pieces, prepare, save, shingles, small_side, text_buffer, words
 
 BITS = 14
-TEMPERATURE = 8.0
 #: Share of the documents that are drawn.
 SHARE = 0.5
 #: Ranges of one step of the search for the k-th key.
@@ -71,16 +69,16 @@ def ratios(n: np.ndarray) -> np.ndarray:
 
 
 def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """``doc_id``, ``n_grams``, ``log_ratio`` (the sum) and ``weight`` (its mean)."""
+    """``doc_id``, ``n_grams``, ``log_ratio`` (of the document) and ``mean_ratio`` (of one n-gram)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, n, bucket, row in _buckets(batch.column(1)):
                 size = np.bincount(row, minlength=n)
                 total = np.bincount(row, ratio[bucket], minlength=n).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(size, pa.int64()), pa.array(total), pa.array(total / np.maximum(1, size))], names=["doc_id", "n_grams", "log_ratio", "weight"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(size, pa.int64()), pa.array(total), pa.array(total / np.maximum(1, size))], names=["doc_id", "n_grams", "log_ratio", "mean_ratio"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_grams long, log_ratio double, weight double")
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_grams long, log_ratio double, mean_ratio double")
 
 
 def top_k(rows: DataFrame, key: str, k: int, tie: str) -> DataFrame:
@@ -115,22 +113,22 @@ def top_k(rows: DataFrame, key: str, k: int, tie: str) -> DataFrame:
     return rows.withColumn("selected", (F.col(key) > last[0]) | (F.col(key) == last[0]) & (F.col(tie) <= last[1]))
 
 
-def resample(docs: DataFrame, target: Column, share: float = SHARE, temperature: float = TEMPERATURE, seed: int = 17) -> DataFrame:
-    """Importance weights of all documents, and which of them are drawn.
+def resample(docs: DataFrame, target: Column, share: float = SHARE, seed: int = 17) -> DataFrame:
+    """Log importance ratios of all documents, and which of them are drawn.
 
     ``docs`` has ``doc_id`` and ``text``; ``target`` is true for rows of the target.
-    Returns ``doc_id``, ``n_grams``, ``log_ratio``, ``weight``, ``gumbel_key`` and
-    ``selected``, true for ``ceil(share * documents)`` rows of the largest keys.
-    A null or empty text has no n-gram and weight 0. Repeated rows have
+    Returns ``doc_id``, ``n_grams``, ``log_ratio``, ``mean_ratio``, ``gumbel_key`` (the log
+    ratio and a Gumbel number) and ``selected``, true for ``ceil(share * documents)`` rows of the largest keys.
+    A null or empty text has no n-gram and a log ratio of 0. Repeated rows have
     equal keys and are drawn or left together, by ties a few beyond the share; a null id's key is made as
-    if it were 0. Without any target row all weights are 0 and the draw is uniform.
+    if it were 0. Without any target row all ratios are 0 and the draw is uniform.
     """
     prepare(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(target, F.lit(False)).alias("target"))
     ratio = ratios(counts(source, F.col("target")))
     id_or_0 = F.coalesce(F.col("doc_id"), F.lit(0).cast("long"))
     uniform = (F.pmod(F.xxhash64(F.lit(seed), id_or_0), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keyed = weights(source, ratio).withColumn("gumbel_key", temperature * F.col("weight") - F.log(-F.log(uniform)))
+    keyed = weights(source, ratio).withColumn("gumbel_key", F.col("log_ratio") - F.log(-F.log(uniform)))
     keyed = save(keyed.withColumn("_tie", id_or_0))
     k = int(np.ceil(share * keyed.count()))
     return top_k(keyed, "gumbel_key", k, "_tie").drop("_tie")
