@@ -28,13 +28,15 @@ from .base import prepare
 
 BITS = 13
 LENGTHS = (1, 2, 3)
-#: The bound of the labelled sample, by language, and of all landmarks.
+#: The bound of the labelled sample, by language, and of all landmarks (one a language at least).
 PER_LANGUAGE = 400
 LANDMARKS = 192
 RIDGE = 1e-2
 #: A learned language's texts are taken to have so many new n-grams at least.
 LEAST_NEW = 0.02
 UNKNOWN = "und"
+#: Rows of the sample that are unpacked at once.
+_ROWS = 1024
 #: Code points handled at once.
 _PIECE = 1 << 19
 
@@ -107,7 +109,10 @@ def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def train(packed: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Fit on packed presence bits; rows take turns by language as landmarks."""
+    """Fit on packed presence bits; rows take turns by language as landmarks, so each language has one.
+
+    The sample stays packed (1 KB a row); its kernel values with the landmarks are made block by block.
+    """
     languages = sorted(set(labels))
     y = np.array([languages.index(x) for x in labels], dtype=np.int64)
     if not len(y):
@@ -115,14 +120,13 @@ def train(packed: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, rid
     turn = np.zeros(len(y), dtype=np.int64)
     for c in range(len(languages)):
         turn[y == c] = np.arange((y == c).sum())
-    chosen = np.lexsort((y, turn))[:landmarks]
-    x = np.unpackbits(packed, axis=1).astype(np.float32)
-    marks = x[chosen]
+    chosen = np.lexsort((y, turn))[: max(landmarks, len(languages))]
+    marks = np.unpackbits(packed[chosen], axis=1).astype(np.float32)
     k_mm = _kernel(marks, marks).astype(np.float64)
     values, vectors = np.linalg.eigh(k_mm)
     good = values > 1e-8 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    phi = _kernel(x, marks).astype(np.float64) @ root
+    phi = np.concatenate([_kernel(np.unpackbits(packed[i : i + _ROWS], axis=1).astype(np.float32), marks) @ root for i in range(0, len(y), _ROWS)])
     target = np.where(y[:, None] == np.arange(len(languages))[None, :], 1.0, -1.0)
     share = np.bincount(y, minlength=len(languages)).astype(np.float64)
     weight = (len(y) / (len(languages) * share))[y]
