@@ -5,12 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import BooleanType, NumericType
 
 #: Rows of an Arrow batch sent to a Python worker. Texts reach 100 KB, so the
 #: usual 10,000 rows could be a gigabyte; 512 keeps a worker's batch small.
@@ -31,16 +33,22 @@ def prepare(spark: SparkSession) -> None:
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which a cluster shares.
 
-    Only a session without that setting (tests in local mode) gets a
-    temporary folder of this machine.
+    A session without that setting uses the folder given to ``setCheckpointDir``, or, in
+    local mode alone (tests), a temporary folder of this machine; on a cluster, the warehouse.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not base and context.master.startswith("local"):
+        base = "file://" + _local_folder()
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/tallyloom-{uuid.uuid4().hex}"
 
 
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="tallyloom-")
+
+
 def save(df: DataFrame) -> DataFrame:
     """Cut the lineage: write to the shared scratch folder and read back."""
     spark = df.sparkSession
@@ -58,15 +66,44 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows of at most a few numbers each that may be broadcast.
-SMALL_ROWS = 1_000_000
+#: Bytes of a side of numbers that may be broadcast, and of one of its rows beside its numbers.
+SMALL_BYTES, ROW_BYTES = 32 << 20, 16
+
+
+def small_side(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
+    """Hint a broadcast if a count shows ``df`` (saved, of fixed-width columns) to be small, else leave it to a shuffle join.
+
+    Counting a saved table reads its footers alone. Other columns have no size that
+    a count could show, so they are refused.
+    """
+    from pyspark.sql import functions as F
+
+    if not all(isinstance(f.dataType, NumericType | BooleanType) for f in df.schema):
+        raise TypeError(f"no bound is known for the size of {df.schema.simpleString()}")
+    return F.broadcast(df) if df.count() * (8 * len(df.columns) + ROW_BYTES) <= most else df
+
 
+#: Rows of one key that a task of ``hub_join`` gets.
+HUB_ROWS = 1024
 
-def small_side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """Hint a broadcast if a count shows at most ``rows`` rows, else leave it to a shuffle join."""
+
+def hub_join(rows: DataFrame, side: DataFrame, key: str, spread: str, keys: DataFrame | None = None) -> DataFrame:
+    """Inner join of ``rows`` to ``side`` (few rows a key) on ``key``, where a key may have a large share of the rows.
+
+    Rows of a key with more than HUB_ROWS are dealt over several tasks by a hash of
+    ``spread``, and the side's rows of that key are copied to each of these. ``keys``
+    is a saved table with the rows' keys, if ``rows`` isn't saved itself.
+    """
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    heavy = (rows if keys is None else keys).groupBy(F.col(key).alias("_hub")).agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("_parts")).where("_parts > 1")
+    heavy = save(heavy)
+    if heavy.isEmpty():
+        return rows.join(side, key)
+    heavy = small_side(heavy)
+    left = rows.join(heavy, F.col(key) == F.col("_hub"), "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")), F.lit(0)).cast("int"))
+    right = side.join(heavy, F.col(key) == F.col("_hub"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    return left.drop("_hub", "_parts").join(right.drop("_hub", "_parts"), [key, "_part"]).drop("_part")
 
 
 def free_shuffles(spark: SparkSession) -> None:

@@ -69,13 +69,13 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WORDS, percent:
     index = save(item_index(items, width, percent))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     hashed = source.select("doc_id", F.explode(shingle_hashes(F.col("text"), width)).alias("h"))
-    keys = index.select("item_id", F.explode("keys").alias("h"))
+    keys = save(index.select("item_id", F.explode("keys").alias("h")))
     pairs = save(hashed.join(small_side(keys), "h").select("doc_id", "item_id").distinct())
 
-    ids = pairs.select("doc_id").distinct()
+    ids = save(pairs.select("doc_id").distinct())
     suspects = source.join(small_side(ids), "doc_id", "left_semi")
     suspects = suspects.select("doc_id", F.explode(shingle_hashes(F.col("text"), width)).alias("h"))
-    whole = index.select("item_id", "n_item", F.explode("shingles").alias("h"))
+    whole = save(index.select("item_id", "n_item", F.explode("shingles").alias("h")))
     shared = suspects.join(small_side(whole), "h").select("doc_id", "item_id", "n_item", "h").distinct()
     shared = shared.groupBy("doc_id", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
     found = shared.join(pairs, ["doc_id", "item_id"]).where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
@@ -83,10 +83,17 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WORDS, percent:
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that contain no item; columns as they came."""
-    id_col = options.get("id_col", "doc_id")
-    bad = save(contaminated(docs, items, **options).select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(small_side(bad), F.col(id_col).cast("long") == F.col("_bad"), "left_anti")
+    """The documents that contain no item; columns as they came, whatever their names.
+
+    Rows with a null id or text stay. Rows with equal ids are one document: all of them
+    stay or none, and repeated rows stay repeated. Without items all rows stay.
+    """
+    held = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    name = dict(zip(docs.columns, held.columns, strict=True))
+    id_col, text_col = (name[options.pop(k, d)] for k, d in (("id_col", "doc_id"), ("text_col", "text")))
+    found = contaminated(held, items, id_col=id_col, text_col=text_col, **options)
+    bad = save(found.select(F.col("doc_id").alias("_bad")).distinct())
+    return held.join(small_side(bad), F.col(id_col).cast("long") == F.col("_bad"), "left_anti").toDF(*docs.columns)
 
 
 ORACLE = r"""

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import distinct, free_shuffles, mix, pieces, prepare, save, shingles, small_side, text_buffer, words
+from .base import distinct, free_shuffles, hub_join, mix, pieces, prepare, save, shingles, small_side, text_buffer, words
 
 BANDS, ROWS = 32, 4
 _GOLD = 0x9E3779B97F4A7C15
@@ -87,6 +87,15 @@ def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray,
         yield a, b - a, u, at
 
 
+def _keys(u: np.ndarray, where: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit keys of each set, whose elements end at ``where``."""
+    out = []
+    for salt in (_U(0x243F6A8885A308D3), _U(0x13198A2E03707344)):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(u ^ salt), dtype=np.uint64)])
+        out.append(mix(total[where[1:]] - total[where[:-1]] + np.diff(where).astype(np.uint64)).view(np.int64))
+    return out
+
+
 def signatures(docs: DataFrame, width: int = 2, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``key1``, ``key2`` and the band hashes (null if the set is empty)."""
     prepare(docs.sparkSession)
@@ -107,10 +116,7 @@ def signatures(docs: DataFrame, width: int = 2, bands: int = BANDS, rows: int =
                 for k in range(rows):
                     band = mix(band * _U(0xD6E8FEB86659FD93) + sig.reshape(n, bands, rows)[:, :, k])
                 band = mix(band + np.arange(1, bands + 1, dtype=np.uint64) * _U(_GOLD))
-                keys = []
-                for salt in (_U(0x243F6A8885A308D3), _U(0x13198A2E03707344)):
-                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(u ^ salt), dtype=np.uint64)])
-                    keys.append(mix(total[where[1:]] - total[where[:-1]] + count.astype(np.uint64)).view(np.int64))
+                keys = _keys(u, where)
                 flat = pa.array(band.view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), flat, mask=pa.array(count == 0))
                 yield pa.RecordBatch.from_arrays(
@@ -123,29 +129,31 @@ def signatures(docs: DataFrame, width: int = 2, bands: int = BANDS, rows: int =
 
 
 def shingle_sets(docs: DataFrame, width: int = 2) -> DataFrame:
-    """``doc_id`` and its full shingle set as an ascending array of 64-bit hashes."""
+    """``doc_id``, the two keys of its full shingle set, and that set as an ascending array of 64-bit hashes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, n, u, at in _sets(batch.column(1), width):
-                edges = np.searchsorted(at, np.arange(n + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(u.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), lists], names=["doc_id", "shingles"])
+                edges = np.searchsorted(at, np.arange(n + 1))
+                keys = _keys(u, edges)
+                lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(u.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(keys[0]), pa.array(keys[1]), lists], names=["doc_id", "key1", "key2", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, key1 long, key2 long, shingles array<long>")
 
 
 def _sets_of(pairs: DataFrame, source: DataFrame, width: int) -> DataFrame:
-    """Full sets of the documents in pairs, one row an id."""
+    """Full sets of the documents in pairs, one row for each set of an id."""
     ids = save(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    return save(shingle_sets(source.join(small_side(ids), "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]))
+    sets = shingle_sets(source.join(small_side(ids), "doc_id", "left_semi"), width)
+    return save(sets.dropDuplicates(["doc_id", "key1", "key2"]).select("doc_id", "shingles"))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * |A and B| >= percent * |A or B| on full sets."""
+    """Pairs (a, b) with 100 * |A and B| >= percent * |A or B| on full sets, those of an a with many pairs in several tasks."""
     left = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    both = pairs.join(left, "b").join(right, "a")
+    both = hub_join(pairs.join(left, "b"), right, "a", "b", pairs)
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
     return both.where(common * 100 >= union * percent).select("a", "b")
@@ -164,9 +172,9 @@ def components(edges: DataFrame) -> DataFrame:
         uneven = roles.groupBy("node").agg(F.sum("child").alias("up"), F.min("child").alias("root")).where("up > 1 or up = 1 and root = 0")
         if uneven.isEmpty():
             break
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = save(now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        large = hub_join(both, low, "u", "v").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         now = save(small.where("u <> v").distinct())
@@ -239,8 +247,9 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, bands: i
     ``component_id`` is the smallest id reachable over links, ``kept`` tells
     whether that is the row's own. Null and empty texts, or texts without words,
     have an empty set and stand alone. A null id takes part in no group and is
-    kept. Rows with the same id and text are kept as rows of one component;
-    an empty table gives an empty result. Other columns are not read.
+    kept. Each row has its own text's set; rows with the same id, whatever their texts, are of one
+    component, which a link of any of them joins. An empty table gives an empty result.
+    Other columns are not read.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -276,12 +285,18 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, bands: i
     pairs = save(pairs.select("a", F.col("rep").alias("b")).distinct())
     more = verify(pairs, _sets_of(pairs, source, width), percent)
     crowded = mixed.where(F.col("m") > FEW).select(F.explode(F.array("low", "high")).alias("band")).distinct()
+    crowded = save(crowded)
     many = save(rest.join(small_side(crowded), "band", "left_semi"))
-    heads = many.groupBy("band").agg(F.min("rep").alias("a"))
+    heads = save(many.groupBy("band").agg(F.min("rep").alias("a")))
     many = many.join(small_side(heads), "band").select("a", F.col("rep").alias("b"), "label").distinct()
     if not many.isEmpty():
         more = more.unionByName(_families(many, source, width, percent))
-    final = components(links.unionByName(more))
+    key = F.struct("key1", "key2")
+    several = save(full.groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi").select("doc_id"))
+    if not several.isEmpty():  # an id with several sets joins their classes
+        rows_of = full.join(small_side(several), "doc_id", "left_semi").select("doc_id", "key1", "key2").distinct()
+        more = more.unionByName(rows_of.join(reps, ["key1", "key2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    final = save(components(links.unionByName(more)))
 
     named = F.col("n_shingles") > 0
     classes = reps.select(F.col("key1").alias("k1"), F.col("key2").alias("k2"), "rep")
