@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tallyloom.llm import bpe, decontam, hpylm, langid, licenses, neardup, quality, queries, secrets, tokenbin, vptree
+from tallyloom.llm import base, bpe, decontam, hpylm, langid, licenses, neardup, quality, queries, secrets, tokenbin, vptree
 from tallyloom.llm.elias_fano import EliasFano
 
 SF = "/root/testdata/sf0.001"
@@ -173,6 +173,31 @@ def test_kernel_is_shared_ngrams():
     assert math.isclose(k[0, 0], 1, rel_tol=1e-6) and math.isclose(k[0, 1], (bits[0] & bits[1]).sum() / math.sqrt(bits[0].sum() * bits[1].sum()), rel_tol=1e-6)
 
 
+def test_language_weights_equal_an_exact_solve(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcde " if i % 3 else "vwxyz "), 40)) for i in range(60)]
+    labels = [("x", "y", "z")[i % 3] for i in range(60)]
+    packed = np.packbits(langid.presence(texts), axis=1)
+    monkeypatch.setattr(langid, "_ROWS", 7)
+    model = langid.train(packed, labels, landmarks=60)
+    # All rows are landmarks, so Nystroem is exact: centred, weighted ridge in the dual, with the full kernel.
+    bits = langid.presence(texts).astype(np.float64)
+    k = bits @ bits.T / np.sqrt(bits.sum(1)[:, None] * bits.sum(1)[None, :])
+    y = np.array([[1.0 if a == b else -1.0 for b in "xyz"] for a in labels])
+    w = np.full(60, 60 / (3 * 20))
+    m = np.eye(60) - np.outer(np.ones(60), w / w.sum())
+    kc, yc = m @ k @ m.T, m @ y
+    alpha = np.linalg.solve(np.diag(w) @ kc + langid.RIDGE * 60 * np.eye(60), np.diag(w) @ yc)
+    want = kc @ alpha + (w @ y) / w.sum()
+    assert np.allclose(model.scores(langid.presence(texts)), want, atol=2e-3)
+
+
+def test_every_language_has_a_landmark():
+    texts = [chr(97 + i // 26) + chr(97 + i % 26) * 3 for i in range(250)]
+    model = langid.train(np.packbits(langid.presence(texts), axis=1), texts)
+    assert len(model.landmarks) == 250
+
+
 # --- secrets -----------------------------------------------------------------
 
 
@@ -228,7 +253,34 @@ def test_secrets_in_parts():
     assert literals(doubled) == [("Zx81", "password")]
 
 
+def test_secrets_with_long_and_split_names():
+    def literals(text):
+        return [(text[a:b], name) for kind, a, b, name, _ in secrets.scan(text) if kind == "literal"]
+
+    value = "Zx81kLmQ09aa"
+    long_name = "part_" * 40 + "x"
+    assert literals(f'{long_name} = "{value}"\npassword = {long_name}') == [(value, "password")]
+    assert literals(f"pass_word = '{value}'") == [(value, "pass_word")]
+    assert literals(f"pass.word: {value}") == [(value, "pass.word")]
+    assert literals(f"passé_word = '{value}'") == [(value, "passé_word")]
+    assert literals(f"<password>{value}") == [(value, "password")]
+    assert literals(f"1password = '{value}'") == [(value, "password")]
+    long_run = "a-" * 60_000 + "token"  # one name, read once
+    assert literals(long_run) == [] and literals(long_run + f" = '{value}'") == [(value, long_run)]
+
+
+def test_cheap_tests_lose_no_span():
+    rng = np.random.default_rng(3)
+    names = ["password", "pass_word", "apiKey", "API-KEY", "db.secret", "title", "x1", "authToken", "key$", "cré_dential", "pin"]
+    values = ["'Zx81kLmQ09aa'", '"kk39-Qm/xZ71"', "Qw9zLk21mmPQ", "'hello there'", "x1", "title", "42"]
+    for _ in range(300):
+        text = rng.choice(["\n", "; ", ", "]).join(f"{rng.choice(names)}{rng.choice(['=', ' = ', ': ', ' := ', ' => ', ' == '])}{rng.choice(values)}" for _ in range(rng.integers(1, 6)))
+        assert [x[1:3] for x in secrets.scan(text) if x[0] == "literal"] == [x[:2] for x in secrets.lex(text)]
+
+
 def test_secrets_odd_rows(odd, empty):
+    clash = odd.withColumns({"secrets": F.lit("a"), "redacted": F.lit(1)})
+    assert set(secrets.find_secrets(clash, keep=clash.columns, redact=True).columns) == set(clash.columns)
     got = secrets.find_secrets(odd, keep=odd.columns, redact=True).collect()
     assert len(got) == 12 and all(r.redacted == r.text and not r.secrets for r in got)
     assert secrets.find_secrets(empty).count() == 0
@@ -238,17 +290,45 @@ def test_secrets_odd_rows(odd, empty):
 
 
 def test_quality(spark, odd, empty):
-    rows = queries.op3_quality(spark, SF).collect()
-    assert len(rows) == 200 and sum(r.selected for r in rows) == 100
-    picked = sorted(rows, key=lambda r: (-r.gumbel_key, r.doc_id))[:100]
-    assert {r.doc_id for r in picked} == {r.doc_id for r in rows if r.selected}
-    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
-    counted = quality.counts(quality.good(docs, labels), F.col("target"))
-    n = sum(max(0, 2 * len(tokens(r.text)) - 1) if len(tokens(r.text)) != 1 else 2 for r in docs.collect())
-    assert counted[0].sum() == n and 0 < counted[1].sum() < n
+    rows = {r.doc_id: r for r in queries.op3_quality(spark, SF).collect()}
+    assert len(rows) == 200 and sum(r.selected for r in rows.values()) == 100
+    picked = sorted(rows.values(), key=lambda r: (-r.gumbel_key, r.doc_id))[:100]
+    assert {r.doc_id for r in picked} == {r.doc_id for r in rows.values() if r.selected}
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet").collect(), spark.read.parquet(f"{SF}/labels.parquet").collect()
+    fine = {r.doc_id for r in labels if r.quality == 1} - {r.doc_id for r in labels if r.toxic == 1} - {r.doc_id for r in labels if r.quality != 1}
+
+    def buckets(text):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        h, row, _, _ = base.words(raw, np.array([0, len(raw)]))
+        return [int(x) >> (64 - quality.BITS) for x in [*h, *base.shingles(h, row, 1, 2)[0]]]
+
+    grams = {r.doc_id: buckets(r.text) for r in docs}
+    n = [Counter(), Counter()]
+    for i, own in grams.items():
+        n[0].update(own)
+        if i in fine:
+            n[1].update(own)
+    size, uniform = 1 << quality.BITS, {}
+    for r in spark.range(1).select(*[(F.pmod(F.xxhash64(F.lit(17), F.lit(i).cast("long")), F.lit(1 << 52)) + 0.5).alias(str(i)) for i in rows]).collect():
+        uniform = {int(k): v / (1 << 52) for k, v in r.asDict().items()}
+    for i, own in grams.items():
+        want = sum(math.log((n[1][b] + 1) / (sum(n[1].values()) + size)) - math.log((n[0][b] + 1) / (sum(n[0].values()) + size)) for b in own)
+        got = rows[i]
+        assert got.n_grams == len(own) and math.isclose(got.log_ratio, want, rel_tol=1e-6, abs_tol=1e-6)
+        assert math.isclose(got.gumbel_key, want - math.log(-math.log(uniform[i])), rel_tol=1e-6, abs_tol=1e-6)
+
+
+def test_quality_odd_rows(odd, empty):
     target = F.col("doc_id") == 5
-    assert quality.resample(odd, target).where("selected").count() == 6
-    assert quality.resample(empty, target).count() == 0
+    clash = odd.withColumns({"target": F.lit("a"), "log_ratio": F.lit(1), "selected": F.lit(2)})
+    rows = quality.resample(clash, target).collect()
+    assert len(rows) == 12 and sum(r.selected for r in rows) == 6
+    found = {r.doc_id: r for r in rows}
+    assert all(found[i].n_grams == 0 and found[i].log_ratio == 0 for i in (1, 2, 3))
+    assert len({(r.log_ratio, r.gumbel_key, r.selected) for r in rows if r.doc_id == 6}) == 1
+    assert found[5].n_grams == 2 * 24000 - 1 and found[5].log_ratio > 0
+    flat = quality.resample(odd, F.lit(None).cast("boolean")).collect()
+    assert all(r.log_ratio == 0 for r in flat) and quality.resample(empty, target).count() == 0
 
 
 def test_top_k_narrows_and_breaks_ties(spark):
@@ -413,6 +493,35 @@ def test_blocked_links_equal_brute_force():
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == want
 
 
+def test_ids_with_several_texts(spark):
+    base_words = [f"w{i}" for i in range(40)]
+    a, b = " ".join(base_words), " ".join(f"v{i}" for i in range(40))
+    c = " ".join(f"u{i}" for i in range(40))
+    rows = [(5, a), (5, b), (9, b + " more"), (3, a + " again"), (12, c), (9, c), (20, "alone here"), (20, "alone here")]
+    for order in (rows, rows[::-1]):
+        got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()}
+        assert got == {(5, 39): (3, False), (9, 40): (3, False), (3, 40): (3, True), (12, 39): (3, False), (9, 39): (3, False), (20, 1): (20, True)}
+
+
+def test_hot_keys_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(base, "HUB_ROWS", 16)
+    edges = [(0, i) for i in range(1, 300)] + [(500, 501), (300, 500), (299, 300)]
+    got = {r.node: r.component for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in [*range(301), 500, 501]}
+    rows = base.save(spark.range(100).select((F.col("id") % 2).alias("k"), "id"))
+    side = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "k long, v string")
+    found = base.hub_join(rows, side, "k", "id").collect()
+    assert sorted((r.k, r.id, r.v) for r in found) == sorted((i % 2, i, "ab"[i % 2]) for i in range(100))
+
+
+def test_only_sides_of_known_size_are_broadcast(spark):
+    few = base.save(spark.range(10))
+    assert "broadcast" in base.small_side(few)._jdf.queryExecution().toString().lower()
+    assert "broadcast" not in base.small_side(few, 100)._jdf.queryExecution().toString().lower()
+    with pytest.raises(TypeError):
+        base.small_side(spark.createDataFrame([("a",)], "s string"))
+
+
 def test_near_duplicate_odd_rows(odd, empty):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(odd).collect()}
     assert got[1] == (0, 1, True) and got[2] == (0, 2, True) and got[None] == (4, None, True)
@@ -452,6 +561,10 @@ def test_decontamination(spark, odd, empty):
     assert found == {(20, 1): (26, 26), (21, 1): (26, 21), (9, 3): (1, 1), (6, 4): (2, 2), (7, 4): (2, 2)}
     assert decontam.contaminated(empty, items).count() == 0 and decontam.contaminated(docs, items.where("false")).count() == 0
     assert decontam.clean(odd, items).count() == 8
+    clash = odd.withColumns({"_bad": F.lit(1), "h": F.lit("x"), "item_id": F.lit(3), "_c0": F.lit(None).cast("string")})
+    left = decontam.clean(clash, items)
+    assert left.columns == clash.columns and left.count() == 8
+    assert decontam.clean(odd, items.where("false")).count() == 12 and decontam.clean(empty, items).count() == 0
 
 
 # --- vectors -----------------------------------------------------------------
@@ -485,18 +598,32 @@ def test_nearest_ties_odd_rows_and_shards(spark):
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
     asked = {i for i, _ in rows if i is not None and i % 20 == 0}
     want = brute_nearest(rows, asked, 20)
-    index_rows = vptree.SHARD_ROWS
-    try:
-        vptree.SHARD_ROWS = 200
-        got = {}
-        for r in vptree.nearest(vectors, vectors.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
-            got.setdefault(r.query_id, []).append(r.vec_id)
-    finally:
-        vptree.SHARD_ROWS = index_rows
+    assert vptree.build_index(vptree.usable(vectors), 20, 200).where("dim = 8").count() > 2
+    got = {}
+    for r in vptree.nearest(vectors, vectors.where("vec_id % 20 = 0"), shard_rows=200).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
     assert got == {k: [i for i, _ in v] for k, v in want.items() if v}
     assert vptree.nearest(vectors.where("false"), vectors).count() == 0 and vptree.nearest(vectors, vectors.where("false")).count() == 0
 
 
+def test_ties_of_different_vectors_go_to_smaller_ids(spark):
+    rng = np.random.default_rng(11)
+    rows = [(0, [1.0, 0.0, 0.0])] + [(int(i), [0.5, float(a), float(b)]) for i, (a, b) in zip(rng.permutation(500) + 1, rng.normal(size=(500, 2)), strict=True)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for shard_rows in (8192, 100):
+        found = vptree.nearest(vectors, vectors.where("vec_id = 0"), shard_rows=shard_rows).orderBy("rank").collect()
+        assert [(r.rank, r.vec_id, r.score) for r in found] == [(i, i, 0.5) for i in range(1, 21)]
+
+
+def test_nearest_matches_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in queries.op8_nearest(spark, SF).collect())
+    assert got == sorted((q, n, v, round(x, 9)) for q, n, v, x in con.execute(vptree.ORACLE).fetchall())
+
+
 def test_pruning_factor_trades_recall():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(20, 16)) * 4
@@ -522,7 +649,54 @@ def test_licenses(spark, odd, empty):
     rows = [(1, f"{filler} {mit} {filler}"), (2, f"/* {wrapped} */"), (3, mit[:150]), (4, "x\nAll rights reserved.\ny"), (5, "we say all rights reserved here"), (6, f"{filler}\nReleased under the MIT License.")]
     got = {r.doc_id: r for r in licenses.find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [sorted({m.license for m in got[i].licenses}) for i in range(1, 7)] == [["MIT"], ["MIT"], [], ["Proprietary"], [], ["MIT"]]
+    assert [m.license for m in licenses.find_licenses(spark.createDataFrame([(1, "Copyright (c) 2024 Acme. All rights reserved.")], "doc_id long, text string")).first().licenses] == ["Proprietary"]
     span = got[1].licenses[0]
     assert rows[0][1].encode()[span.start : span.end].decode().split()[:3] == mit.split()[:3]
     assert licenses.find_licenses(odd).where("size(licenses) > 0").count() == 0 and licenses.find_licenses(odd).count() == 12
     assert licenses.find_licenses(empty).count() == 0
+
+
+def test_license_occurrences_against_brute_force(spark):
+    """Every occurrence, cut down and spread in filler, by the words of whole texts."""
+    rng = np.random.default_rng(6)
+    table = [(name, text) for name, notices in licenses.TEMPLATES.items() for text in notices if len(text.split()) >= licenses.WIDTH]
+
+    def clean(text):
+        return [w.strip("\"'()[]{}<>.,;:!?*#/\\-_=|&%$").lower() for w in text.split()]
+
+    def grams(words):
+        words = [w for w in words if w]
+        return [tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
+
+    texts, planted = [], []
+    for i in range(120):
+        words, own = [], []
+        for _ in range(rng.integers(1, 4)):
+            words += [f"f{rng.integers(0, 10**9)}" for _ in range(rng.integers(120, 900))]
+            name, notice = table[rng.integers(0, len(table))]
+            part = notice.split()
+            drop = int(rng.integers(0, len(part) // 4))
+            words += part[: len(part) - drop]
+        words += [f"f{rng.integers(0, 10**9)}" for _ in range(100)]
+        text = " ".join(words)
+        for number, (name, notice) in enumerate(table):
+            want, runs, seen, last = set(grams(clean(notice))), 0, set(), None
+            for at, g in enumerate(grams(clean(text))):
+                if g in want:
+                    if last is not None and (at - last > len(want) or g in seen and len(seen) * 100 >= len(want) * 80):
+                        runs, seen = runs + (len(seen) * 100 >= len(want) * 80), set()
+                    seen.add(g)
+                    last = at
+            runs += len(seen) * 100 >= len(want) * 80
+            own += [(name, number)] * runs
+        texts.append((i, text))
+        planted.append(own)
+    rows = licenses.find_licenses(spark.createDataFrame(texts, "doc_id long, text string"), templates=spark.createDataFrame(table, "license string, text string")).collect()
+    by_number = sorted(table)
+    got = [(r.doc_id, m.license, by_number[m.template][1]) for r in rows for m in r.licenses]
+    want = [(i, name, table[number][1]) for i, own in enumerate(planted) for name, number in own]
+    missed = Counter(want) - Counter(got)
+    assert not Counter(got) - Counter(want) and len(want) > 120
+    assert sum(missed.values()) <= 0.01 * len(want)
+    twice = licenses.find_licenses(spark.createDataFrame([(1, f"{table[2][1]} {' '.join('x' + str(i) for i in range(3000))} {table[2][1]} {table[2][1]}")], "doc_id long, text string")).first().licenses
+    assert len(twice) == 3 and all(m.end - m.start < 2 * len(table[2][1]) for m in twice)
