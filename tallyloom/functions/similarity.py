@@ -40,6 +40,19 @@ def close_match(words: list[str], cutoff: float):
     return pick
 
 
-def close_word(w: str, others) -> bool:
-    """Equal to one of the others, or longer than four letters and 0.88 alike."""
-    return w in others or len(w) > 4 and any(likeness(w, o) >= 0.88 for o in others)
+def close_words(least: float):
+    """A function of two arrays of words: how many of the first are at least so alike to any of the second.
+
+    Pairs whose lengths, or shared letters, rule such a likeness out are never compared.
+    """
+
+    def fits(w: str, o: str) -> bool:
+        m = SequenceMatcher(None, w, o)
+        return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
+
+    @F.pandas_udf(T.IntegerType())
+    def count(words: pd.Series, others: pd.Series) -> pd.Series:
+        none = lambda x: x is None or not len(x)
+        return pd.Series([0 if none(a) or none(b) else sum(any(fits(w, o) for o in b) for w in a) for a, b in zip(words, others, strict=True)], dtype="int32")
+
+    return count

@@ -14,11 +14,19 @@ def test_barangays(spark):
     assert got == {1: ("found", "San Roque (Pob.)"), 2: ("found", "Malipayon"), 3: ("no_town", None), 4: ("no_name", None)}
 
 
-def test_scores():
-    assert matching.school_score("rizal national high school", "rizal national high school") == 1.05
-    assert matching.school_score("rizal national high school", "bonifacio national high school") < matching.SCHOOL_LEAST <= matching.school_score("jose rizal high school", "jose rizal national high school")
-    assert matching.hospital_score("bataan general hospital", "bataan general hospital and medical center", frozenset(["bataan"])) == 0.95
-    assert matching.hospital_score("quirino memorial hospital", "rizal medical center") == 0
+def test_scores(spark):
+    def score(make, *rows):
+        table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string, p array<string>")
+        return [r.v for r in table.select("i", make.alias("v")).orderBy("i").collect()]
+
+    a, b, place = F.col("a"), F.col("b"), F.col("p")
+    got = score(
+        matching.school_likeness(a, b), ("rizal national high school", "rizal national high school", None), ("rizal national high school", "bonifacio national high school", None),
+        ("jose rizal high school", "jose rizal national high school", None), ("jose rizall school", "jose rizal school", None), ("high school", "central school", None),
+    )
+    assert got[0] == 1.05 and got[1] < matching.SCHOOL_LEAST <= got[2] and got[3] > 1 and got[4] < 0.8
+    got = score(matching.hospital_likeness(a, b, place), ("bataan general hospital", "bataan general hospital and medical center", ["bataan"]), ("quirino memorial hospital", "rizal medical center", []))
+    assert got == [0.95, 0.0]
 
 
 def test_hospitals_and_schools(spark):
