@@ -59,6 +59,13 @@ def save(df: DataFrame) -> DataFrame:
     return out
 
 
+def open_folder(uri: str):
+    """(file system, path) of a location that driver and executors share."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if ":" in uri.split("/")[0] else (fs.LocalFileSystem(), uri)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a saved table that nothing reads any more: what was made of it is saved itself."""
     spark = df.sparkSession

@@ -1,40 +1,34 @@
 """Language-model scores by a hierarchical Pitman-Yor model (operator 5).
 
-The model is a chain of Chinese restaurants. A word restaurant seats every training
-token; its parent spells words out, symbol by symbol, in restaurants whose
-contexts are the last three, two, one and no symbols of the word, each sharing the
-parent that drops the farthest symbol; the last parent is uniform. A table opened for
-a word sends one customer to each restaurant of its spelling, so unknown words still
-get the probability of their spelling.
-
-Seating is Gibbs sampled in blocks: given the parent's probabilities and the
-numbers of tables elsewhere, the number of tables t of c like customers has the
-weight ``S_d(c, t) * a**t`` (generalized Stirling numbers), and is drawn from it; past
-64 customers the rest are seated one after another by the restaurant's rule, in
-short runs. Probabilities are averaged over the kept samples. Discounts are
-``n1 / (n1 + 2 n2)`` of each level's counts.
-
-A second seating has a word restaurant for every previous word (a text's first word
-follows its end), all sharing a unigram parent whose customers are their tables, above
-the same spellings. It gives ``context_score``. Its pairs of words are counted exactly,
-by 64-bit hashes of both words, pre-aggregated by block; a pair that occurs once has one
-table, so only the others are seated again, by joins on either word.
-
-Words are counted exactly, over all training texts. The words of a block of
-documents are numbered there; counts and probabilities go back to the blocks
-by a join on the word, so no table of words is ever broadcast. What the driver and
-every executor hold is the spelling model alone, bounded by 2**17 contexts of 64 symbols
-and sent as the rows of contexts that occurred.
+The model is a chain of Chinese restaurants. Every previous word has a restaurant that seats
+the training tokens after it (a text's first word follows its end); all of them share one
+restaurant of words, whose customers are their tables; its parent spells words out, symbol by
+symbol, in restaurants whose contexts are the last three, two, one and no symbols of the
+word, each sharing the parent that drops the farthest symbol; the last parent is uniform.
+
+Seating is sampled by Gibbs sweeps: the like customers of a restaurant leave together and come
+back by the restaurant's rule, in runs of a 24th of those already back (one by one at
+first), so the work grows with the log of their number. Draws come from hashes of
+what is seated, so they depend neither on partitions nor on order. Predictive probabilities
+are averaged over the kept seatings. Discounts are ``n1 / (n1 + 2 n2)`` of each level's counts.
+
+Words and pairs of words are counted exactly over all training texts. Documents are dealt to blocks,
+whose tokens stay in a file of the shared folder; what travels are packed messages between blocks
+and buckets. A bucket has a range of the hashes of words and of pairs, adds up the
+messages of all blocks, and answers each in the same order, so answers carry no keys. Of the
+blocks that have a pair one owns it and counts its tables; the others draw the
+same ones. No table of words or pairs is ever broadcast or collected, and a frequent word is one entry a block.
+What the driver and every executor hold is the spelling model alone, bounded by 2**17 contexts of 64
+symbols and sent as the rows of contexts that occurred.
 """
 
 from __future__ import annotations
 
-import hashlib
+import pickle
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import count
 
 import numpy as np
@@ -43,66 +37,81 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import discard, free_shuffles, prepare, save
+from .base import discard, free_shuffles, mix, open_folder, prepare, save, scratch_dir
+from .base import words as words_of
+from .elias_fano import EliasFano
 
 #: Tokens of a block of documents (a longer document is a block of its own).
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 2_500_000
 SYMBOLS, FAR = 64, 32
 LEVELS = (1, SYMBOLS, SYMBOLS**2, SYMBOLS**2 * FAR)
 OTHER = SYMBOLS - 1
 THETA = 1.0
 #: Probability that the parent of the word restaurant gives to the end of a text.
 END_BASE = 1e-3
-EXACT = 64
-#: Kept samples of the seating of words, and sweeps over spellings for each.
-SAMPLES, SWEEPS, KEPT = 2, 6, 3
-#: Seatings drawn before the first kept one.
-BURN = 1
+#: Seatings of words drawn before the first kept one, and kept ones; sweeps over spellings for each, and kept ones of these.
+BURN, SAMPLES, SWEEPS, KEPT = 1, 2, 6, 3
+#: Customers come in runs of this part of those seated; so many expected hits of a run are drawn exactly.
+RUN, FEW_HITS = 24, 30
+#: Bits of a pair's hash.
+PAIR_BITS = 56
+_U = np.uint64
+_GOLD = 0x9E3779B97F4A7C15
 
 
 # --- seating -----------------------------------------------------------------
 
 
-@lru_cache(maxsize=16)
-def stirling(d: float, n: int = EXACT) -> np.ndarray:
-    """log S_d(c, t) for c, t up to n; minus infinity where it is zero."""
-    out = np.full((n + 1, n + 1), -np.inf)
-    out[0, 0] = 0
-    with np.errstate(divide="ignore"):
-        for c in range(n):
-            t = np.arange(1, n + 1)
-            out[c + 1, 1:] = np.logaddexp(out[c, :-1], np.log(np.maximum(c - d * t, 0)) + out[c, 1:])
-    return out
+def _uniform(keys: np.ndarray, salt: int) -> np.ndarray:
+    """A number in (0, 1) for each 64-bit key."""
+    return ((mix(keys ^ mix(np.array([salt & (1 << 64) - 1], np.uint64))) >> _U(11)) + 0.5) / float(1 << 53)
+
+
+def _binomial(m: np.ndarray, q: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """How many of m draws hit with chance q, from uniform numbers: by adding up chances, or by the normal law where over FEW_HITS are expected."""
+    mean = m * q
+    out = np.floor(mean + np.sqrt(mean * (1 - q)) * np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v) + 0.5)
+    live = np.flatnonzero(mean <= FEW_HITS)
+    out[live] = 0
+    q, m, u = np.minimum(q[live], 1 - 1e-12), m[live], u[live]
+    chance = np.exp(m * np.log1p(-q))
+    total, k = chance.copy(), 0
+    while (go := np.flatnonzero((total < u) & (k < m))).size:
+        live, q, m, u, total = live[go], q[go], m[go], u[go], total[go]
+        chance = chance[go] * (m - k) / (k + 1) * q / (1 - q)
+        total += chance
+        k += 1
+        out[live] = k
+    return np.clip(out, 0, None).astype(np.int64)
+
 
+def seat(c: np.ndarray, p: np.ndarray, others: np.ndarray, d: float, keys: np.ndarray, salt: int) -> np.ndarray:
+    """Tables of c like customers that come in again, by the restaurant's rule.
 
-def seat(c: np.ndarray, log_a: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Draw the number of tables of c like customers; a is the pull of a new table."""
-    t = np.minimum(c, 1)
-    table = stirling(d)
-    a = np.exp(np.maximum(log_a, -700))
-    head = np.minimum(c, EXACT)
-    order = np.argsort(head, kind="stable")
-    edges = np.searchsorted(head[order], np.arange(2, EXACT + 2))
-    for n in range(2, EXACT + 1):
-        rows = order[edges[n - 2] : edges[n - 1]]
-        for part in np.array_split(rows, -(-len(rows) // 4_000)) if len(rows) else []:
-            w = table[n, 1 : n + 1][None, :] + log_a[part][:, None] * np.arange(1, n + 1)[None, :]
-            w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
-            u = rng.random(len(part)) * w[:, -1]
-            t[part] = 1 + np.minimum((w < u[:, None]).sum(axis=1), n - 1)
-    live, at = np.flatnonzero(c > EXACT), EXACT
+    ``p`` is their parent's probability, ``others`` the tables of other dishes. With n of them on t tables the
+    next opens one with weight ``(THETA + d (others + t)) p`` and joins one with ``n - d t``. They come in runs of a
+    RUN-th of those already seated, one by one at first; chances are the same within a run.
+    """
+    t = np.minimum(c, 1).astype(np.int64)
+    live = np.flatnonzero(c > 1)
+    n, turn = 1, 0
     while len(live):
-        step = max(1, at // 20)
-        n = np.minimum(step, c[live] - at)
-        p = a[live] / (a[live] + np.maximum(at - d * t[live], 1e-9))
-        t[live] += rng.binomial(n, np.minimum(1, p))
-        at += step
-        live = live[c[live] > at]
+        run = 1 + n // RUN
+        a = (THETA + d * (others[live] + t[live])) * p[live]
+        q = a / (a + np.maximum(n - d * t[live], 1e-9))
+        u = _uniform(keys[live], salt * 0x51ED2701 + turn * _GOLD)
+        if run == 1:
+            t[live] += u < q
+        else:
+            m = np.minimum(run, c[live] - n)
+            t[live] += np.minimum(m, _binomial(m, q, u, _uniform(keys[live], salt * 0x51ED2701 + turn * _GOLD + 1)))
+        n += run
+        live = live[c[live] > n]
+        turn += 1
     return t
 
 
-def discount(c: np.ndarray) -> float:
-    n1, n2 = int((c == 1).sum()), int((c == 2).sum())
+def discount(n1: int, n2: int) -> float:
     return min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
 
 
@@ -153,29 +162,31 @@ class Spelling:
 
 def spelling(n_cells: np.ndarray, seed: int) -> Spelling:
     """Averaged predictive probabilities of spellings with these cell counts."""
-    rng = np.random.default_rng(seed)
     p = [np.full((k, SYMBOLS), 1 / SYMBOLS, dtype=np.float32) for k in LEVELS]
     up = (1, SYMBOLS, SYMBOLS, FAR)
     seen = np.flatnonzero(n_cells.reshape(LEVELS[3], SYMBOLS).any(axis=1))
     near, far = np.zeros((LEVELS[2], SYMBOLS)), np.zeros((len(seen), SYMBOLS))
-    tables = [np.zeros(k) for k in LEVELS]
+    tables: list[np.ndarray | None] = [None] * len(LEVELS)
     for sweep in range(SWEEPS):
         c = n_cells
         kept = []
         for level in (3, 2, 1, 0):
             at = np.flatnonzero(c)
-            own, sym = at // SYMBOLS, at % SYMBOLS
-            d = discount(c[at])
-            base = p[level - 1][own // up[level], sym] if level else np.full(len(at), 1 / SYMBOLS)
-            t = seat(c[at].astype(np.int64), np.log((THETA + d * tables[level][own]) * base), d, rng)
-            tables[level] = np.bincount(own, t, LEVELS[level])
-            kept.append((level, at, c[at], t, d))
+            own, sym, n = at // SYMBOLS, at % SYMBOLS, c[at].astype(np.int64)
+            d = discount(int((n == 1).sum()), int((n == 2).sum()))
+            base = (p[level - 1][own // up[level], sym] if level else np.full(len(at), 1 / SYMBOLS)).astype(np.float64)
+            before = tables[level]
+            others = np.bincount(own, before[at], LEVELS[level])[own] - before[at] if before is not None else np.zeros(len(at))
+            t = seat(n, base, others, d, mix(at.astype(np.uint64) + _U(level << 40)), seed * 64 + sweep)
+            tables[level] = np.zeros(LEVELS[level] * SYMBOLS, np.int32)
+            tables[level][at] = t
+            kept.append((level, at, n, t, d))
             if level:
                 c = np.bincount(own // up[level] * SYMBOLS + sym, t, LEVELS[level - 1] * SYMBOLS)
         for level, at, n, t, d in reversed(kept):
             own = at // SYMBOLS
-            customers = np.bincount(own, n, LEVELS[level])
-            back = ((THETA + d * tables[level]) / (THETA + customers)).astype(np.float32)
+            customers, total = np.bincount(own, n, LEVELS[level]), np.bincount(own, t, LEVELS[level])
+            back = ((THETA + d * total) / (THETA + customers)).astype(np.float32)
             parent = np.repeat(p[level - 1], up[level], axis=0) if level else np.full((1, SYMBOLS), 1 / SYMBOLS, np.float32)
             p[level] = parent * back[:, None]
             p[level].reshape(-1)[at] += ((n - d * t) / (THETA + customers[own])).astype(np.float32)
@@ -185,29 +196,6 @@ def spelling(n_cells: np.ndarray, seed: int) -> Spelling:
     return Spelling(np.log10(near).astype(np.float32), seen.astype(np.int32), np.log10(far).astype(np.float32))
 
 
-@dataclass
-class Sample:
-    """One kept seating: spelling probabilities, the number of tables, and the parent's mass on known words."""
-
-    spelling: Spelling
-    tables: int
-    known: float = 0.0
-
-
-@dataclass
-class Model:
-    symbol: np.ndarray
-    discount: float
-    tokens: int
-    types: int
-    samples: list[Sample]
-
-    def unknown(self) -> float:
-        """log10 of what is left for all words never seen in training, together."""
-        share = [(THETA + self.discount * s.tables) / (THETA + self.tokens) * max(1e-9, 1 - s.known) for s in self.samples]
-        return float(np.log10(np.mean(share)))
-
-
 def base_log(words: pa.Array, symbol: np.ndarray, log_p: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Natural log of what the spelling model gives each word; the empty word is the end of a text."""
     cell, own = cells(words, symbol)
@@ -219,350 +207,449 @@ def base_log(words: pa.Array, symbol: np.ndarray, log_p: tuple[np.ndarray, np.nd
     return np.where(end, np.log(END_BASE), out)
 
 
-def _larger(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
-    """Batches put together: per-batch work is dear, and words are short."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(len(b) for b in held) >= rows:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held = []
-    if sum(len(b) for b in held):
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+# --- packed arrays and words -------------------------------------------------
+
+
+def _pack(**values: np.ndarray | bytes | int) -> bytes:
+    """Arrays of integers in as few bytes as their largest value needs, compressed."""
+
+    def small(v):
+        return v.astype(np.min_scalar_type(int(v.max()))) if isinstance(v, np.ndarray) and v.dtype.kind in "iu" and len(v) and v.min() >= 0 else v
+
+    raw = pickle.dumps({k: small(v) for k, v in values.items()}, protocol=5)
+    return len(raw).to_bytes(8, "little") + bytes(pa.Codec("zstd", 1).compress(raw))
+
 
+def _unpack(data: bytes) -> dict:
+    return pickle.loads(pa.Codec("zstd", 1).decompress(data[8:], int.from_bytes(data[:8], "little")))
 
-# --- passes over the corpus --------------------------------------------------
 
-_BLOCKS = "block long, doc_id long, held_out boolean, n_tokens long, ids binary, word binary, local int, c long, u long, w long"
-#: Rows of an Arrow batch of word pairs.
-_PAIR_ROWS = 65536
+def _put(folder: str, data: bytes) -> str:
+    """Write a file of its own in the folder; its name."""
+    store, base = open_folder(folder)
+    name = uuid.uuid4().hex
+    with store.open_output_stream(f"{base}/{name}") as out:
+        out.write(data)
+    return name
+
+
+def _get(folder: str, name: str) -> bytes:
+    store, base = open_folder(folder)
+    with store.open_input_stream(f"{base}/{name}") as file:
+        return file.read()
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words."""
-    return np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in words), np.int64)
+    """64-bit hashes of words without white space."""
+    full = [w for w in words if w]
+    raw = np.frombuffer(b" ".join(full), np.uint8)
+    out = np.full(len(words), _GOLD, np.uint64)
+    if full:
+        out[[i for i, w in enumerate(words) if w] if len(full) < len(words) else slice(None)] = words_of(raw, np.array([0, len(raw)]))[0]
+    return out
+
+
+def _word_array(data: dict) -> pa.Array:
+    return pa.array(data["words"].split(b"\n") if data["n"] else [], pa.large_binary())
+
+
+def _pair_hash(h: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(h[u] * _U(0xD6E8FEB86659FD93) + mix(h[w])) >> _U(64 - PAIR_BITS)
 
 
-def pair_keys(ids: np.ndarray, end: int, size: int) -> np.ndarray:
-    """Each token's pair (previous word, word) as one number; a text's first word follows its end."""
-    previous = np.concatenate([[end], ids[:-1]]).astype(np.int64)
-    return previous * size + ids
+def _edges(buckets: int) -> np.ndarray:
+    return np.array([(k << PAIR_BITS) // buckets for k in range(buckets)] + [1 << PAIR_BITS], np.uint64)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number the words and word pairs of blocks of documents; rows of documents, of words and of pairs.
+# --- blocks ------------------------------------------------------------------
 
-    A pair is numbered by its place among the block's sorted pairs; ``local`` is -1 less that.
+_MESSAGES = "block long, bucket int, name string, words binary, pairs binary"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], folder: str, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Deal documents to blocks; a row names each block's file, and rows of messages have its words and pairs for each bucket.
+
+    A block's words are numbered by bucket, then hash. The file has the tokens of all
+    documents, one after the other, and the words' hashes.
     """
-    codec = pa.Codec("zstd", 1)
     number: defaultdict[bytes, int] = defaultdict(count().__next__)
     docs: list[tuple] = []
-    train: list[np.ndarray] = []
-    other: list[np.ndarray] = []
+    parts: list[np.ndarray] = []
     tokens = 0
+    edges = _edges(buckets)
 
-    def flush() -> Iterator[pa.RecordBatch]:
+    def flush() -> pa.RecordBatch:
         nonlocal number, tokens
-        block, n, m = uuid.uuid4().int >> 66, len(docs), len(number)
-        c = np.bincount(np.concatenate(train), minlength=m) if train else np.zeros(m, np.int64)
-        doc = list(zip(*docs, strict=True))
-        blank = pa.nulls
-        h, end = hashes(list(number)), number[b""]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(n + m, block)),
-                pa.concat_arrays([pa.array(doc[0], pa.int64()), blank(m, pa.int64())]),
-                pa.concat_arrays([pa.array(doc[1], pa.bool_()), blank(m, pa.bool_())]),
-                pa.concat_arrays([pa.array(doc[2], pa.int64()), blank(m, pa.int64())]),
-                pa.concat_arrays([pa.array(doc[3], pa.binary()), blank(m, pa.binary())]),
-                pa.concat_arrays([blank(n, pa.binary()), pa.array(list(number), pa.binary())]),
-                pa.concat_arrays([blank(n, pa.int32()), pa.array(np.arange(m, dtype=np.int32))]),
-                pa.concat_arrays([blank(n, pa.int64()), pa.array(c.astype(np.int64))]),
-                blank(n + m, pa.int64()),
-                pa.concat_arrays([blank(n, pa.int64()), pa.array(h)]),
-            ],
-            names=names,
-        )
-        seen, times = np.unique(np.concatenate([pair_keys(x, end, m) for x in train]), return_counts=True) if train else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        pairs = np.union1d(seen, np.concatenate([pair_keys(x, end, m) for x in other])) if other else seen
-        c = np.zeros(len(pairs), np.int64)
-        c[np.searchsorted(pairs, seen)] = times
-        for begin in range(0, len(pairs), _PAIR_ROWS):
-            part = pairs[begin : begin + _PAIR_ROWS]
-            k = len(part)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(k, block)), blank(k, pa.int64()), blank(k, pa.bool_()), blank(k, pa.int64()), blank(k, pa.binary()), blank(k, pa.binary()),
-                    pa.array((-1 - np.arange(begin, begin + k)).astype(np.int32)), pa.array(c[begin : begin + k]), pa.array(h[part // m]), pa.array(h[part % m]),
-                ],
-                names=names,
-            )
+        listed, m, block = list(number), len(number), uuid.uuid4().int >> 66
+        h = hashes(listed)
+        bucket = (h % _U(buckets)).astype(np.int64)
+        order = np.lexsort((h, bucket))
+        rank = np.empty(m, np.int32)
+        rank[order] = np.arange(m, dtype=np.int32)
+        listed, h = [listed[i] for i in order.tolist()], h[order]
+        ids = rank[np.concatenate(parts)]
+        doc_id, held, size = zip(*docs, strict=True)
+        size, held = np.array(size), np.array(held)
+        out = np.repeat(held, size)
+        c = np.bincount(ids[~out], minlength=m)
+        code = _pair_codes(ids, m) * 2 + out
+        found, times = np.unique(code, return_counts=True)
+        pair = found >> 1
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        pair_c = np.add.reduceat(np.where(found & 1, 0, times), first)
+        u, w = np.divmod(pair[first], m)
+        key = _pair_hash(h, u, w)
+        by = np.argsort(key)
+        key, pair_c = key[by], pair_c[by]
+        name = _put(folder, _pack(ids=ids, size=size, held=held, doc_id=pickle.dumps(doc_id), hashes=h, end=int(rank[number[b""]])))
+        word_edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        pair_edge = np.searchsorted(key, edges)
+        rows = [(block, -1, name, None, None)]
+        for b in range(buckets):
+            i, j = word_edge[b], word_edge[b + 1]
+            k, l = pair_edge[b], pair_edge[b + 1]  # noqa: E741
+            if i < j or k < l:
+                mine = _pack(n=int(j - i), words=b"\n".join(listed[i:j]), c=c[i:j])
+                rows.append((block, b, None, mine, _pack(keys=EliasFano.of(key[k:l].astype(np.int64)).to_bytes(), c=pair_c[k:l])))
         number = defaultdict(count().__next__)
         docs.clear()
-        train.clear()
-        other.clear()
+        parts.clear()
         tokens = 0
-
-    names = [f.split()[0] for f in _BLOCKS.split(", ")]
+        columns = list(zip(*rows, strict=True))
+        types = (pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in _MESSAGES.split(", ")])
 
     for batch in batches:
         for doc_id, text, held in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             found = (text or "").encode("utf-8", "surrogatepass").lower().split()
             found.append(b"")
-            ids = np.array(list(map(number.__getitem__, found)), dtype=np.int32)
-            docs.append((doc_id, held, len(ids), bytes(codec.compress(ids.tobytes()))))
-            (other if held else train).append(ids)
-            tokens += len(ids)
+            parts.append(np.array(list(map(number.__getitem__, found)), dtype=np.int32))
+            docs.append((doc_id, held, len(found)))
+            tokens += len(found)
             if tokens >= BLOCK_TOKENS:
-                yield from flush()
+                yield flush()
     if docs:
-        yield from flush()
+        yield flush()
 
 
-_SWEEP = "word binary, c long, t array<long>, cell long, n long"
+def _pair_codes(ids: np.ndarray, m: int) -> np.ndarray:
+    """Each token's pair (previous word, word) as one number. A text ends with its end, so the next one's first word follows it."""
+    end = ids[-1:]
+    return np.concatenate([end, ids[:-1]]).astype(np.int64) * m + ids
 
 
-def _sweep(batches: Iterator[pa.RecordBatch], symbol: np.ndarray, d: float, sample: Sample | None, draw: bool, first: bool = False) -> Iterator[pa.RecordBatch]:
-    """Seat the words again, and count the cells of their tables' spellings; a ``first`` seating replaces those of the burn-in."""
-    total = np.zeros(LEVELS[3] * SYMBOLS, dtype=np.int32)
-    log_p = sample.spelling.lookup() if draw else None
-    for batch in _larger(batches):
-        words, c = batch.column(0), batch.column(1).to_numpy()
-        lists = batch.column(2)
-        if draw:
-            rng = np.random.default_rng([len(words), int(c.sum()), sample.tables & 0xFFFFFFFF, *words[0].as_py()[:8]])
-            t = seat(c, np.log(THETA + d * sample.tables) + base_log(words, symbol, log_p), d, rng)
-        else:
-            t = np.minimum(c, 1)
-        cell, own = cells(words, symbol)
-        real = np.asarray(pc.binary_length(words))[own] > 0
-        np.add.at(total, cell[real], t[own][real].astype(np.int32))
-        old = np.asarray(lists.flatten()).reshape(len(words), -1) if len(lists.flatten()) and not first else np.zeros((len(words), 0), np.int64)
-        new = np.concatenate([old, t[:, None]], axis=1) if draw else old
-        k = new.shape[1]
-        arrays = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * k), pa.array(new.ravel().astype(np.int64)))
-        m = len(words)
-        yield pa.RecordBatch.from_arrays([words, batch.column(1), arrays, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=["word", "c", "t", "cell", "n"])
-    at = np.flatnonzero(total)
+_REDUCED = "block long, bucket int, words binary, pairs binary, vocabulary binary, tokens long, types long, n1 long, n2 long"
+
+
+def _reduce(key: tuple, table: pa.Table) -> pa.Table:
+    """Add up a bucket's messages: an answer for each block, and the bucket's vocabulary.
+
+    A block gets its words' places in the vocabulary and counts, its pairs' counts and which of the pairs it owns.
+    """
+    blocks = table["block"].to_pylist()
+    said = [_unpack(x) for x in table["words"].to_pylist()]
+    pairs = [_unpack(x) for x in table["pairs"].to_pylist()]
+    known = pa.concat_arrays([_word_array(x) for x in said]).dictionary_encode()
+    place = known.indices.to_numpy()
+    listed = known.dictionary.to_pylist()
+    c = np.bincount(place, np.concatenate([x["c"] for x in said]), len(listed)).astype(np.int64)
+    codes = [EliasFano.from_bytes(x["keys"])[0] for x in pairs]
+    keys = np.concatenate([x.slice(0, x.n) for x in codes])
+    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    pair_c = np.bincount(which, np.concatenate([x["c"] for x in pairs]), len(first)).astype(np.int64)
+    owned = np.zeros(len(keys), dtype=bool)
+    owned[first] = True
+    every = pair_c[which]
+    at = np.cumsum([0] + [x["n"] for x in said])
+    pair_at = np.cumsum([0] + [x.n for x in codes])
+    words = [_pack(place=place[i:j], c=c[place[i:j]]) for i, j in zip(at, at[1:], strict=False)]
+    back = [_pack(c=every[i:j], owned=np.packbits(owned[i:j])) for i, j in zip(pair_at, pair_at[1:], strict=False)]
+    whole = _pack(n=len(listed), words=b"\n".join(listed), c=c)
+    n = len(blocks)
+    stats = (int(c.sum()), int((c > 0).sum()), int((pair_c == 1).sum()), int((pair_c == 2).sum()))
+    return pa.table(
+        {
+            "block": pa.array([*blocks, None], pa.int64()), "bucket": pa.array([key[0].as_py()] * (n + 1), pa.int32()), "words": pa.array([*words, None], pa.binary()),
+            "pairs": pa.array([*back, None], pa.binary()), "vocabulary": pa.array([None] * n + [whole], pa.binary()),
+            **{k: pa.array([None] * n + [v], pa.int64()) for k, v in zip(("tokens", "types", "n1", "n2"), stats, strict=True)},
+        }
+    )
+
+
+@dataclass
+class Block:
+    """A block's tokens, and what is known of its words and of its pairs that occur more than once in training."""
+
+    data: dict
+
+    @property
+    def size(self) -> int:
+        return len(self.data["hashes"])
+
+    def tables(self, buckets: int, block: int) -> pa.Table:
+        """Messages with the tables of owned pairs, by previous word and by word, for each bucket."""
+        d = self.data
+        own = d["owned"]
+        by_u = d["single_u"] + np.bincount(d["u"][own], d["t"][own], self.size).astype(np.int64)
+        by_w = d["single_w"] + np.bincount(d["w"][own], d["t"][own], self.size).astype(np.int64)
+        edge = np.searchsorted(d["bucket"], np.arange(buckets + 1))
+        rows = [(b, _pack(place=d["place"][i:j], u=by_u[i:j], w=by_w[i:j])) for b, (i, j) in enumerate(zip(edge, edge[1:], strict=False)) if i < j]
+        return pa.table({"block": pa.array([block] * len(rows), pa.int64()), "bucket": pa.array([r[0] for r in rows], pa.int32()), "name": pa.nulls(len(rows), pa.string()), "tables": pa.array([r[1] for r in rows], pa.binary())})
+
+
+_TABLES = "block long, bucket int, name string, tables binary"
+
+
+def _named(block: int, name: str) -> pa.Table:
+    return pa.table({"block": pa.array([block], pa.int64()), "bucket": pa.array([-1], pa.int32()), "name": pa.array([name]), "tables": pa.nulls(1, pa.binary())})
+
+
+def _start(key: tuple, left: pa.Table, right: pa.Table, folder: str, buckets: int) -> pa.Table:
+    """A block's state from the buckets' answers: each pair on one table."""
+    block, name = key[0].as_py(), left["name"][0].as_py()
+    d = _unpack(_get(folder, name))
+    m = len(d["hashes"])
+    right = right.sort_by("bucket")
+    said = [_unpack(x) for x in right["words"].to_pylist()]
+    back = [_unpack(x) for x in right["pairs"].to_pylist()]
+    pair = np.unique(_pair_codes(d["ids"], m))
+    u, w = np.divmod(pair, m)
+    by = np.argsort(_pair_hash(d["hashes"], u, w))
+    c, owned = np.empty(len(pair), np.int64), np.empty(len(pair), dtype=bool)
+    c[by] = np.concatenate([x["c"] for x in back])
+    owned[by] = np.concatenate([np.unpackbits(x["owned"], count=len(x["c"])) for x in back]).astype(bool)
+    once, many = owned & (c == 1), np.flatnonzero(c > 1)
+    state = {
+        **d, "place": np.concatenate([x["place"] for x in said]), "c": np.concatenate([x["c"] for x in said]), "bucket": np.repeat(right["bucket"].to_numpy(), [len(x["c"]) for x in said]),
+        "pair_c": c, "single_u": np.bincount(u[once], minlength=m), "single_w": np.bincount(w[once], minlength=m),
+        "many": many, "u": u[many], "w": w[many], "t": np.ones(len(many), np.int64), "owned": owned[many],
+    }
+    return pa.concat_tables([_named(block, _put(folder, _pack(**state))), Block(state).tables(buckets, block)])
+
+
+# --- the restaurant of words -------------------------------------------------
+
+_WORDS = "bucket int, vocabulary binary, state binary, cell long, n long, customers long, types long, n1 long, n2 long, tables long, mass double"
+
+
+def _words_row(bucket: int, vocabulary: bytes, state: dict, tables: int = 0, mass: float = 0.0) -> pa.Table:
+    w = state["w"]
+    numbers = (int(w.sum()), int((w > 0).sum()), int((w == 1).sum()), int((w == 2).sum()), tables)
+    return pa.table(
+        {
+            "bucket": pa.array([bucket], pa.int32()), "vocabulary": pa.array([vocabulary], pa.binary()), "state": pa.array([_pack(**state)], pa.binary()), "cell": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()),
+            **{k: pa.array([v], pa.int64()) for k, v in zip(("customers", "types", "n1", "n2", "tables"), numbers, strict=True)}, "mass": pa.array([mass]),
+        }
+    )
+
+
+def _add_tables(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    """A bucket's words with the tables of all pairs: ``u`` of those after a word, ``w`` of those with a word."""
+    vocabulary = left["vocabulary"][0].as_py()
+    n = _unpack(vocabulary)["n"]
+    before = left["state"][0].as_py()
+    u, w = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for data in right["tables"].to_pylist():
+        x = _unpack(data)
+        u[x["place"]] += x["u"]
+        w[x["place"]] += x["w"]
+    t = np.minimum(w, 1) if before is None else _unpack(before)["t"]
+    return _words_row(key[0].as_py(), vocabulary, {"u": u, "w": w, "t": t})
+
+
+def _seat_words(batches: Iterator[pa.RecordBatch], symbol: np.ndarray, d: float, log_p: tuple | None, total: int, salt: int) -> Iterator[pa.RecordBatch]:
+    """Seat the words' customers again, given how words are spelt, and count the cells of their tables' spellings.
+
+    Without a spelling model each word with customers has a table. ``mass`` is what the spelling model gives to words with customers.
+    """
+    cell_counts = np.zeros(LEVELS[3] * SYMBOLS, dtype=np.int64)
+    for batch in batches:
+        for bucket, vocabulary, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            state = _unpack(data)
+            words, mass = _word_array(_unpack(vocabulary)), 0.0
+            if log_p is None:
+                state["t"] = np.minimum(state["w"], 1)
+            elif len(words):
+                p = np.exp(base_log(words, symbol, log_p))
+                state["t"] = seat(state["w"], p, np.maximum(total - state["t"].astype(np.int64), 0), d, hashes(words.to_pylist()), salt)
+                mass = float(p[state["w"] > 0].sum())
+            cell, own = cells(words, symbol)
+            real = np.asarray(pc.binary_length(words))[own] > 0
+            np.add.at(cell_counts, cell[real], state["t"][own][real].astype(np.int64))
+            yield from _words_row(bucket, vocabulary, state, int(state["t"].sum()), mass).to_batches()
+    at = np.flatnonzero(cell_counts)
     for begin in range(0, len(at), 65536):
         part = at[begin : begin + 65536]
-        m = len(part)
-        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.array(part), pa.array(total[part].astype(np.int64))], names=["word", "c", "t", "cell", "n"])
+        blank = [pa.nulls(len(part), t) for t in (pa.int32(), pa.binary(), pa.binary())]
+        rest = [pa.nulls(len(part), pa.int64()) for _ in range(5)]
+        yield pa.RecordBatch.from_arrays([*blank, pa.array(part), pa.array(cell_counts[part]), *rest, pa.nulls(len(part), pa.float64())], names=[f.split()[0] for f in _WORDS.split(", ")])
 
 
-def _gather(swept: DataFrame) -> np.ndarray:
+def _gather(seated: DataFrame) -> np.ndarray:
     """Counts of cells: at most LEVELS[3] * SYMBOLS rows reach the driver."""
-    table = swept.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table = seated.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(LEVELS[3] * SYMBOLS, dtype=np.int64)
     out[table["cell"].to_numpy()] = table["n"].to_numpy()
     return out
 
 
-def fit(vocabulary: DataFrame, samples: int = SAMPLES, burn: int = BURN) -> tuple[Model, DataFrame]:
-    """A model of ``word`` binary and ``c`` long (over 0), and a saved table with its words' tables (``t``)."""
-    numbers = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
-    tokens, types = int(numbers["n"] or 0), int(numbers["v"])
-    d = min(0.95, max(0.05, numbers["n1"] / max(1, numbers["n1"] + 2 * numbers["n2"]))) if numbers["n1"] else 0.5
-    symbol = _alphabet(vocabulary)
-    swept = save(vocabulary.select("word", "c", F.array().cast("array<long>").alias("t")).mapInArrow(lambda b: _sweep(b, symbol, d, None, False), _SWEEP))
-    kept, tables = [], types
-    for k in range(burn + samples):
-        sample = Sample(spelling(_gather(swept), k), tables)
-        words = swept.where("word is not null").select("word", "c", "t")
-        before, swept = swept, save(words.mapInArrow(lambda b, s=sample, first=k <= burn: _sweep(b, symbol, d, s, True, first), _SWEEP))
-        discard(before)
-        tables = int(swept.where("word is not null").agg(F.sum(F.element_at("t", -1))).first()[0] or 0)
-        if k >= burn:
-            kept.append(Sample(sample.spelling, tables))
-    return Model(symbol, d, tokens, types, kept), swept
-
-
 def _alphabet(vocabulary: DataFrame) -> np.ndarray:
     """Symbols of bytes: the 62 most frequent in the vocabulary have their own."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(256, dtype=np.int64)
         for batch in batches:
-            n += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8), minlength=256)
+            for data in batch.column(0).to_pylist():
+                n += np.bincount(np.frombuffer(_unpack(data)["words"], np.uint8), minlength=256)
         yield pa.RecordBatch.from_pydict({"byte": pa.array(range(256), pa.int32()), "n": pa.array(n)})
 
-    rows = vocabulary.select("word").mapInArrow(work, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
+    rows = vocabulary.select("vocabulary").mapInArrow(work, "byte int, n long").where("byte <> 10").groupBy("byte").agg(F.sum("n").alias("n")).collect()
     out = np.full(256, OTHER, dtype=np.int64)
     for k, r in enumerate(sorted(rows, key=lambda r: (-r["n"], r["byte"]))[: SYMBOLS - 2]):
         out[r["byte"]] = k + 1
     return out
 
 
-def _probabilities(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    """log10 of the averaged predictive probability of each word."""
-    log_p = [s.spelling.lookup() for s in model.samples]
-    for batch in _larger(batches):
-        words, c = batch.column(0), batch.column(1).to_numpy()
-        lists = batch.column(2)
-        flat = np.asarray(lists.flatten())
-        t = flat.reshape(len(words), -1) if len(flat) == len(words) * len(model.samples) else np.zeros((len(words), len(model.samples)))
-        total = np.full(len(words), -np.inf)
-        for k, s in enumerate(model.samples):
-            new = np.log(THETA + model.discount * s.tables) + base_log(words, model.symbol, log_p[k])
-            old = np.maximum(np.where(c > 0, c - model.discount * t[:, k], 0), 0)
-            with np.errstate(divide="ignore"):
-                total = np.logaddexp(total, np.logaddexp(new, np.log(old)))
-        value = (total - np.log((THETA + model.tokens) * max(1, len(model.samples)))) / np.log(10)
-        yield pa.RecordBatch.from_arrays([words, batch.column(1), pa.array(value)], names=["word", "c", "lp"])
-
-
-def _known(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    """The parent's probability of the known words, by sample."""
-    total = np.zeros(len(model.samples))
-    log_p = [s.spelling.lookup() for s in model.samples]
-    for batch in _larger(batches):
-        total += [np.exp(base_log(batch.column(0), model.symbol, p)).sum() for p in log_p]
-    yield pa.RecordBatch.from_pydict({"k": pa.array(range(len(total)), pa.int32()), "mass": pa.array(total)})
-
-
-def _unknown(model: Model, seen: DataFrame) -> float:
-    """log10 of what the model leaves for all words never seen; notes what the parent gives to the known ones."""
-    for r in seen.select("word").mapInArrow(lambda b: _known(b, model), "k int, mass double").groupBy("k").agg(F.sum("mass").alias("mass")).collect():
-        model.samples[r["k"]].known = float(r["mass"])
-    return model.unknown()
-
-
-_SEATED = "u long, w long, c long, t array<long>"
-
-
-def _seat_pairs(batches: Iterator[pa.RecordBatch], d: float, k: int) -> Iterator[pa.RecordBatch]:
-    """Seat pairs again: ``u``, ``w``, ``c``, ``t``, the context's ``tables`` and the parent's log10 ``lp``."""
-    for batch in _larger(batches):
-        c = batch.column(2).to_numpy()
-        rng = np.random.default_rng([len(c), int(c.sum()), k, batch.column(0)[0].as_py() & 0xFFFFFFFF])
-        log_a = np.log(THETA + d * batch.column(4).to_numpy()) + batch.column(5).to_numpy() * np.log(10)
-        t = seat(c, log_a, d, rng)
-        old = np.asarray(batch.column(3).flatten()).reshape(len(c), -1)
-        new = np.concatenate([old, t[:, None]], axis=1)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * new.shape[1]), pa.array(new.ravel().astype(np.int64)))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], names=["u", "w", "c", "t"])
-
-
-def _in_context(block_pairs: DataFrame, every: DataFrame, samples: int = SAMPLES, burn: int = BURN) -> DataFrame:
-    """A saved table of all pairs ``u``, ``w`` with ``lp``, log10 of the word's probability after the previous one.
-
-    ``every`` has the words with their hash ``w``. Tables of pairs start at one each;
-    the unigram parent is fitted to them anew before each seating, and with each kept one.
-    """
-    spark = block_pairs.sparkSession
-    pairs = save(block_pairs.groupBy("u", "w").agg(F.sum("c").alias("c")))
-    n1, n2 = pairs.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    d = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
-    once = pairs.where("c = 1")
-    fixed = {x: save(once.groupBy(x).agg(F.count("*").alias("n"))) for x in ("u", "w")}
-    customers = save(pairs.where("c > 0").groupBy("u").agg(F.sum("c").alias("customers")))
-    state = save(pairs.where("c > 1").select("u", "w", "c", F.array(F.lit(1).cast("long")).alias("t")))
-
-    def tables(key: str, k: int) -> DataFrame:
-        seated = state.select(key, F.col("t")[k].alias("n"))
-        return seated.unionByName(fixed[key]).groupBy(key).agg(F.sum("n").alias("tables"))
-
-    parents, unknown = [], []
-    for k in range(burn + samples):
-        vocabulary = save(tables("w", k).join(every.select("word", "w"), "w").select("word", F.col("tables").alias("c"), "w"))
-        model, swept = fit(vocabulary.select("word", "c"), samples=1)
-        seen = swept.where("word is not null").select("word", "c", "t")
-        left = _unknown(model, seen)
-        log_p = seen.mapInArrow(lambda b, m=model: _probabilities(b, m), "word binary, c long, lp double")
-        parent = save(log_p.join(vocabulary.select("word", "w"), "word").select("w", "lp"))
-        discard(swept)
-        discard(vocabulary)
-        if k >= burn:
-            parents.append(parent)
-            unknown.append(left)
-        if k < burn + samples - 1:
-            ready = state.join(tables("u", k), "u").join(parent, "w").select("u", "w", "c", "t", "tables", "lp")
-            before, state = state, save(ready.mapInArrow(lambda b, n=k: _seat_pairs(b, d, n), _SEATED))
-            discard(before)
-        free_shuffles(spark)
-    contexts = customers
-    for k in range(samples):
-        contexts = contexts.join(tables("u", burn + k).withColumnRenamed("tables", f"tables{k}"), "u")
-    words = parents[0].withColumnRenamed("lp", "lp0")
-    for k in range(1, samples):
-        words = words.join(parents[k].withColumnRenamed("lp", f"lp{k}"), "w")
-    found = pairs.join(state.select("u", "w", "t"), ["u", "w"], "left").join(contexts, "u", "left").join(words, "w", "left")
-    share = F.lit(0.0)
-    for k in range(samples):
-        own = F.coalesce(F.col("t")[burn + k], F.col("c"))
-        back = THETA + d * F.coalesce(f"tables{k}", F.lit(0))
-        share = share + F.greatest(F.col("c") - d * own, F.lit(0.0)) + back * F.pow(F.lit(10.0), F.coalesce(f"lp{k}", F.lit(unknown[k])))
-    out = save(found.select("u", "w", F.log10(share / samples / (THETA + F.coalesce("customers", F.lit(0)))).alias("lp")))
-    for used in (pairs, state, customers, *fixed.values(), *parents):
-        discard(used)
-    return out
+@dataclass
+class Parent:
+    """The restaurant of words in one seating: its discount, customers, tables, and what the spelling model gives to known words."""
 
+    discount: float
+    customers: int
+    tables: int
+    known: float
+    log_p: tuple
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Scores of whole texts by models of those where ``held_out`` isn't true.
+    def unknown(self) -> float:
+        """What is left for all words without customers, together."""
+        return (THETA + self.discount * self.tables) / (THETA + self.customers) * max(1e-9, 1 - self.known)
+
+
+def _answer(key: tuple, left: pa.Table, right: pa.Table, symbol: np.ndarray, parent: Parent) -> pa.Table:
+    """For each block, its words' probabilities (0 for words without customers) and the tables after them."""
+    state = _unpack(left["state"][0].as_py())
+    words = _word_array(_unpack(left["vocabulary"][0].as_py()))
+    new = (THETA + parent.discount * parent.tables) * np.exp(base_log(words, symbol, parent.log_p))
+    p = (np.maximum(state["w"] - parent.discount * state["t"], 0) + new) / (THETA + parent.customers)
+    p = np.where(state["w"] > 0, p, 0).astype(np.float32)
+    answers = []
+    for data in right["tables"].to_pylist():
+        place = _unpack(data)["place"]
+        answers.append(_pack(p=p[place], u=state["u"][place]))
+    return pa.table({"block": right["block"], "bucket": right["bucket"], "answer": pa.array(answers, pa.binary())})
+
+
+def _heard(right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    said = [_unpack(x) for x in right.sort_by("bucket")["answer"].to_pylist()]
+    return np.concatenate([x["p"] for x in said]).astype(np.float64), np.concatenate([x["u"] for x in said]).astype(np.int64)
+
+
+def _seat_pairs(key: tuple, left: pa.Table, right: pa.Table, folder: str, buckets: int, d: float, salt: int, keep: float | None) -> pa.Table:
+    """Seat a block's pairs again. With ``keep``, the parent's probability of unknown words, this answer and the tables before it are a kept sample."""
+    block = key[0].as_py()
+    s = _unpack(_get(folder, left["name"][0].as_py()))
+    p, after = _heard(right)
+    if keep is not None:
+        n = s.get("samples", 0)
+        s |= {"samples": n + 1, f"p{n}": p.astype(np.float32), f"u{n}": after, f"t{n}": s["t"], f"unknown{n}": keep}
+    u, w, c = s["u"], s["w"], s["pair_c"][s["many"]].astype(np.int64)
+    s["t"] = seat(c, p[w], np.maximum(after[u] - s["t"], 0), d, _pair_hash(s["hashes"], u, w), salt)
+    return pa.concat_tables([_named(block, _put(folder, _pack(**s))), Block(s).tables(buckets, block)])
+
+
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _score(key: tuple, left: pa.Table, right: pa.Table, folder: str, d: float, tokens: int, types: int, unknown: float) -> pa.Table:
+    """Scores of a block's documents; the last answer and the tables before it are the last sample."""
+    s = _unpack(_get(folder, left["name"][0].as_py()))
+    n, m = s.get("samples", 0), len(s["hashes"])
+    p, after = _heard(right)
+    s |= {f"p{n}": p, f"u{n}": after, f"t{n}": s["t"], f"unknown{n}": unknown}
+    ids, c = s["ids"], s["c"].astype(np.int64)
+    pair, which = np.unique(_pair_codes(ids, m), return_inverse=True)
+    u, w = np.divmod(pair, m)
+    pair_c = s["pair_c"].astype(np.float64)
+    total = np.zeros(len(pair))
+    for k in range(n + 1):
+        t = np.minimum(pair_c, 1)
+        t[s["many"]] = s[f"t{k}"]
+        up = np.where(c[w] > 0, s[f"p{k}"][w].astype(np.float64), s[f"unknown{k}"])
+        total += (np.maximum(pair_c - d * t, 0) + (THETA + d * s[f"u{k}"][u]) * up) / (THETA + c[u])
+    lp = np.log10(total / (n + 1))[which]
+    base = np.log10((c + 1) / (tokens + 1 * (types + 1)))[ids]
+    size = s["size"].astype(np.int64)
+    begin = np.cumsum(size) - size
+    add = lambda x: np.add.reduceat(x, begin)
+    rows = len(size)
+    return pa.table(
+        {
+            "doc_id": pa.array(pickle.loads(s["doc_id"]), pa.int64()), "held_out": pa.array(s["held"]), "n_tokens": pa.array(size), "n_known": pa.array(add((c > 0)[ids].astype(np.int64))),
+            "train_tokens": pa.array([tokens] * rows, pa.int64()), "base_score": pa.array(add(base)), "score": pa.array(add(lp)),
+        }
+    )
+
+
+def _by(left: DataFrame, right: DataFrame, key: str, schema: str, work: Callable, *given) -> DataFrame:
+    """What ``work`` makes of both tables' rows of each key, and of what is given."""
+    return left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(lambda k, a, b: work(k, a, b, *given), schema)
+
+
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, burn: int = BURN) -> DataFrame:
+    """Scores of whole texts by a model of those where ``held_out`` isn't true.
 
     A-Z are lower-cased; tokens are the words (runs without space and \\x09-\\x0D)
     and one end. Returns ``doc_id``, ``held_out``, ``n_tokens``, ``n_known`` (tokens
     seen in training), ``train_tokens``, ``base_score`` (log10 of add-one
-    probabilities), ``score`` (log10 of the text's probability under the model; perplexity
-    is ``10 ** (-score / n_tokens)``), ``spelled_score`` and ``context_score``. As in the base, all words
-    never seen in training are one type of ``score``, which gets what the known words leave;
-    ``spelled_score`` gives each of them the probability of its own spelling instead. Both
-    take words one by one; ``context_score`` is as ``score``, each word given the word before it. A null text counts as empty: it has the end alone.
+    probabilities) and ``score`` (log10 of the text's probability under the model, each word given the one
+    before it; perplexity is ``10 ** (-score / n_tokens)``). As in the base, all words never seen in training are one
+    type, which gets what the known words leave. A null text counts as empty: it has the end alone.
     Null ids and repeated rows are scored like others, and ``held_out`` null means
     false. With no training text every count is 0. An empty table gives no rows.
     """
     spark = docs.sparkSession
     prepare(spark)
+    folder = scratch_dir(spark) + "-blocks"
+    store, base = open_folder(folder)
+    store.create_dir(base, recursive=True)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    counted = save(source.mapInArrow(_count, _BLOCKS))
-    words = counted.where("word is not null")
-    every = save(words.groupBy("word").agg(F.sum("c").alias("c"), F.first("w").alias("w")))
-    model, swept = fit(every.where("c > 0"))
-    seen = swept.where("word is not null").select("word", "c", "t")
-    unknown = _unknown(model, seen)
-    free_shuffles(spark)
-    unseen = every.where("c = 0").select("word", "c", F.array_repeat(F.lit(0).cast("long"), len(model.samples)).alias("t"))
-    valued = save(seen.unionByName(unseen).mapInArrow(lambda b: _probabilities(b, model), "word binary, c long, lp double"))
-    discard(swept)
+    sent = save(source.mapInArrow(lambda b: _blocks(b, folder, buckets), _MESSAGES))
+    reduced = save(sent.where("bucket >= 0").select("block", "bucket", "words", "pairs").groupBy("bucket").applyInArrow(_reduce, _REDUCED))
     free_shuffles(spark)
-    pairs = counted.where("u is not null")
-    in_context = _in_context(pairs, every)
-    discard(every)
+    tokens, types, n1, n2 = (int(x or 0) for x in reduced.agg(*[F.sum(x) for x in ("tokens", "types", "n1", "n2")]).first())
+    d = discount(n1, n2)
+    answers = reduced.where("block is not null").select("block", "bucket", "words", "pairs")
+    state = save(_by(sent.where("bucket < 0").select("block", "name"), answers, "block", _TABLES, _start, folder, buckets))
+    words = save(reduced.where("vocabulary is not null").select("bucket", "vocabulary", F.lit(None).cast("binary").alias("state")))
+    discard(sent)
+    discard(reduced)
     free_shuffles(spark)
-    back = words.select(F.col("block").alias("of"), "local", "word").join(valued, "word").select("of", "local", "c", "lp")
-    of_pairs = pairs.select(F.col("block").alias("of"), "local", "u", "w").join(in_context, ["u", "w"]).select("of", "local", F.lit(0).cast("long").alias("c"), "lp")
-    back = back.unionByName(of_pairs)
-    n, v = model.tokens, model.types
-
-    def total(left, right):
-        codec = pa.Codec("zstd", 1)
-        local, value = right["local"].to_numpy(), right["lp"].to_numpy()
-        word = local >= 0
-        size = int(word.sum())
-        c, lp, context = np.zeros(size, np.int64), np.zeros(size), np.zeros(len(local) - size)
-        c[local[word]], lp[local[word]] = right["c"].to_numpy()[word], value[word]
-        context[-1 - local[~word]] = value[~word]
-        base = np.log10((c + 1) / (n + 1 * (v + 1)))
-        closed = np.where(c > 0, lp, unknown)
-        known, sums, bases, spelled, contexts = [], [], [], [], []
-        texts = [np.frombuffer(codec.decompress(data, n_ids * 4), np.int32) for n_ids, data in zip(left["n_tokens"].to_pylist(), left["ids"].to_pylist(), strict=True)]
-        pairs = np.unique(np.concatenate([pair_keys(ids, ids[-1], size) for ids in texts]))
-        for ids in texts:
-            contexts.append(float(context[np.searchsorted(pairs, pair_keys(ids, ids[-1], size))].sum()))
-            known.append(int((c[ids] > 0).sum()))
-            bases.append(float(base[ids].sum()))
-            sums.append(float(closed[ids].sum()))
-            spelled.append(float(lp[ids].sum()))
-        m = len(known)
-        return pa.table(
-            {
-                "doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": left["n_tokens"], "n_known": pa.array(known, pa.int64()),
-                "train_tokens": pa.array([n] * m, pa.int64()), "base_score": pa.array(bases, pa.float64()), "score": pa.array(sums, pa.float64()), "spelled_score": pa.array(spelled, pa.float64()),
-                "context_score": pa.array(contexts, pa.float64()),
-            }
-        )
-
-    texts = counted.where("ids is not null").select("block", "doc_id", "held_out", "n_tokens", "ids")
-    both = texts.groupBy("block").cogroup(back.groupBy("of"))
-    return both.applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, spelled_score double, context_score double")
+    symbol = _alphabet(words)
+    log_p = None
+    for k in range(burn + samples):
+        names, messages = state.where("bucket < 0").select("block", "name"), state.where("bucket >= 0").select("block", "bucket", "tables")
+        added = save(_by(words, messages, "bucket", _WORDS, _add_tables).select("bucket", "vocabulary", "state", "customers", "types", "n1", "n2"))
+        customers, once, twice = (int(x or 0) for x in added.agg(F.sum("customers"), F.sum("n1"), F.sum("n2")).first())
+        dw = discount(once, twice)
+        if log_p is None:
+            first = save(added.select("bucket", "vocabulary", "state").mapInArrow(lambda b: _seat_words(b, symbol, dw, None, 0, 0), _WORDS))
+            total, log_p = int(first.agg(F.sum("tables")).first()[0] or 0), spelling(_gather(first), 0).lookup()
+            discard(first)
+        drawn = added.select("bucket", "vocabulary", "state").mapInArrow(lambda b, p=log_p, n=total, k=k: _seat_words(b, symbol, dw, p, n, k + 1), _WORDS)
+        seated = save(drawn)
+        discard(added)
+        discard(words)
+        total, known = (x or 0 for x in seated.agg(F.sum("tables"), F.sum("mass")).first())
+        parent = Parent(dw, customers, int(total), float(known), log_p)
+        words = seated.where("vocabulary is not null").select("bucket", "vocabulary", "state")
+        words._scratch = seated._scratch
+        back = _by(words, messages, "bucket", "block long, bucket int, answer binary", _answer, symbol, parent)
+        kept = parent.unknown() if k >= burn else None
+        if k == burn + samples - 1:
+            return _by(names, back, "block", _SCORES, _score, folder, d, tokens, types, kept)
+        before, state = state, save(_by(names, back, "block", _TABLES, _seat_pairs, folder, buckets, d, k + 1, kept))
+        discard(before)
+        log_p, total = spelling(_gather(seated), k + 1).lookup(), int(total)
+        free_shuffles(spark)
+    raise ValueError("no sample is kept")

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import pieces, prepare, save, scratch_dir, text_buffer
+from .base import open_folder, pieces, prepare, save, scratch_dir, text_buffer
 from .elias_fano import EliasFano
 from .pieces import MARKS, shared
 
@@ -43,13 +43,6 @@ RUN_BYTES = 1 << 23
 _LETTERS = "".join(chr(c) for c in range(128) if chr(c).isalpha())
 
 
-def _open(uri: str):
-    """(file system, path) of a location that driver and executors share."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if ":" in uri.split("/")[0] else (fs.LocalFileSystem(), uri)
-
-
 def _gather(flat: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
     """The runs ``which`` of ``flat``, one after the other; run i has ``size[i]`` values."""
     start = np.cumsum(size) - size
@@ -126,7 +119,7 @@ def write_shards(docs: DataFrame, vocab_path: str, folder: str, end_id: int, id_
         shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     source = source.withColumn("tie", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "tie")
     source = source.sortWithinPartitions("doc_id", "tie", "text").drop("tie")
-    filesystem, root = _open(folder)
+    filesystem, root = open_folder(folder)
     filesystem.create_dir(root, recursive=True)
 
     return save(source.mapInArrow(lambda batches: _write(batches, folder, vocab_path, width, end_id), "shard int, path string, n_docs long, n_ids long"))
@@ -148,7 +141,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _write(batches: Iterator[pa.RecordBatch], folder: str, vocab_path: str, width: int, end_id: int) -> Iterator[pa.RecordBatch]:
     context = TaskContext.get()
     shard, attempt = context.partitionId(), context.taskAttemptId()
-    store, base = _open(folder)
+    store, base = open_folder(folder)
     path, name = f"{base}/.shard-{shard:06d}-{attempt}", f"shard-{shard:06d}-{attempt}.tlm"
     encoder = WordEncoder(vocab_path, width)
     lengths: list[np.ndarray] = []
@@ -191,7 +184,7 @@ def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                store, place = _open(path)
+                store, place = open_folder(path)
                 with store.open_input_file(place) as file:
                     yield from _documents(file, first)
 
