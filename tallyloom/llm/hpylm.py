@@ -211,22 +211,34 @@ def base_log(words: pa.Array, symbol: np.ndarray, log_p: tuple[np.ndarray, np.nd
 
 
 def _pack(**values: np.ndarray | bytes | int) -> bytes:
-    """Arrays of integers in as few bytes as their largest value needs, compressed."""
+    """Arrays in as few bytes as their largest value needs, bytes of like weight together, compressed."""
 
-    def small(v):
-        return v.astype(np.min_scalar_type(int(v.max()))) if isinstance(v, np.ndarray) and v.dtype.kind in "iu" and len(v) and v.min() >= 0 else v
+    def planes(v):
+        if not isinstance(v, np.ndarray) or not len(v):
+            return v
+        if v.dtype.kind in "iu" and v.min() >= 0:
+            v = v.astype(np.min_scalar_type(int(v.max())))
+        return v.dtype.str, np.ascontiguousarray(v).view(np.uint8).reshape(len(v), -1).T.tobytes()
 
-    raw = pickle.dumps({k: small(v) for k, v in values.items()}, protocol=5)
+    raw = pickle.dumps({k: planes(v) for k, v in values.items()}, protocol=5)
     return len(raw).to_bytes(8, "little") + bytes(pa.Codec("zstd", 1).compress(raw))
 
 
 def _unpack(data: bytes) -> dict:
-    return pickle.loads(pa.Codec("zstd", 1).decompress(data[8:], int.from_bytes(data[:8], "little")))
+    def whole(v):
+        if not isinstance(v, tuple):
+            return v
+        size = np.dtype(v[0]).itemsize
+        return np.frombuffer(np.frombuffer(v[1], np.uint8).reshape(size, -1).T.tobytes(), v[0])
+
+    raw = pickle.loads(pa.Codec("zstd", 1).decompress(data[8:], int.from_bytes(data[:8], "little")))
+    return {k: whole(v) for k, v in raw.items()}
 
 
 def _put(folder: str, data: bytes) -> str:
     """Write a file of its own in the folder; its name."""
     store, base = open_folder(folder)
+    store.create_dir(base, recursive=True)
     name = uuid.uuid4().hex
     with store.open_output_stream(f"{base}/{name}") as out:
         out.write(data)
@@ -239,6 +251,13 @@ def _get(folder: str, name: str) -> bytes:
         return file.read()
 
 
+def _drop(folder: str) -> None:
+    """Delete a folder of files that nothing reads any more (without documents there is none)."""
+    store, base = open_folder(folder)
+    store.create_dir(base, recursive=True)
+    store.delete_dir(base)
+
+
 def hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words without white space."""
     full = [w for w in words if w]
@@ -263,14 +282,14 @@ def _edges(buckets: int) -> np.ndarray:
 
 # --- blocks ------------------------------------------------------------------
 
-_MESSAGES = "block long, bucket int, name string, words binary, pairs binary"
+_MESSAGES = "block long, bucket int, name string, state string, words binary, pairs binary"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], folder: str, buckets: int) -> Iterator[pa.RecordBatch]:
     """Deal documents to blocks; a row names each block's file, and rows of messages have its words and pairs for each bucket.
 
-    A block's words are numbered by bucket, then hash. The file has the tokens of all
-    documents, one after the other, and the words' hashes.
+    A block's words are numbered by bucket, then hash. Its file has the tokens of all
+    documents, one after the other, by how frequent they are; its first state has the words' hashes.
     """
     number: defaultdict[bytes, int] = defaultdict(count().__next__)
     docs: list[tuple] = []
@@ -301,22 +320,26 @@ def _blocks(batches: Iterator[pa.RecordBatch], folder: str, buckets: int) -> Ite
         key = _pair_hash(h, u, w)
         by = np.argsort(key)
         key, pair_c = key[by], pair_c[by]
-        name = _put(folder, _pack(ids=ids, size=size, held=held, doc_id=pickle.dumps(doc_id), hashes=h, end=int(rank[number[b""]])))
+        often = np.argsort(-np.bincount(ids, minlength=m), kind="stable")
+        place = np.empty(m, np.int32)
+        place[often] = np.arange(m, dtype=np.int32)
+        name = _put(f"{folder}/tokens", _pack(ids=place[ids], often=often, size=size, held=held, doc_id=pickle.dumps(doc_id)))
+        state = _put(f"{folder}/state", _pack(hashes=h))
         word_edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
         pair_edge = np.searchsorted(key, edges)
-        rows = [(block, -1, name, None, None)]
+        rows = [(block, -1, name, state, None, None)]
         for b in range(buckets):
             i, j = word_edge[b], word_edge[b + 1]
             k, l = pair_edge[b], pair_edge[b + 1]  # noqa: E741
             if i < j or k < l:
                 mine = _pack(n=int(j - i), words=b"\n".join(listed[i:j]), c=c[i:j])
-                rows.append((block, b, None, mine, _pack(keys=EliasFano.of(key[k:l].astype(np.int64)).to_bytes(), c=pair_c[k:l])))
+                rows.append((block, b, None, None, mine, _pack(keys=EliasFano.of(key[k:l].astype(np.int64)).to_bytes(), c=pair_c[k:l])))
         number = defaultdict(count().__next__)
         docs.clear()
         parts.clear()
         tokens = 0
         columns = list(zip(*rows, strict=True))
-        types = (pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary())
+        types = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in _MESSAGES.split(", ")])
 
     for batch in batches:
@@ -332,6 +355,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], folder: str, buckets: int) -> Ite
         yield flush()
 
 
+def _tokens(folder: str, name: str) -> dict:
+    data = _unpack(_get(f"{folder}/tokens", name))
+    return data | {"ids": data["often"].astype(np.int64)[data["ids"]]}
+
+
 def _pair_codes(ids: np.ndarray, m: int) -> np.ndarray:
     """Each token's pair (previous word, word) as one number. A text ends with its end, so the next one's first word follows it."""
     end = ids[-1:]
@@ -384,47 +412,54 @@ class Block:
 
     @property
     def size(self) -> int:
-        return len(self.data["hashes"])
+        return len(self.data["place"])
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Previous word and word of the pairs that occur more than once."""
+        return np.repeat(np.arange(self.size), self.data["many_of"]), self.data["w"].astype(np.int64)
 
     def tables(self, buckets: int, block: int) -> pa.Table:
         """Messages with the tables of owned pairs, by previous word and by word, for each bucket."""
         d = self.data
-        own = d["owned"]
-        by_u = d["single_u"] + np.bincount(d["u"][own], d["t"][own], self.size).astype(np.int64)
-        by_w = d["single_w"] + np.bincount(d["w"][own], d["t"][own], self.size).astype(np.int64)
+        own = np.unpackbits(d["owned"], count=len(d["w"])).astype(bool)
+        u, w = self.pairs()
+        by_u = d["single_u"] + np.bincount(u[own], d["t"][own], self.size).astype(np.int64)
+        by_w = d["single_w"] + np.bincount(w[own], d["t"][own], self.size).astype(np.int64)
         edge = np.searchsorted(d["bucket"], np.arange(buckets + 1))
         rows = [(b, _pack(place=d["place"][i:j], u=by_u[i:j], w=by_w[i:j])) for b, (i, j) in enumerate(zip(edge, edge[1:], strict=False)) if i < j]
-        return pa.table({"block": pa.array([block] * len(rows), pa.int64()), "bucket": pa.array([r[0] for r in rows], pa.int32()), "name": pa.nulls(len(rows), pa.string()), "tables": pa.array([r[1] for r in rows], pa.binary())})
+        return pa.table({"block": pa.array([block] * len(rows), pa.int64()), "bucket": pa.array([r[0] for r in rows], pa.int32()), "name": pa.nulls(len(rows), pa.string()), "state": pa.nulls(len(rows), pa.string()), "tables": pa.array([r[1] for r in rows], pa.binary())})
 
 
-_TABLES = "block long, bucket int, name string, tables binary"
+_TABLES = "block long, bucket int, name string, state string, tables binary"
 
 
-def _named(block: int, name: str) -> pa.Table:
-    return pa.table({"block": pa.array([block], pa.int64()), "bucket": pa.array([-1], pa.int32()), "name": pa.array([name]), "tables": pa.nulls(1, pa.binary())})
+def _named(block: int, name: str, state: str) -> pa.Table:
+    return pa.table({"block": pa.array([block], pa.int64()), "bucket": pa.array([-1], pa.int32()), "name": pa.array([name]), "state": pa.array([state]), "tables": pa.nulls(1, pa.binary())})
 
 
 def _start(key: tuple, left: pa.Table, right: pa.Table, folder: str, buckets: int) -> pa.Table:
     """A block's state from the buckets' answers: each pair on one table."""
     block, name = key[0].as_py(), left["name"][0].as_py()
-    d = _unpack(_get(folder, name))
-    m = len(d["hashes"])
+    d = _tokens(folder, name)
+    h = _unpack(_get(f"{folder}/state", left["state"][0].as_py()))["hashes"]
+    m = len(h)
     right = right.sort_by("bucket")
     said = [_unpack(x) for x in right["words"].to_pylist()]
     back = [_unpack(x) for x in right["pairs"].to_pylist()]
     pair = np.unique(_pair_codes(d["ids"], m))
     u, w = np.divmod(pair, m)
-    by = np.argsort(_pair_hash(d["hashes"], u, w))
+    hashed = _pair_hash(h, u, w)
+    by = np.argsort(hashed)
     c, owned = np.empty(len(pair), np.int64), np.empty(len(pair), dtype=bool)
     c[by] = np.concatenate([x["c"] for x in back])
     owned[by] = np.concatenate([np.unpackbits(x["owned"], count=len(x["c"])) for x in back]).astype(bool)
     once, many = owned & (c == 1), np.flatnonzero(c > 1)
     state = {
-        **d, "place": np.concatenate([x["place"] for x in said]), "c": np.concatenate([x["c"] for x in said]), "bucket": np.repeat(right["bucket"].to_numpy(), [len(x["c"]) for x in said]),
+        "place": np.concatenate([x["place"] for x in said]), "c": np.concatenate([x["c"] for x in said]), "bucket": np.repeat(right["bucket"].to_numpy(), [len(x["c"]) for x in said]),
         "pair_c": c, "single_u": np.bincount(u[once], minlength=m), "single_w": np.bincount(w[once], minlength=m),
-        "many": many, "u": u[many], "w": w[many], "t": np.ones(len(many), np.int64), "owned": owned[many],
+        "many_of": np.bincount(u[many], minlength=m), "w": w[many], "t": np.ones(len(many), np.int64), "owned": np.packbits(owned[many]), "keys": hashed[many] & _U(0xFFFFFFFF),
     }
-    return pa.concat_tables([_named(block, _put(folder, _pack(**state))), Block(state).tables(buckets, block)])
+    return pa.concat_tables([_named(block, name, _put(f"{folder}/0", _pack(**state))), Block(state).tables(buckets, block)])
 
 
 # --- the restaurant of words -------------------------------------------------
@@ -547,23 +582,25 @@ def _heard(right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def _seat_pairs(key: tuple, left: pa.Table, right: pa.Table, folder: str, buckets: int, d: float, salt: int, keep: float | None) -> pa.Table:
     """Seat a block's pairs again. With ``keep``, the parent's probability of unknown words, this answer and the tables before it are a kept sample."""
     block = key[0].as_py()
-    s = _unpack(_get(folder, left["name"][0].as_py()))
+    s = _unpack(_get(f"{folder}/{salt - 1}", left["state"][0].as_py()))
     p, after = _heard(right)
     if keep is not None:
         n = s.get("samples", 0)
         s |= {"samples": n + 1, f"p{n}": p.astype(np.float32), f"u{n}": after, f"t{n}": s["t"], f"unknown{n}": keep}
-    u, w, c = s["u"], s["w"], s["pair_c"][s["many"]].astype(np.int64)
-    s["t"] = seat(c, p[w], np.maximum(after[u] - s["t"], 0), d, _pair_hash(s["hashes"], u, w), salt)
-    return pa.concat_tables([_named(block, _put(folder, _pack(**s))), Block(s).tables(buckets, block)])
+    u, w = Block(s).pairs()
+    c = s["pair_c"][s["pair_c"] > 1].astype(np.int64)
+    s["t"] = seat(c, p[w], np.maximum(after[u] - s["t"], 0), d, mix(s["keys"].astype(np.uint64)), salt)
+    return pa.concat_tables([_named(block, left["name"][0].as_py(), _put(f"{folder}/{salt}", _pack(**s))), Block(s).tables(buckets, block)])
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(key: tuple, left: pa.Table, right: pa.Table, folder: str, d: float, tokens: int, types: int, unknown: float) -> pa.Table:
+def _score(key: tuple, left: pa.Table, right: pa.Table, folder: str, last: int, d: float, tokens: int, types: int, unknown: float) -> pa.Table:
     """Scores of a block's documents; the last answer and the tables before it are the last sample."""
-    s = _unpack(_get(folder, left["name"][0].as_py()))
-    n, m = s.get("samples", 0), len(s["hashes"])
+    s = _unpack(_get(f"{folder}/{last}", left["state"][0].as_py()))
+    s |= _tokens(folder, left["name"][0].as_py())
+    n, m = s.get("samples", 0), len(s["place"])
     p, after = _heard(right)
     s |= {f"p{n}": p, f"u{n}": after, f"t{n}": s["t"], f"unknown{n}": unknown}
     ids, c = s["ids"], s["c"].astype(np.int64)
@@ -573,7 +610,7 @@ def _score(key: tuple, left: pa.Table, right: pa.Table, folder: str, d: float, t
     total = np.zeros(len(pair))
     for k in range(n + 1):
         t = np.minimum(pair_c, 1)
-        t[s["many"]] = s[f"t{k}"]
+        t[pair_c > 1] = s[f"t{k}"]
         up = np.where(c[w] > 0, s[f"p{k}"][w].astype(np.float64), s[f"unknown{k}"])
         total += (np.maximum(pair_c - d * t, 0) + (THETA + d * s[f"u{k}"][u]) * up) / (THETA + c[u])
     lp = np.log10(total / (n + 1))[which]
@@ -610,8 +647,6 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     prepare(spark)
     folder = scratch_dir(spark) + "-blocks"
-    store, base = open_folder(folder)
-    store.create_dir(base, recursive=True)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     sent = save(source.mapInArrow(lambda b: _blocks(b, folder, buckets), _MESSAGES))
@@ -620,15 +655,16 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     tokens, types, n1, n2 = (int(x or 0) for x in reduced.agg(*[F.sum(x) for x in ("tokens", "types", "n1", "n2")]).first())
     d = discount(n1, n2)
     answers = reduced.where("block is not null").select("block", "bucket", "words", "pairs")
-    state = save(_by(sent.where("bucket < 0").select("block", "name"), answers, "block", _TABLES, _start, folder, buckets))
+    state = save(_by(sent.where("bucket < 0").select("block", "name", "state"), answers, "block", _TABLES, _start, folder, buckets))
     words = save(reduced.where("vocabulary is not null").select("bucket", "vocabulary", F.lit(None).cast("binary").alias("state")))
     discard(sent)
     discard(reduced)
+    _drop(f"{folder}/state")
     free_shuffles(spark)
     symbol = _alphabet(words)
     log_p = None
     for k in range(burn + samples):
-        names, messages = state.where("bucket < 0").select("block", "name"), state.where("bucket >= 0").select("block", "bucket", "tables")
+        names, messages = state.where("bucket < 0").select("block", "name", "state"), state.where("bucket >= 0").select("block", "bucket", "tables")
         added = save(_by(words, messages, "bucket", _WORDS, _add_tables).select("bucket", "vocabulary", "state", "customers", "types", "n1", "n2"))
         customers, once, twice = (int(x or 0) for x in added.agg(F.sum("customers"), F.sum("n1"), F.sum("n2")).first())
         dw = discount(once, twice)
@@ -647,9 +683,10 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         back = _by(words, messages, "bucket", "block long, bucket int, answer binary", _answer, symbol, parent)
         kept = parent.unknown() if k >= burn else None
         if k == burn + samples - 1:
-            return _by(names, back, "block", _SCORES, _score, folder, d, tokens, types, kept)
+            return _by(names, back, "block", _SCORES, _score, folder, k, d, tokens, types, kept)
         before, state = state, save(_by(names, back, "block", _TABLES, _seat_pairs, folder, buckets, d, k + 1, kept))
         discard(before)
+        _drop(f"{folder}/{k}")
         log_p, total = spelling(_gather(seated), k + 1).lookup(), int(total)
         free_shuffles(spark)
     raise ValueError("no sample is kept")
