@@ -651,13 +651,15 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     sent = save(source.mapInArrow(lambda b: _blocks(b, folder, buckets), _MESSAGES))
     reduced = save(sent.where("bucket >= 0").select("block", "bucket", "words", "pairs").groupBy("bucket").applyInArrow(_reduce, _REDUCED))
+    blocks = save(sent.where("bucket < 0").select("block", "name", "state"))
+    discard(sent)
+    del sent
     free_shuffles(spark)
     tokens, types, n1, n2 = (int(x or 0) for x in reduced.agg(*[F.sum(x) for x in ("tokens", "types", "n1", "n2")]).first())
     d = discount(n1, n2)
     answers = reduced.where("block is not null").select("block", "bucket", "words", "pairs")
-    state = save(_by(sent.where("bucket < 0").select("block", "name", "state"), answers, "block", _TABLES, _start, folder, buckets))
+    state = save(_by(blocks, answers, "block", _TABLES, _start, folder, buckets))
     words = save(reduced.where("vocabulary is not null").select("bucket", "vocabulary", F.lit(None).cast("binary").alias("state")))
-    discard(sent)
     discard(reduced)
     _drop(f"{folder}/state")
     free_shuffles(spark)
