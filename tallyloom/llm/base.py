@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -121,6 +123,13 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system: a Python worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries keep what is freed
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 # --- vectorised word hashing -------------------------------------------------
 
 _U = np.uint64

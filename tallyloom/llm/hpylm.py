@@ -37,12 +37,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import discard, free_shuffles, mix, open_folder, prepare, save, scratch_dir
+from .base import discard, free_shuffles, give_back, mix, open_folder, prepare, save, scratch_dir
 from .base import words as words_of
 from .elias_fano import EliasFano
 
 #: Tokens of a block of documents (a longer document is a block of its own).
-BLOCK_TOKENS = 2_500_000
+BLOCK_TOKENS = 2_000_000
 SYMBOLS, FAR = 64, 32
 LEVELS = (1, SYMBOLS, SYMBOLS**2, SYMBOLS**2 * FAR)
 OTHER = SYMBOLS - 1
@@ -351,8 +351,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], folder: str, buckets: int) -> Ite
             tokens += len(found)
             if tokens >= BLOCK_TOKENS:
                 yield flush()
+                give_back()
     if docs:
         yield flush()
+    give_back()
 
 
 def _tokens(folder: str, name: str) -> dict:
@@ -512,6 +514,7 @@ def _seat_words(batches: Iterator[pa.RecordBatch], symbol: np.ndarray, d: float,
             real = np.asarray(pc.binary_length(words))[own] > 0
             np.add.at(cell_counts, cell[real], state["t"][own][real].astype(np.int64))
             yield from _words_row(bucket, vocabulary, state, int(state["t"].sum()), mass).to_batches()
+    give_back()
     at = np.flatnonzero(cell_counts)
     for begin in range(0, len(at), 65536):
         part = at[begin : begin + 65536]
@@ -629,7 +632,13 @@ def _score(key: tuple, left: pa.Table, right: pa.Table, folder: str, last: int,
 
 def _by(left: DataFrame, right: DataFrame, key: str, schema: str, work: Callable, *given) -> DataFrame:
     """What ``work`` makes of both tables' rows of each key, and of what is given."""
-    return left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(lambda k, a, b: work(k, a, b, *given), schema)
+
+    def run(k: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        out = work(k, a, b, *given)
+        give_back()
+        return out
+
+    return left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(run, schema)
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, burn: int = BURN) -> DataFrame:
