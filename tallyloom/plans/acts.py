@@ -117,8 +117,11 @@ def assign_congress(acts: DataFrame, house: DataFrame, range_size: int = 1000) -
     earlier = F.coalesce(before_session | by_number, F.lit(False))
     rows = rows.select("ra", F.when(earlier, F.col("congress") - 1).otherwise(F.col("congress")).alias("congress"), source.alias("congress_from"))
     filled = windows.neighbour_fill(rows, "ra", "congress", F.floor(F.col("ra") / range_size))
-    # Neighbours that are both missing agree too, on nothing.
-    return filled.select("ra", F.col("filled").alias("congress"), F.when(F.col("congress").isNull() & F.col("filled").isNotNull(), "neighbouring acts").otherwise(F.col("congress_from")).alias("congress_from"))
+    # Neighbours that are both missing agree too, on nothing: then no act at all has a Congress.
+    known = filled.agg(F.count("congress").alias("_known"))
+    filled = filled.join(F.broadcast(known), F.lit(True))  # one row
+    agreed = F.col("congress").isNull() & (F.col("filled").isNotNull() | (F.col("_known") == 0))
+    return filled.select("ra", F.col("filled").alias("congress"), F.when(agreed, "neighbouring acts").otherwise(F.col("congress_from")).alias("congress_from"))
 
 
 # --- floor -------------------------------------------------------------------

@@ -31,6 +31,12 @@ def test_congress_ladder(spark):
     }
 
 
+def test_neighbours_that_agree_on_nothing(spark):
+    given = spark.createDataFrame([(1, None, None, []), (2, None, None, [])], "ra int, date date, congress_text int, passed array<date>")
+    got = acts.assign_congress(given, spark.createDataFrame([], "ra int, congress int")).collect()
+    assert {(r.ra, r.congress, r.congress_from) for r in got} == {(1, None, "neighbouring acts"), (2, None, "neighbouring acts")}
+
+
 def test_floor(spark):
     schema = "doc string, kind string, congress int, bill int, history array<struct<action:string,date:date>>"
     records = [

@@ -3,7 +3,7 @@
 import duckdb
 import pandas as pd
 import pytest
-from tallyloom.plans import analytics
+from tallyloom.plans import analytics, domain  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
