@@ -107,7 +107,7 @@ def assign_congress(acts: DataFrame, house: DataFrame, range_size: int = 1000) -
     rows = rows.withColumn("congress_from", ladder([(header, "header"), (by_passage.isNotNull(), "passage date"), (F.col("_house").isNotNull(), "house record"), (F.col("_by_date").isNotNull(), "approval date")]))
     rows = rows.withColumn("congress", F.when(F.col("congress_from") == "header", F.col("congress_text")).when(F.col("congress_from") == "passage date", by_passage).when(F.col("congress_from") == "house record", F.col("_house")).otherwise(F.col("_by_date")))
     first = rows.where("congress_from <> 'approval date'").groupBy("congress").agg(F.min("ra").alias("_first"))
-    rows = rows.join(F.broadcast(first), "congress", "left")
+    rows = rows.join(first, "congress", "left")
     dated = F.col("congress_from") == "approval date"
     convened = F.create_map(*[x for n, d in CONVENED.items() for x in (F.lit(n), F.lit(d).cast("date"))])[F.col("congress")]
     opening = F.create_map(*[x for n, a, _ in CONGRESSES for x in (F.lit(n), F.lit(a.isoformat()).cast("date"))])[F.col("congress")]

@@ -75,7 +75,7 @@ def busiest_month(spark, sf_dir):
 def peak_month_tied(spark, sf_dir):
     n = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m")).agg(F.count("*").alias("n"))
     best = n.groupBy(F.col("y").alias("y2")).agg(F.max("n").alias("top"))
-    return n.join(F.broadcast(best), (F.col("y") == F.col("y2")) & (F.col("n") == F.col("top")), "left_semi").select("y", F.col("m").alias("peak"), "n")
+    return n.join(best, (F.col("y") == F.col("y2")) & (F.col("n") == F.col("top")), "left_semi").select("y", F.col("m").alias("peak"), "n")
 
 
 # --- intervals (J6, J7) ------------------------------------------------------
@@ -287,7 +287,7 @@ def rate_per_capita(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("k"))
     by = c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_nationkey").agg(F.sum("k").alias("n"), F.count("*").alias("people"))
-    j = table(spark, sf_dir, "nation").join(F.broadcast(by), F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    j = table(spark, sf_dir, "nation").join(by, F.col("n_nationkey") == F.col("c_nationkey"), "left")
     return j.select("n_name", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.round(aggregate.rate(F.coalesce("n", F.lit(0)), F.col("people")), 3).alias("rate"))
 
 
@@ -533,11 +533,11 @@ def lookup_or_code(spark, sf_dir):
     return resolve.name_or_code(l, "code", names, "name").select("l_orderkey", "l_linenumber", "name")
 
 
-@query("""WITH RECURSIVE e AS (SELECT p_partkey AS o, (p_partkey * 7 + 3) % 97 AS n FROM part WHERE p_partkey < 97 AND p_partkey <> (p_partkey * 7 + 3) % 97),
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS o, p_partkey - p_partkey % 97 + (p_partkey % 97 * 7 + 3) % 97 AS n FROM part WHERE p_partkey % 97 <> (p_partkey % 97 * 7 + 3) % 97),
 r(s, n, h) AS (SELECT o, n, 1 FROM e UNION ALL SELECT r.s, e.n, r.h + 1 FROM r JOIN e ON r.n = e.o WHERE r.h < 4)
 SELECT s AS start, n AS name, min(h)::INTEGER AS hop FROM r WHERE s <> n GROUP BY 1, 2""")
 def rename_closure(spark, sf_dir):
-    edges = table(spark, sf_dir, "part").where("p_partkey < 97").select(F.col("p_partkey").alias("old"), ((F.col("p_partkey") * 7 + 3) % 97).alias("new"))
+    edges = table(spark, sf_dir, "part").selectExpr("p_partkey AS old", "p_partkey - p_partkey % 97 + (p_partkey % 97 * 7 + 3) % 97 AS new")
     return graph.later_names(edges, 4)
 
 
@@ -552,7 +552,7 @@ def ring_centroid(spark, sf_dir):
     return c.select("p_partkey", *[F.round(F.col(f"c.{k}"), 6).alias(k) for k in ("x", "y", "area")])
 
 
-@query()
+@query("""SELECT o_orderkey, round(v - floor(v), 6) AS h, ['a', 'b', 'c', 'd'][(floor((v - floor(v)) * 4)::INT % 4) + 1] AS pick FROM (SELECT o_orderkey, sin(o_orderkey * 12.9898::DOUBLE + 78.233::DOUBLE) * 43758.5453::DOUBLE AS v FROM orders)""")
 def hash_pick(spark, sf_dir):
     h = geo.jitter(F.col("o_orderkey"))
     pick = F.element_at(F.array(*[F.lit(x) for x in ("a", "b", "c", "d")]), (F.floor(h * 4) % 4 + 1).cast("int"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, titles
+from ..operators import graph
 from . import acts, laws, marts, matching, people, places, records
 from .analytics import query, table
 
@@ -253,6 +254,26 @@ def match_hospitals(spark, sf_dir):
     return found.select("ra", F.when(F.col("match") == "found", F.col("hid")).alias("hid"), "level", "match")
 
 
+@query("""WITH e AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN 'alpha' || (p_partkey // 3)::VARCHAR || ' district hospital' ELSE 'beta' || (p_partkey // 3)::VARCHAR || ' memorial hospital' END AS o,
+CASE p_partkey % 3 WHEN 0 THEN 'beta' || (p_partkey // 3)::VARCHAR || ' memorial hospital' ELSE 'gamma' || (p_partkey // 3)::VARCHAR || ' medical center' END AS n FROM part WHERE p_partkey % 3 < 2)
+SELECT o AS start, n AS name, 1 AS hop FROM e UNION ALL SELECT a.o, b.n, 2 FROM e a JOIN e b ON a.n = b.o""")
+def later_names_of_titles(spark, sf_dir):
+    title = """CASE p_partkey % 3 WHEN 0 THEN concat('An Act Renaming the Alpha', p_partkey div 3, ' District Hospital in the City of Q to Beta', p_partkey div 3, ' Memorial Hospital')
+    WHEN 1 THEN concat('An Act Converting the Beta', p_partkey div 3, ' Memorial Hospital into a Center, to be known as the Gamma', p_partkey div 3, ' Medical Center, Appropriating Funds')
+    ELSE concat('An Act Renaming the Delta', p_partkey, ' Hospital as the Delta', p_partkey, ' General Hospital') END"""
+    wanted = table(spark, sf_dir, "part").selectExpr("p_partkey AS ra", f"{title} AS title", "'hospital' AS category")
+    return graph.later_names(matching.rename_edges(wanted))
+
+
+@query("""WITH t AS (SELECT s_suppkey AS psgc10, 'n' || s_suppkey::VARCHAR AS name, 'p' || (s_suppkey % 3)::VARCHAR AS p, s_suppkey % 17 = 0 AS metro, ['n' || s_suppkey::VARCHAR, 'o' || (s_suppkey % 10)::VARCHAR] AS keys FROM supplier), k AS (SELECT *, unnest(keys) AS k FROM t),
+s AS (SELECT c_custkey AS school_id, CASE WHEN c_custkey % 2 = 0 THEN 'n' || (c_custkey % 40)::VARCHAR ELSE 'o' || (c_custkey % 10)::VARCHAR END AS town, 'p' || (c_custkey % 5)::VARCHAR AS q FROM customer), one AS (SELECT town, min(q) = max(q) AS o FROM s GROUP BY 1)
+SELECT psgc10, school_id FROM k JOIN s ON k.k = s.town JOIN one USING (town) WHERE o OR q = p OR contains(q, k) OR metro QUALIFY rank() OVER (PARTITION BY psgc10 ORDER BY k <> name, k) = 1""")
+def schools_of_towns(spark, sf_dir):
+    towns = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS psgc10", "concat('n', s_suppkey) AS name", "concat('p', s_suppkey % 3) AS province", "s_suppkey % 17 = 0 AS metro", "array(concat('o', s_suppkey % 10), concat('n', s_suppkey)) AS keys")
+    schools = table(spark, sf_dir, "customer").selectExpr("c_custkey AS school_id", "CASE WHEN c_custkey % 2 = 0 THEN concat('n', c_custkey % 40) ELSE concat('o', c_custkey % 10) END AS town", "concat('p', c_custkey % 5) AS province")
+    return matching.town_schools(towns, schools)
+
+
 @query("""SELECT s_suppkey AS ra, CASE WHEN s_suppkey % 3 = 2 THEN NULL ELSE 'San Roque' || s_suppkey END AS new_barangay, CASE s_suppkey % 3 WHEN 0 THEN 'found' WHEN 1 THEN 'not_found' ELSE 'no_name' END AS match, CASE WHEN s_suppkey % 3 = 0 THEN 'San Roque' || s_suppkey || ' (Pob.)' END AS census_name FROM supplier""")
 def match_barangays(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")

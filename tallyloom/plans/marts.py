@@ -28,7 +28,7 @@ def link_code(href: Column) -> Column:
 
 def law_rows(laws: DataFrame, towns: DataFrame) -> DataFrame:
     """One row an act for browsing (M1, M13): towns by name, code where unknown."""
-    named = laws.select("ra", F.posexplode_outer("munis").alias("_p", "psgc10")).join(F.broadcast(towns.select("psgc10", "name").distinct()), "psgc10", "left")
+    named = laws.select("ra", F.posexplode_outer("munis").alias("_p", "psgc10")).join(towns.select("psgc10", "name").distinct(), "psgc10", "left")
     listed = named.groupBy("ra").agg(F.array_sort(F.collect_list(F.struct("_p", F.coalesce("name", "psgc10").alias("t")))).alias("_l"))
     out = laws.join(listed, "ra", "left")
     return out.select("ra", "date", F.coalesce("congress", F.lit(0)).alias("congress"), "category", "scope", "title", F.coalesce("lapsed", F.lit(False)).alias("lapsed"), F.array_join("provinces", "; ").alias("provinces"), F.array_join(F.transform("_l", lambda x: x["t"]), "; ").alias("towns"), link_code(F.col("href")).alias("link"))
