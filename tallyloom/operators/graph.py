@@ -10,16 +10,16 @@ def later_names(edges: DataFrame, hops: int = 4) -> DataFrame:
     """(``start``, ``name``, ``hop``): names reachable over at most ``hops`` renames.
 
     ``edges`` has ``old`` and ``new``; a name comes once, at its least hop, and
-    cycles end where they began. Each hop is an equi-join of the frontier.
+    cycles end where they began. Each hop is an equi-join of the names reached by the hop before,
+    whose exchange is shared with the union, so no hop is computed twice; the least hop is one aggregate.
     """
     pair = edges.select("old", "new").where("old <> new").distinct()
     front = pair.select(F.col("old").alias("start"), F.col("new").alias("name"))
-    found = front.withColumn("hop", F.lit(1))
+    every = front.withColumn("hop", F.lit(1))
     for hop in range(2, hops + 1):
-        step = front.join(pair, F.col("name") == F.col("old")).select("start", F.col("new").alias("name")).where("start <> name").distinct()
-        front = step.join(found, ["start", "name"], "left_anti")
-        found = found.unionByName(front.withColumn("hop", F.lit(hop)))
-    return found
+        front = front.join(pair, F.col("name") == F.col("old")).select("start", F.col("new").alias("name")).where("start <> name").distinct()
+        every = every.unionByName(front.withColumn("hop", F.lit(hop)))
+    return every.groupBy("start", "name").agg(F.min("hop").alias("hop"))
 
 
 Split = tuple[str, str, int]

@@ -74,3 +74,23 @@ def test_marts(spark):
     authored = spark.createDataFrame([(1, "x", "A", "road"), (2, "y", "B", "road"), (3, "x", "B", "court"), (4, "y", "B", "court")], "ra int, author string, province string, category string")
     assert [(r.author, r.province) for r in marts.top_authors(authored).collect()] == [("x", "A"), ("y", "B")]
     assert marts.kinds_by_congress(laws, F.col("category")).count() == 2
+
+
+def test_rename_edges(spark):
+    acts = [
+        (3, "An Act Renaming the Luna Hospital in the City of Q as the Rizal General Hospital", "hospital"), (2, "An Act Changing the Name of Luna Hospital to Rizal General Hospital", "hospital"),
+        (4, "An Act Upgrading the Rizal General Hospital into a Center to be known as the Mabini Medical Center", "hospital"), (5, "An Act Renaming the Luna Hospital to Luna District Hospital", "hospital"),
+        (6, "An Act Renaming the Luna Hospital to Bonifacio Hospital", "school"), (7, None, "hospital"), (8, "An Act Renaming the District Hospital to Paz Hospital", "hospital"),
+    ]
+    table = spark.createDataFrame(acts, "ra int, title string, category string")
+    got = {(r.old, r.new, r.ra) for r in matching.rename_edges(table).collect()}
+    assert got == {("luna hospital", "rizal general hospital", 2), ("rizal general hospital", "mabini medical center", 4)}
+    assert matching.rename_edges(table.limit(0)).count() == 0
+
+
+def test_town_schools(spark):
+    towns = spark.createDataFrame([("a", "luna", "abra", ["old", "luna"], False), ("b", "paz", "abra", ["older", "old"], False), ("c", "qc", "metro manila", ["qc"], True), ("d", "none", None, None, False)], "psgc10 string, name string, province string, keys array<string>, metro boolean")
+    schools = spark.createDataFrame([(1, "luna", "abra"), (2, "luna", "cebu"), (3, "old", "cebu"), (4, "older", "x"), (5, "older", "y"), (6, "qc", "ncr 1"), (7, "qc", None), (8, None, "abra")], "school_id int, town string, province string")
+    got = {(r.psgc10, r.school_id) for r in matching.town_schools(towns, schools).collect()}
+    assert got == {("a", 1), ("b", 3), ("c", 6), ("c", 7)}
+    assert matching.town_schools(towns, schools.limit(0)).count() == 0
