@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keys import join_by_keys
+
 
 def fractional_count(df: DataFrame, members: str, group: list[str], name: str) -> DataFrame:
     """Each row counts 1/n for each of its n members (A4)."""
@@ -32,24 +34,68 @@ def share_of_large_groups(df: DataFrame, key: str, least: int, name: str) -> Dat
     return n.agg(F.coalesce(F.sum(F.when(F.col("n") >= least, F.col("n")).otherwise(0)) / F.sum("n"), F.lit(0.0)).alias(name))
 
 
-def upper_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """The element at place n div 2 of the key's sorted values.
+#: Keys with more values than this are narrowed before their values are ranked.
+FEW_VALUES = 5000
+#: Half the width of the stretch of ranks that is left of such a key, and the accuracy of the sketch that finds it.
+STRETCH, ACCURACY = 0.001, 20_000
+
+
+def order_statistics(df: DataFrame, keys: list[str], value: str, places: dict[str, tuple[float, Column]]) -> DataFrame:
+    """Exact values at places of each key's sorted values (A10, A13): a column for each item of ``places``.
+
+    A place is its share of the key's values (0 to 1) and its number from 0 as an expression of
+    ``_total``, their count; the number must lie within one of ``share * _total``. Null values don't count; a key without others has no row.
 
-    Exact without gathering a key: values are counted first, then the running count
-    over distinct values finds the place.
+    No key's values meet in one task: a sketch (map-side combined) gives two values around
+    each place, at 1/1000 of the ranks to either side, well beyond its error of 1/20000; values below are only
+    counted, and a window ranks the distinct values between, a 500th of the key's at most
+    unless the key has few.
     """
-    n = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    so_far = F.sum("_n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("_n").over(Window.partitionBy(*keys))
-    placed = n.withColumns({"_to": so_far, "_total": total})
-    middle = F.floor(F.col("_total") / 2)
-    return placed.where((F.col("_to") > middle) & (F.col("_to") - F.col("_n") <= middle)).select(*keys, F.col(value).alias(name))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    shares = sorted({max(0.0, min(1.0, s + d)) for s, _ in places.values() for d in (-STRETCH, STRETCH)})
+    sketch = F.percentile_approx("_v", F.array(*[F.lit(s) for s in shares]), ACCURACY)
+    ends = rows.groupBy(*keys).agg(F.count("*").alias("_total"), F.min("_v").alias("_least"), F.max("_v").alias("_most"), sketch.alias("_at"))
+
+    def stretch(name: str) -> Column:
+        share, number = places[name]
+        low, high = (shares.index(max(0.0, min(1.0, share + d))) for d in (-STRETCH, STRETCH))
+        few = F.col("_total") <= FEW_VALUES
+        return F.struct(F.lit(name).alias("name"), number.cast("long").alias("number"), F.when(few, F.col("_least")).otherwise(F.col("_at")[low]).alias("low"), F.when(few, F.col("_most")).otherwise(F.col("_at")[high]).alias("high"))
+
+    ends = ends.select(*keys, F.array(*[stretch(n) for n in places]).alias("_places"))
+    met = join_by_keys(rows, ends, keys, "inner") if keys else rows.crossJoin(F.broadcast(ends))  # without keys, one row
+    # The values of a stretch by value; those below it as one null.
+    met = met.select(*keys, "_v", F.explode("_places").alias("_p")).where(F.col("_v") <= F.col("_p.high"))
+    inside = F.when(F.col("_v") >= F.col("_p.low"), F.col("_v"))
+    n = met.groupBy(*keys, F.col("_p.name").alias("_name"), F.col("_p.number").alias("_number"), inside.alias("_v")).agg(F.count("*").alias("_n"))
+    so_far = F.sum("_n").over(Window.partitionBy(*keys, "_name").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    here = n.withColumn("_to", so_far).where((F.col("_to") > F.col("_number")) & (F.col("_to") - F.col("_n") <= F.col("_number")))
+    return here.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in places])
+
+
+def upper_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """The element at place n div 2 of the key's sorted values."""
+    return order_statistics(df, keys, value, {name: (0.5, F.floor(F.col("_total") / 2))})
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float]:
+    """Exact quantiles of a whole column, interpolated between the two nearest places; empty without values (A10)."""
+    places = {}
+    for i, s in enumerate(shares):
+        exact = (F.col("_total") - 1) * s
+        places |= {f"_low{i}": (s, F.floor(exact)), f"_high{i}": (s, F.ceil(exact))}
+    found = order_statistics(df, [], value, places).first()
+    total = df.where(F.col(value).isNotNull()).count()
+    if not total:
+        return []
+    between = [((total - 1) * s) % 1 for s in shares]
+    return [float(found[f"_low{i}"]) + (float(found[f"_high{i}"]) - float(found[f"_low{i}"])) * b for i, b in enumerate(between)]
 
 
 def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``n``, ``mean``, ``median`` (upper) and ``zero_share`` by key (A10)."""
     basic = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.avg((F.col(value) == 0).cast("double")).alias("zero_share"))
-    return basic.join(upper_median(df, keys, value, "median"), keys)
+    return join_by_keys(basic, upper_median(df, keys, value, "median"), keys, "inner")
 
 
 def bootstrap_ci(df: DataFrame, keys: list[str], value: str, order: str, seed: int = 7, draws: int = 2000, low: int = 50, high: int = 1949) -> DataFrame:

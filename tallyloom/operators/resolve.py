@@ -6,7 +6,7 @@ matches are taken out by an equi-join and after native length tests.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import ro_ratio
@@ -36,36 +36,76 @@ def unique_candidate(mentions: DataFrame, candidates: DataFrame, mention_id: str
 
     ``narrow`` are conditions tried in turn: each keeps the candidates that satisfy it
     if more than one was left before and any does.
+
+    Candidates are counted by key first, so mentions that have one meet that one, and pairs are
+    made only of the others, and only if a condition may tell their candidates apart.
     """
-    both = mentions.join(candidates, key)
+    n = candidates.groupBy(key).agg(F.count("*").alias("_n"))
+    total = mentions.select(mention_id, key).join(n, key).groupBy(mention_id).agg(F.sum("_n").alias("_n"))
+    sure = mentions.join(total.where("_n = 1").select(mention_id), mention_id, "left_semi").join(candidates, key)
+    if not narrow:
+        return sure
+    both = mentions.join(total.where("_n > 1").select(mention_id), mention_id, "left_semi").join(candidates, key)
     for k, condition in enumerate(narrow):
         both = both.withColumn("_ok", F.coalesce(condition, F.lit(False)))
         n = both.groupBy(mention_id).agg(F.count("*").alias("_n"), F.count_if("_ok").alias("_m"))
         both = both.drop("_n", "_m").join(n, mention_id).where((F.col("_n") == 1) | (F.col("_m") == 0) | F.col("_ok")).drop("_n", "_m", "_ok")
     one = both.groupBy(mention_id).agg(F.count("*").alias("_n")).where("_n = 1").drop("_n")
-    return both.join(one, mention_id, "left_semi")
+    return sure.unionByName(both.join(one, mention_id, "left_semi").select(*sure.columns))
 
 
 def nearest_in_block(left: DataFrame, right: DataFrame, left_id: str, right_id: str, block: str, left_at: str, right_at: str, most: float) -> DataFrame:
     """The right row of the block nearest on a line, within ``most``; ties to the smaller id.
 
-    Positions are cut into cells of width ``most``, so only neighbouring cells meet.
+    Positions are cut into cells of width ``most``. Both sides of a cell are sorted together and each left
+    row looks at the right positions just below and above it, in its own cell or at the near end
+    of the next ones, so work grows with the rows and not with their pairs.
+    Rows without a position or a block have no neighbour.
     """
-    cell = lambda c: F.floor(F.col(c) / most)
-    l = left.select(left_id, block, F.col(left_at).alias("_l"), F.explode(F.array(cell(left_at) - 1, cell(left_at), cell(left_at) + 1)).alias("_cell"))  # noqa: E741
-    r = right.select(F.col(right_id), block, F.col(right_at).alias("_r"), cell(right_at).alias("_cell"))
-    both = l.join(r, [block, "_cell"]).withColumn("gap", F.abs(F.col("_l") - F.col("_r"))).where(F.col("gap") <= most)
-    return both.groupBy(left_id).agg(F.min(F.struct("gap", right_id)).alias("_best")).select(left_id, F.col(f"_best.{right_id}").alias(right_id), F.col("_best.gap").alias("gap"))
-
-
-def token_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_tokens: str, right_tokens: str) -> DataFrame:
-    """(left, right, shared): numbers of distinct tokens in common, by an equi-join on tokens.
-
-    Rows that share no token never meet.
+    cell = F.floor(F.col("_at") / most)
+    right_rows = right.where(F.col(right_at).isNotNull() & F.col(block).isNotNull())
+    r = right_rows.groupBy(F.col(block).alias("_b"), F.col(right_at).alias("_at")).agg(F.min(right_id).alias("_rid")).withColumn("_cell", cell)
+    point = F.struct("_at", "_rid")
+    ends = r.groupBy("_b", "_cell").agg(F.max(point).alias("_end"), F.min(point).alias("_start"))
+    l = left.where(F.col(left_at).isNotNull() & F.col(block).isNotNull()).select(F.col(left_id).alias("_lid"), F.col(block).alias("_b"), F.col(left_at).alias("_at"))  # noqa: E741
+    both = r.withColumn("_mine", F.lit(False)).unionByName(l.withColumns({"_cell": cell, "_mine": F.lit(True)}), allowMissingColumns=True)
+    w = Window.partitionBy("_b", "_cell")
+    last = F.last(F.when(~F.col("_mine"), point), ignorenulls=True)
+    # From above by the opposite order: a frame that ends at the last row would be summed anew for each row.
+    below = last.over(w.orderBy("_at", "_mine").rowsBetween(Window.unboundedPreceding, 0))
+    above = last.over(w.orderBy(F.desc("_at"), "_mine").rowsBetween(Window.unboundedPreceding, 0))
+    placed = both.withColumns({"_p0": below, "_p1": above}).where("_mine")
+    placed = placed.join(ends.select("_b", (F.col("_cell") + 1).alias("_cell"), F.col("_end").alias("_p2")), ["_b", "_cell"], "left")
+    placed = placed.join(ends.select("_b", (F.col("_cell") - 1).alias("_cell"), F.col("_start").alias("_p3")), ["_b", "_cell"], "left")
+    gaps = [F.when(F.col(p).isNotNull(), F.struct(F.abs(F.col("_at") - F.col(f"{p}._at")).alias("gap"), F.col(f"{p}._rid").alias("rid"))) for p in ("_p0", "_p1", "_p2", "_p3")]
+    best = placed.select("_lid", F.array_min(F.array(*gaps)).alias("_best")).where(F.col("_best.gap") <= most)
+    return best.groupBy("_lid").agg(F.min("_best").alias("_best")).select(F.col("_lid").alias(left_id), F.col("_best.rid").alias(right_id), F.col("_best.gap").alias("gap"))
+
+
+def token_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_tokens: str, right_tokens: str, least: int = 1) -> DataFrame:
+    """(left, right, shared): numbers of distinct tokens in common, where ``least`` or more are.
+
+    Rows of one id count as one, ids and tokens that are null as none. Two sets with ``least`` tokens in common share one of
+    the n - least + 1 tokens of each that fewest left rows have, so only those meet in the join, and
+    the frequent tokens, whose pairs are many, don't; whole sets then give the numbers.
     """
-    a = left.select(left_id, F.explode(F.array_distinct(left_tokens)).alias("_t"))
-    b = right.select(right_id, F.explode(F.array_distinct(right_tokens)).alias("_t"))
-    return a.join(b, "_t").groupBy(left_id, right_id).agg(F.count("*").alias("shared"))
+    held = lambda df, i, t: df.select(F.col(i).alias("_id"), F.explode(F.array_distinct(t)).alias("_t")).where("_id is not null and _t is not null")
+    b = held(right, right_id, right_tokens).distinct()
+    # Tokens that only one side has can't be shared; they go before the first exchange where the right side's are few.
+    a = held(left, left_id, left_tokens).join(b.select("_t").distinct(), "_t", "left_semi").distinct()
+    if least <= 1:
+        return a.withColumnRenamed("_id", left_id).join(b.withColumnRenamed("_id", right_id), "_t").groupBy(left_id, right_id).agg(F.count("*").alias("shared"))
+    often = a.groupBy("_t").agg(F.count("*").alias("_n"))
+
+    def sets(x: DataFrame, name: str) -> DataFrame:
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("_n", "_t"))), lambda s: s["_t"])
+        return x.join(often, "_t").groupBy(F.col("_id").alias(name)).agg(ordered.alias("_set")).where(F.size("_set") >= least)
+
+    l, r = sets(a, left_id), sets(b, right_id)  # noqa: E741
+    rare = F.explode(F.slice("_set", F.lit(1), F.size("_set") - least + 1)).alias("_t")
+    pairs = l.select(left_id, rare).join(r.select(right_id, rare), "_t").select(left_id, right_id).distinct()
+    met = pairs.join(l.withColumnRenamed("_set", "_ls"), left_id).join(r.withColumnRenamed("_set", "_rs"), right_id)
+    return met.select(left_id, right_id, F.size(F.array_intersect("_ls", "_rs")).cast("long").alias("shared")).where(F.col("shared") >= least)
 
 
 def name_or_code(df: DataFrame, code: str, names: DataFrame, name: str) -> DataFrame:

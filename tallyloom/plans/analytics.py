@@ -295,8 +295,8 @@ def rate_per_capita(spark, sf_dir):
 SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN (c_acctbal >= e[1])::INT + (c_acctbal >= e[2])::INT + (c_acctbal >= e[3])::INT + (c_acctbal >= e[4])::INT + (c_acctbal >= e[5])::INT END::BIGINT AS bin FROM customer, q""")
 def quantile_bins(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    edges = c.where("c_acctbal > 0").agg(F.percentile("c_acctbal", F.array(*[F.lit(k / 6) for k in range(1, 6)])).alias("e")).first()["e"] or []
-    return c.select("c_custkey", F.when(F.col("c_acctbal") > 0, windows.threshold_bin(F.col("c_acctbal"), list(edges))).alias("bin"))
+    edges = aggregate.quantiles(c.where("c_acctbal > 0"), "c_acctbal", [k / 6 for k in range(1, 6)])
+    return c.select("c_custkey", F.when(F.col("c_acctbal") > 0, windows.threshold_bin(F.col("c_acctbal"), edges)).alias("bin"))
 
 
 @query("SELECT o_custkey, n, (n >= 2)::BIGINT + (n >= 5)::BIGINT + (n >= 12)::BIGINT + (n >= 30)::BIGINT + (n >= 80)::BIGINT AS bin FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)")
@@ -327,13 +327,13 @@ def neighbour_fill(spark, sf_dir):
 @query("""SELECT event_id, event_type = 'purchase' OR coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = 'purchase', FALSE) AS near FROM events""")
 def lag_event_match(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
-    return windows.this_or_previous(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == "purchase", "near").select("event_id", "near")
+    return windows.this_or_previous(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == "purchase", "near", ranges=F.to_date("ts")).select("event_id", "near")
 
 
 @query("""SELECT event_id, last_value(CASE WHEN value > 50 THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM events""")
 def heading_ffill(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.when(F.col("value") > 50, F.col("event_id")).alias("h"))
-    return windows.forward_fill(e, ["user_id"], ["ts", "event_id"], "h", "heading").select("event_id", "heading")
+    return windows.forward_fill(e, ["user_id"], ["ts", "event_id"], "h", "heading", ranges=F.to_date("ts")).select("event_id", "heading")
 
 
 @query("""SELECT user_id, bool_or(event_type = 'purchase') AS bought, bool_or(event_type = 'click' AND value > 90) AS big_click, max(value) FILTER (WHERE event_type = 'view') AS top_view FROM events GROUP BY 1""")
@@ -366,13 +366,13 @@ def self_join_lagged(spark, sf_dir):
 @query("""SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS nth FROM orders""")
 def occurrence_index(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    return windows.occurrence(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "nth").drop("o_orderdate")
+    return windows.occurrence(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "nth", ranges=F.year("o_orderdate")).drop("o_orderdate")
 
 
 @query("""WITH r AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS i FROM orders) SELECT o_orderkey, i % 3 AS col, i // 3 AS row FROM r""")
 def stack_rank(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_custkey", "o_orderdate")
-    return windows.stack(o, ["o_orderpriority", "o_custkey"], ["o_orderdate", "o_orderkey"], 3).select("o_orderkey", "col", "row")
+    return windows.stack(o, ["o_orderpriority", "o_custkey"], ["o_orderdate", "o_orderkey"], 3, ranges=F.year("o_orderdate")).select("o_orderkey", "col", "row")
 
 
 @query("""WITH s AS (SELECT l_returnflag AS f, l_linestatus AS s, count(*) AS n FROM lineitem GROUP BY 1, 2)
@@ -508,7 +508,7 @@ def token_overlap_match(spark, sf_dir):
     words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) > 6)
     d = table(spark, sf_dir, "documents").select("doc_id", words.alias("dw"))
     b = table(spark, sf_dir, "benchmark").select("item_id", words.alias("bw"))
-    return resolve.token_overlap(d, b, "doc_id", "item_id", "dw", "bw").where("shared >= 5")
+    return resolve.token_overlap(d, b, "doc_id", "item_id", "dw", "bw", least=5)
 
 
 @query("""WITH c AS (SELECT c_custkey, c_nationkey, c_mktsegment FROM customer), s AS (SELECT s_suppkey, s_nationkey FROM supplier),
