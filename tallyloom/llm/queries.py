@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, hpylm, langid, licenses, neardup, quality, secrets, tokenbin, vptree
+from . import bpe, convtrie, decontam, hpylm, langid, licenses, neardup, quality, secrets, tokenbin, vptree
 
 
 def vocabulary(name: str) -> str:
@@ -78,6 +78,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.prefix_trie(convtrie.rebuilt(convtrie.turn_arrays(_table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_secrets": op2_secrets,
@@ -89,10 +93,12 @@ QUERIES = {
     "op8_nearest": op8_nearest,
     "op9_licenses": op9_licenses,
     "op10_bpe": op10_bpe,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
     "op6_near_duplicates": neardup.ORACLE,
     "op7_decontamination": decontam.ORACLE,
     "op8_nearest": vptree.ORACLE,
+    "op11_prefix_trie": convtrie.ORACLE,
 }
