@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, convtrie, decontam, hpylm, langid, licenses, neardup, quality, secrets, tokenbin, vptree
+from . import bpe, convtrie, decontam, hpylm, langid, licenses, neardup, partenum, quality, secrets, tokenbin, vptree
 
 
 def vocabulary(name: str) -> str:
@@ -82,6 +82,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convtrie.prefix_trie(convtrie.rebuilt(convtrie.turn_arrays(_table(spark, sf_dir, "conversations"))))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_classes(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_secrets": op2_secrets,
@@ -94,6 +98,7 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_bpe": op10_bpe,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_jaccard_join": op12_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
@@ -101,4 +106,5 @@ ORACLES: dict[str, str] = {
     "op7_decontamination": decontam.ORACLE,
     "op8_nearest": vptree.ORACLE,
     "op11_prefix_trie": convtrie.ORACLE,
+    "op12_jaccard_join": partenum.ORACLE,
 }
