@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import free_shuffles, hub_join, mix, prepare, save, small_side
+from .base import discard, free_shuffles, hub_join, mix, prepare, save, small_side
 from .neardup import _families, _keys, _sets, _sets_of, components, verify
 
 _U = np.uint64
@@ -244,13 +244,17 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _links(reps: DataFrame, source: DataFrame, width: int, percent: int, only: tuple[int, ...] = ()) -> DataFrame:
-    """Verified links between representatives by the signatures in ``reps``, enough of them to unite each class."""
+    """Verified links between representatives by the signatures in ``reps``, enough of them to unite each class.
+
+    ``reps`` is deleted once its signatures are dealt.
+    """
     spark = reps.sparkSession
     near = f"100 * least(na, nb) >= {int(percent)} * greatest(na, nb)"
     flat = reps.select(F.explode("sigs").alias("sig"), "rep", "n")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with _wide(spark):
         runs = save(flat.repartitionByRange(parts, "sig", "rep").sortWithinPartitions("sig", "rep").mapInArrow(_runs(FEW), _RUNS))
+    discard(reps)
     free_shuffles(spark)
     lists = save(runs.where("sig is null").groupBy("members").agg(F.first("sizes").alias("sizes")))
     single = runs.where("sig is not null").select("sig", F.col("members")[0].alias("b"), F.col("sizes")[0].alias("nb"))
@@ -319,8 +323,8 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     several = not full.groupBy("doc_id").count().where("count > 1").isEmpty()
     reps = signed()
-    links = _links(reps, source, width, percent)
     bare = sorted(r[0] for r in reps.select(F.explode("poor").alias("t")).distinct().collect())  # some hundred instances at most
+    links = _links(reps, source, width, percent)
     if bare:
         links = links.unionByName(_links(signed(tuple(bare)), source, width, percent))
     if several:  # an id with several sets joins their classes
