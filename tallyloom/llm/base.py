@@ -193,8 +193,8 @@ def pieces(offsets: np.ndarray, limit: int = 1 << 20):
         first = last
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of concatenated texts, A-Z lower-cased.
+def words(buf: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of concatenated texts, A-Z lower-cased; ``space`` marks the bytes between them.
 
     Returns each word's hash, row, start and end byte; words never span rows.
     """
@@ -202,7 +202,7 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if not n:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z, z
-    inside = ~SPACE[buf]
+    inside = ~space[buf]
     cut = np.zeros(n + 1, dtype=bool)
     cut[offsets] = True
     before = np.empty(n, dtype=bool)

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, convtrie, decontam, hpylm, langid, licenses, neardup, partenum, quality, secrets, tokenbin, vptree
+from . import bpe, collocation, convtrie, decontam, hpylm, langid, licenses, neardup, partenum, quality, secrets, tokenbin, vptree
 
 
 def vocabulary(name: str) -> str:
@@ -86,6 +86,10 @@ def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_secrets": op2_secrets,
@@ -99,6 +103,7 @@ QUERIES = {
     "op10_bpe": op10_bpe,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_jaccard_join": op12_jaccard_join,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -107,4 +112,5 @@ ORACLES: dict[str, str] = {
     "op8_nearest": vptree.ORACLE,
     "op11_prefix_trie": convtrie.ORACLE,
     "op12_jaccard_join": partenum.ORACLE,
+    "op13_collocations": collocation.ORACLE,
 }
