@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .base import LOWER, free_shuffles, give_back, hub_join, mix, prepare, save, text_buffer, words
 
 #: Bytes of a shard's texts, chunks extended at once, bits of a chunk.
-SHARD_BYTES, SLICE, BITS = 4 << 20, 1 << 16, 16
+SHARD_BYTES, SLICE, BITS = 2 << 20, 1 << 14, 16
 #: The table of frequent pairs: bits a pair, most bits in all (16 MB), bits of one of its blocks.
 BITS_A_PAIR, MOST_BITS, BLOCK_BITS = 16, 1 << 27, 1 << 18
 #: Parts of a language that are ranked before the language is.
@@ -174,7 +174,8 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.add.reduceat(n[order], start) if len(start) else n
         key = pair_hash(shard.ids[code[start] // v], shard.ids[code[start] % v]).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.nulls(len(key), pa.string()), pa.nulls(len(key), pa.string()), pa.array(n.astype(np.int64))], names=names)
-    give_back()
+        del shard, codes, bits, code, n, order, start, key
+        give_back()
 
 
 def _count_phrases(table, bits: int):
@@ -202,7 +203,8 @@ def _count_phrases(table, bits: int):
                 w1, w2, w3 = pair[code // v] // v, pair[code // v] % v, code % v
                 keep = frequent(flags, ids[w2], ids[w3]) if len(code) else np.zeros(0, bool)
                 yield _phrases(ids, w1[keep], w2[keep], w3[keep], n[keep])
-        give_back()
+            del shard
+            give_back()
 
     return work
 
