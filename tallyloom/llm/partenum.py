@@ -264,7 +264,12 @@ def _links(reps: DataFrame, source: DataFrame, width: int, percent: int, only: t
     star = lists.select(F.col("members")[0].alias("a"), F.col("sizes")[0].alias("na"), F.explode(F.arrays_zip(others("members").alias("m"), others("sizes").alias("s"))).alias("o"))
     star = star.select("a", "na", F.col("o.m").alias("b"), F.col("o.s").alias("nb")).unionByName(many.where("a <> b").select("a", "na", "b", "nb"))
     star = save(star.where(near).select("a", "b").distinct())
-    links = save(verify(star, _sets_of(star, source, width), percent))
+    # Each with its smallest leader first; the other leaders only where that leaves the two apart.
+    tree = save(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = save(verify(tree, _sets_of(tree, source, width), percent))
+    free_shuffles(spark)
+    other = save(_apart(star.join(tree, ["a", "b"], "left_anti"), save(components(links))))
+    links = save(links.unionByName(verify(other, _sets_of(other, source, width), percent)))
     labels = save(components(links))
     free_shuffles(spark)
 
