@@ -1,7 +1,8 @@
 """Ratcliff-Obershelp likeness of strings and token lists (T14-T18), as Arrow-batched functions.
 
 The ratio isn't symmetric, so argument order matters; exact pairs and blocks by an
-equality are always settled before these functions see a row.
+equality are always settled before these functions see a row, and bounds of the ratio, which need only
+built-in functions, tell which pairs are worth it.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher, get_close_matches
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,3 +58,25 @@ def close_words(least: float):
         return pd.Series([0 if none(a) or none(b) else sum(any(fits(w, o) for o in b) for w in a) for a, b in zip(words, others, strict=True)], dtype="int32")
 
     return count
+
+
+def runs(c: Column, width: int) -> Column:
+    """All runs of ``width`` letters, in order."""
+    n = F.length(c) - (width - 1)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(c, i, F.lit(width)))).otherwise(F.array().cast("array<string>"))
+
+
+def bag(c: Column, width: int = 1) -> Column:
+    """Runs of ``width`` letters, each with its number among its equals: what two such arrays share are the runs that two multisets share."""
+    every = runs(c, width)
+    return F.transform(every, lambda r, i: F.concat(r, F.size(F.filter(F.slice(every, F.lit(1), i + 1), lambda x: x == r)).cast("string")))
+
+
+def most_ratio(length: Column, letters: Column, pairs: Column) -> Column:
+    """The largest ratio that two texts can have, by the sum of their lengths and the letters and pairs of letters that they share.
+
+    The letters that match are shared letters. They stand in blocks with something else between them in either text, so there is at most
+    one block more than letters left over, and each block of n letters has n - 1 shared pairs: 3 times the matches is at most the shared pairs plus the lengths plus one.
+    """
+    matches = F.least(letters, F.floor((pairs + length + 1) / 3))
+    return F.when(length > 0, 2.0 * matches / length).otherwise(1.0)

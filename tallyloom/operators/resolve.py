@@ -1,7 +1,7 @@
 """Entity resolution: exact, then fuzzy inside blocks.
 
-A fuzzy comparison is only ever made inside an equality on a block key, after exact
-matches are taken out by an equi-join and after native length tests.
+A fuzzy comparison is only ever made inside an equality on a block key or an index of letter pairs, after exact
+matches are taken out by an equi-join and where bounds inside the JVM leave it open.
 """
 
 from __future__ import annotations
@@ -9,7 +9,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import ro_ratio
+from ..functions.similarity import bag, most_ratio, ro_ratio, runs
+
+
+def bounded(pairs: DataFrame, one: str, other: str) -> DataFrame:
+    """Pairs of texts with ``_most``, the largest ratio that they can have (bags of both as ``_l1``, ``_l2``, ``_r1``, ``_r2``)."""
+    common = lambda k: F.size(F.array_intersect(f"_l{k}", f"_r{k}"))
+    return pairs.withColumn("_most", most_ratio(F.length(one) + F.length(other), common(1), common(2))).drop("_l1", "_l2", "_r1", "_r2")
+
+
+def with_bags(df: DataFrame, name: str, side: str) -> DataFrame:
+    return df.withColumns({f"_{side}{k}": bag(F.col(name), k) for k in (1, 2)})
+
+
+def worth_comparing(pairs: DataFrame, left_id: str) -> tuple[DataFrame, DataFrame]:
+    """The pair of each left row with the largest bound, with its ``score``, and the other pairs whose bound reaches that score.
+
+    ``pairs``: ``left_id``, ``_rid``, ``_ln``, ``_rn``, ``_most``. All others are below the best ratio of their left row.
+    """
+    row = F.struct("_rid", "_rn", "_ln", "_most")
+    first = pairs.groupBy(left_id).agg(F.min_by(row, F.struct(-F.col("_most"), F.col("_rid"))).alias("_p")).select(left_id, "_p.*").withColumn("score", ro_ratio("_rn", "_ln"))
+    reached = first.select(left_id, F.col("_rid").alias("_done"), F.col("score").alias("_least"))
+    return first, pairs.join(reached, left_id).where((F.col("_rid") != F.col("_done")) & (F.col("_most") >= F.col("_least"))).drop("_done", "_least")
 
 
 def exact_then_fuzzy(left: DataFrame, right: DataFrame, left_id: str, right_id: str, block: str, left_name: str, right_name: str, least: float, least_length: int = 0) -> DataFrame:
@@ -17,20 +38,88 @@ def exact_then_fuzzy(left: DataFrame, right: DataFrame, left_id: str, right_id:
 
     Returns ``left_id``, ``right_id``, ``score`` and ``status``: ``exact`` (score 1),
     ``found`` (score at ``least`` or more, unrounded), ``not_found`` (the closest is
-    given all the same) or ``no_block``. The first of equal scores is the smallest right id.
+    given all the same) or ``no_block``. Of equal scores the smallest right id counts.
+
+    Exact names are settled by an equi-join. For the others bounds of the ratio are taken inside the JVM, the pair of a left row with the
+    largest bound is compared first, and only pairs whose bound reaches that ratio are compared in Python: no other can be the best.
     """
     r = right.select(block, F.col(right_name).alias("_rn"), F.col(right_id).alias("_rid"))
     l = left.select(left_id, block, F.col(left_name).alias("_ln"))  # noqa: E741
     exact = l.join(r, (l[block] == r[block]) & (F.col("_ln") == F.col("_rn"))).groupBy(left_id).agg(F.min("_rid").alias("_rid")).withColumn("score", F.lit(1.0))
-    rest = l.join(exact.select(left_id), left_id, "left_anti")
-    near = rest.where(F.length("_ln") >= least_length).join(r, block).withColumn("score", ro_ratio("_rn", "_ln"))
-    best = near.groupBy(left_id).agg(F.max_by(F.struct("_rid", "score"), F.struct(F.col("score"), -F.col("_rid"))).alias("_best")).select(left_id, "_best.*")
+    rest = l.join(exact.select(left_id), left_id, "left_anti").where(F.length("_ln") >= least_length)
+    near = bounded(with_bags(rest, "_ln", "l").join(with_bags(r.where("_rn is not null"), "_rn", "r"), block), "_ln", "_rn").select(left_id, "_rid", "_ln", "_rn", "_most")
+    first, others = worth_comparing(near, left_id)
+    scored = first.select(left_id, "_rid", "score").unionByName(others.select(left_id, "_rid", ro_ratio("_rn", "_ln").alias("score")))
+    best = scored.groupBy(left_id).agg(F.min_by(F.struct("_rid", "score"), F.struct(-F.col("score"), F.col("_rid"))).alias("_best")).select(left_id, "_best.*")
     out = l.select(left_id, block).join(exact.withColumn("_exact", F.lit(True)).unionByName(best.withColumn("_exact", F.lit(False))), left_id, "left")
     blocks = r.select(block).distinct().withColumn("_has", F.lit(True))
     status = F.when(F.col("_exact"), "exact").when(F.col("score") >= least, "found").when(F.col("_has"), "not_found").otherwise("no_block")
     return out.join(blocks, block, "left").select(left_id, F.col("_rid").alias(right_id), "score", status.alias("status"))
 
 
+def alike_candidates(left: DataFrame, right: DataFrame, left_name: str, right_name: str, least: float) -> DataFrame:
+    """Pairs of distinct names whose ratio may be ``least`` or more (above 2/3), with ``_most``; no pair that is is missed.
+
+    An index over all names, without blocks. By lengths and ``least`` two such names share many pairs of letters (the
+    bound of ``most_ratio``); so they meet in one of the rarest pairs of each, as many as its own share may lack, plus one. Names so short that nothing need be
+    shared meet by being short. Frequent pairs of letters are in hardly any such prefix.
+    """
+    if not 2 / 3 < least <= 1:
+        raise ValueError("least must be above 2/3")
+
+    def sides(df: DataFrame, name: str, side: str) -> DataFrame:
+        return with_bags(df.where(F.col(name).isNotNull()).select(F.col(name).alias(f"_{side}n")).distinct(), f"_{side}n", side)
+
+    l, r = sides(left, left_name, "l"), sides(right, right_name, "r")  # noqa: E741
+    often = r.select(F.explode("_r2").alias("_t")).groupBy("_t").agg(F.count("*").alias("_n"))
+    # 3 * matches <= pairs + length + 1 with matches >= least * length / 2, and the partner no shorter than least / (2 - least) of this.
+    share = lambda n: F.ceil(n * (1 + least / (2 - least)) * (1.5 * least - 1) - 1 - 1e-9)
+    short = int(1 / (1.5 * least - 1)) + 1  # the sum of the lengths of two names that need not share a pair is below this
+
+    def keys(df: DataFrame, side: str) -> DataFrame:
+        runs = df.select(f"_{side}n", F.explode(f"_{side}2").alias("_t")).join(often, "_t", "left")
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_t"))), lambda x: x["_t"])
+        n = F.length(f"_{side}n")
+        need = F.greatest(share(n), F.lit(1))
+        rare = runs.groupBy(f"_{side}n").agg(ordered.alias("_o")).select(f"_{side}n", F.explode(F.slice("_o", F.lit(1), F.greatest(F.size("_o") - need + 1, F.lit(1)).cast("int"))).alias("_t"))
+        return rare.unionByName(df.where(n <= short).select(f"_{side}n", F.lit("").alias("_t")))
+
+    met = keys(l, "l").join(keys(r, "r"), "_t").select("_ln", "_rn").distinct()
+    return bounded(met.join(l, "_ln").join(r, "_rn"), "_ln", "_rn").where(F.col("_most") >= least)
+
+
+def alike(left: DataFrame, right: DataFrame, left_name: str, right_name: str, least: float) -> DataFrame:
+    """(``left_name``, ``right_name``, ``ratio``) of all pairs of distinct names with a ratio of ``least`` or more."""
+    pairs = alike_candidates(left, right, left_name, right_name, least)
+    return pairs.select(F.col("_ln").alias(left_name), F.col("_rn").alias(right_name), ro_ratio("_ln", "_rn").alias("ratio")).where(F.col("ratio") >= least)
+
+
+def contained_either_way(left: DataFrame, right: DataFrame, left_name: str, right_name: str, block: str, width: int = 3) -> DataFrame:
+    """(``block``, ``left_name``, ``right_name``) of distinct names of a block of which one contains the other; empty names have no partner.
+
+    All runs of ``width`` letters of the shorter name are in the longer one. So the rarest of a name (itself, if it is shorter than that) meets the
+    runs of the names that may contain it, in both directions, and containment is tested on what has met.
+    """
+
+    def names(df: DataFrame, name: str, to: str) -> DataFrame:
+        return df.where(F.col(name) != "").select(F.col(block).alias("_b"), F.col(name).alias(to)).distinct()
+
+    l, r = names(left, left_name, "_l"), names(right, right_name, "_r")  # noqa: E741
+
+    def inside(small: DataFrame, s: str, large: DataFrame, g: str) -> DataFrame:
+        there = F.array_distinct(F.concat(*[runs(F.col(g), k) for k in range(1, width + 1)]))
+        there = large.select("_b", g, F.explode(there).alias("_t"))
+        often = there.groupBy("_b", "_t").agg(F.count("*").alias("_n"))
+        own = F.when(F.length(s) < width, F.array(F.col(s))).otherwise(runs(F.col(s), width))
+        # A run that no longer name has rules the name out.
+        counted = small.select("_b", s, F.explode(F.array_distinct(own)).alias("_t")).join(often, ["_b", "_t"], "left")
+        rarest = counted.groupBy("_b", s).agg(F.min_by("_t", F.struct(F.coalesce("_n", F.lit(0)), "_t")).alias("_t"))
+        return rarest.join(there, ["_b", "_t"]).where(F.contains(g, s)).select("_b", "_l", "_r")
+
+    both = inside(l, "_l", r, "_r").unionByName(inside(r, "_r", l, "_l")).distinct()
+    return both.select(F.col("_b").alias(block), F.col("_l").alias(left_name), F.col("_r").alias(right_name))
+
+
 def unique_candidate(mentions: DataFrame, candidates: DataFrame, mention_id: str, key: str, narrow: list[Column]) -> DataFrame:
     """The candidate of a mention if exactly one is left.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import person_key
+from ..operators.resolve import contained_either_way
 
 #: The election that filled a Congress.
 ELECTIONS = {12: 2001, 13: 2004, 14: 2007, 15: 2010, 16: 2013, 17: 2016, 18: 2019, 19: 2022, 20: 2025}
@@ -30,7 +31,9 @@ def match_winners(persons: DataFrame, winners: DataFrame) -> DataFrame:
     w = winners.select("wid", "year", person_key(F.col("last")).alias("wlast"), person_key(F.col("first")).alias("wfirst"), person_key(F.col("middle")).alias("wmiddle"))
     exact = p.join(w.withColumnRenamed("year", "_y"), (F.col("year") == F.col("_y")) & (F.col("last") == F.col("wlast"))).drop("_y").withColumn("exact", F.lit(True))
     rest = p.join(exact.select("id", "congress").distinct(), ["id", "congress"], "left_anti").where("last <> ''")
-    inside = rest.join(w.withColumnRenamed("year", "_y"), (F.col("year") == F.col("_y")) & (F.col("wlast").contains(F.col("last")) | F.col("last").contains(F.col("wlast")))).drop("_y").withColumn("exact", F.lit(False))
+    # Surnames that contain each other meet by their rarest run of letters, one row a surname.
+    pairs = contained_either_way(rest, w, "last", "wlast", "year")
+    inside = rest.join(pairs, ["year", "last"]).join(w, ["year", "wlast"]).withColumn("exact", F.lit(False))
     both = exact.unionByName(inside)
     mine, theirs = _words(F.col("first")), _words(F.col("wfirst"))
     starts = lambda a: F.transform(a, lambda x: F.substring(x, 1, 3))

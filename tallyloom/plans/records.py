@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators.rules import half_open_bins, ladder
+from ..operators.scratch import written
 
 # --- fixed values ------------------------------------------------------------
 
@@ -16,7 +17,7 @@ PREFERRED = r"^(Approved by the President|Lapsed Into Law)"
 FOUNDING = ("establish", "separate", "convert", "create")
 BED_TITLE, ROAD_TITLE, CITY_TITLE = r"(?i)bed capacity|\bbeds?\b", "(?i)national (road|highway)", r"(?i)\bcity\b"
 BARANGAY_TITLE = r"(?i)\b(barrios?|barangays?|sitios?)\b"
-LINK = "https://lawphil.net/statutes/repacts/ra{0}/ra_{1}_{0}.html"
+LINK = "https://lawphil.net/statutes/repacts/ra%s/ra_%s_%s.html"
 GAP_END = (
     r"(?=\s*:\s*(?:REPUBLIC ACTS|PHILIPPINE LAWS)|\s+Be it enacted|\s+(?:Section|SECTION|Sec\.)\s*1\b|\s+[A-Z][a-z]+ (?:Tribune|Star|Times|Bulletin|Inquirer)"
     r"|\s+[0-9]+ O\.?G\.?|\s+REPUBLIC ACT NO)"
@@ -67,12 +68,14 @@ def memberships(people: DataFrame) -> DataFrame:
 # --- yearly records ----------------------------------------------------------
 
 
-def roll_up(rows: DataFrame, key: str, year: str, value: str, attributes: list[str]) -> DataFrame:
-    """One row a key: first and last year, a map of values by year, attributes of the last year's row.
+def roll_up(rows: DataFrame, key: str, year: str, value: str, attributes: list[str], order: str | None = None) -> DataFrame:
+    """One row a key: first and last year, a map of values by year, attributes of the last row.
 
-    A year has one row of a key; of several the largest value counts.
+    Of several rows of a year the last in ``order`` counts, for its value and its attributes; without ``order``
+    a year has one row of a key (else the largest value counts).
     """
-    one = rows.groupBy(key, year).agg(F.max(value).alias("_v"), F.max_by(F.struct(*attributes), F.struct(value)).alias("_a"))
+    last = F.struct(order, value) if order else F.struct(value)
+    one = rows.groupBy(key, year).agg(F.max_by(F.struct(F.col(value).alias("_v"), F.struct(*attributes).alias("_a")), last).alias("_l")).select(key, year, "_l._v", "_l._a")
     out = one.groupBy(key).agg(F.min(year).alias("first_year"), F.max(year).alias("last_year"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(year, "_v")))).alias("by_year"), F.max_by("_a", year).alias("_a"))
     return out.select(key, "first_year", "last_year", "by_year", *[F.col(f"_a.{a}").alias(a) for a in attributes])
 
@@ -136,17 +139,29 @@ def peak_and_after(months: DataFrame) -> DataFrame:
 # --- rows by place -----------------------------------------------------------
 
 
-def row_index(df: DataFrame, order: str, ranges: int = 64) -> DataFrame:
-    """``_row``: the place of each row in ``order`` (unique), from 0, without bringing all rows to one task."""
-    dealt = df.repartitionByRange(ranges, order).withColumn("_part", F.spark_partition_id())
-    counts = sorted((r["_part"], r["count"]) for r in dealt.groupBy("_part").count().collect())
-    before, total = [], 0
-    for part, n in counts:
-        before += [F.lit(part), F.lit(total)]
-        total += n
-    start = F.try_element_at(F.create_map(*before), F.col("_part")) if before else F.lit(0)
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
-    return dealt.withColumn("_row", (place + start).cast("long")).drop("_part")
+#: Rows of a range of ``row_index``.
+RANGE_ROWS = 1_000_000
+
+
+def row_index(df: DataFrame, order: str, ranges: int | None = None) -> DataFrame:
+    """``_row``: the place of each row in ``order`` (unique), from 0, without bringing all rows to one task.
+
+    Rows are dealt to sorted ranges and written once, each with its range and its number there: bounds are drawn from a sample,
+    so a second run of the same plan would cut the ranges elsewhere. Ranges grow with the rows (RANGE_ROWS each)
+    unless their number is given; rows before a range are a running sum over one row a range.
+    """
+    spark = df.sparkSession
+    if ranges is None:
+        df = written(df)
+        ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
+    # The id holds the number of the partition above 33 bits for the number in it.
+    dealt = written(df.repartitionByRange(ranges, order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    sizes = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    placed = dealt.join(F.broadcast(starts), part == F.col("_part"))  # one row a range
+    return placed.withColumn("_row", (F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_id", "_part", "_start")
 
 
 def first_rows(df: DataFrame, order: str, k: int = 400) -> DataFrame:
@@ -160,12 +175,16 @@ def last_reversed(df: DataFrame, order: str, k: int = 30) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, order: str, k: int = 40, seed: int = 8) -> DataFrame:
-    """k rows drawn without replacement by a seeded generator over places in order (O10), with ``draw``, the turn of each."""
-    n = df.count()
-    picks = random.Random(seed).sample(range(n), min(k, n))
+    """k rows drawn without replacement by a seeded generator over places in order (O10), with ``draw``, the turn of each.
+
+    The same rows in every run and for any partitioning: places are exact, and the generator draws among their number.
+    """
     spark = df.sparkSession
+    placed = written(row_index(df, order))
+    n = placed.count()
+    picks = random.Random(seed).sample(range(n), min(k, n))
     drawn = spark.createDataFrame(list(enumerate(picks)), "draw int, _row long")
-    return row_index(df, order).join(F.broadcast(drawn), "_row").drop("_row")  # k rows
+    return placed.join(F.broadcast(drawn), "_row").drop("_row")  # k rows
 
 
 def spread_marks(counts: DataFrame) -> DataFrame:
@@ -232,9 +251,7 @@ def example_text(title: Column, most: int = 219) -> Column:
 
 def link_of(code: Column, act: Column) -> Column:
     """The link of a code (T22): a year stands for the canonical one."""
-    year = code.rlike(r"^\d{4}$")
-    head, middle, tail = LINK.replace("{0}", "\0").replace("{1}", "\0").split("\0")[0], "/ra_", ".html"
-    return F.when(year, F.concat(F.lit(head), code, F.lit(middle), act.cast("string"), F.lit("_"), code, F.lit(tail))).otherwise(code)
+    return F.when(code.rlike(r"^\d{4}$"), F.format_string(LINK, code, act.cast("string"), code)).otherwise(code)
 
 
 def mart_views(spark: SparkSession, folder: str, names: list[str]) -> list[str]:
