@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,23 +99,86 @@ def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return join_by_keys(basic, upper_median(df, keys, value, "median"), keys, "inner")
 
 
-def bootstrap_ci(df: DataFrame, keys: list[str], value: str, order: str, seed: int = 7, draws: int = 2000, low: int = 50, high: int = 1949) -> DataFrame:
+#: Picks of a stretch of draws, and numbers that are generated at once.
+PICKS, BLOCK = 4_000_000, 1 << 20
+
+
+def _generator(state: tuple) -> np.random.RandomState:
+    out = np.random.RandomState()
+    out.set_state(("MT19937", np.asarray(state[:-1], dtype=np.uint32), state[-1]))
+    return out
+
+
+def _raw(generator: np.random.RandomState, n: int) -> np.ndarray:
+    """The next n outputs of the generator, 32 bits each."""
+    return generator.randint(0, 1 << 32, n, dtype=np.uint32)
+
+
+def draw_states(seed: int, n: int, draws: int, stretch: int) -> Iterator[tuple[int, int, bytes]]:
+    """(first draw, number of draws, state of the generator there) of stretches of draws of n picks each.
+
+    A pick takes outputs until their upper bits are below n, so where a draw begins depends on all before it. Outputs are counted, not used.
+    """
+    generator, shift = _generator(random.Random(seed).getstate()[1]), 32 - n.bit_length()
+    for first in range(0, draws, stretch):
+        some = min(stretch, draws - first)
+        state = generator.get_state()
+        yield first, some, np.append(state[1], np.uint32(state[2])).astype("<u4").tobytes()
+        left = some * n
+        while left:
+            before = generator.get_state()
+            good = np.flatnonzero(_raw(generator, min(BLOCK, 2 * left + 64)) >> shift < n)
+            if len(good) >= left:  # go back to the output after the last pick
+                generator.set_state(before)
+                _raw(generator, int(good[left - 1]) + 1)
+                left = 0
+            else:
+                left -= len(good)
+
+
+def picks(state: bytes, n: int) -> Iterator[np.ndarray]:
+    """Draws of n picks below n, from a state on."""
+    held = np.frombuffer(state, dtype="<u4")
+    generator, shift, rest = _generator((*held[:-1].tolist(), int(held[-1]))), 32 - n.bit_length(), np.zeros(0, np.uint32)
+    while True:
+        while len(rest) < n:
+            found = _raw(generator, max(1024, min(BLOCK, 2 * n))) >> shift
+            rest = np.concatenate([rest, found[found < n]])
+        yield rest[:n]
+        rest = rest[n:]
+
+
+def bootstrap_ci(df: DataFrame, keys: list[str], value: str, order: str, seed: int = 7, draws: int = 2000, low: int = 50, high: int = 1949, tasks: int = 8) -> DataFrame:
     """Percentile interval of the mean by a seeded bootstrap (A11): ``n``, ``lo``, ``hi``.
 
-    Values are taken in ``order`` and drawn with one generator reseeded for each key,
-    so results are the same wherever a key is computed. A key's values must fit one task, as
-    the draws need them all; keys are groups of a report, not of a corpus.
+    Values are taken in ``order`` (unique in a key) and drawn with one generator reseeded for each key, ``random.Random(seed)`` picking ``randrange(n)``, so
+    results are to the bit those of one loop. The draws of a key run in up to ``tasks`` tasks: one pass over the generator's outputs, which needs
+    only the key's count, notes its state where each stretch of draws begins, and a task goes on from there. Each of these tasks holds the key's values, 8 bytes each.
+    Null values don't count; a key without others has no row.
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-
-    def one(key, rows):
-        values = rows.sort_values(order)[value].tolist()
-        rng = random.Random(seed)
-        n = len(values)
-        means = sorted(sum(values[rng.randrange(n)] for _ in range(n)) / n for _ in range(draws))
-        return pd.DataFrame([[*key, n, means[low], means[high]]], columns=[*keys, "n", "lo", "hi"])
-
-    return df.where(F.col(value).isNotNull()).groupBy(*keys).applyInPandas(one, f"{fields}, n long, lo double, hi double")
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(order).alias("_order"), F.col(value).cast("double").alias("_value"))
+
+    def scout(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                n = int(row[-1])
+                stretch = max(1, min(-(-draws // tasks), PICKS // n))
+                found = [(*row[:-1], n, some, i % tasks, state) for i, (_, some, state) in enumerate(draw_states(seed, n, draws, stretch))]
+                yield pd.DataFrame(found, columns=[*keys, "_n", "_some", "_task", "_state"])
+
+    def means(key, values: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+        held = values.sort_values("_order")["_value"].to_numpy()
+        out = []
+        for some, state in zip(states["_some"], states["_state"], strict=True):
+            out += [sum(held[p].tolist()) / len(held) for p, _ in zip(picks(state, len(held)), range(some))]
+        return pd.DataFrame([[*key[: len(keys)], len(held), m] for m in out], columns=[*keys, "n", "mean"])
+
+    states = rows.groupBy(*keys).agg(F.count("*").alias("_n")).mapInPandas(scout, f"{fields}, _n long, _some long, _task int, _state binary")
+    copies = rows.withColumn("_task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    found = copies.groupBy(*keys, "_task").cogroup(states.groupBy(*keys, "_task")).applyInPandas(means, f"{fields}, n long, mean double")
+    ranked = found.groupBy(*keys).agg(F.max("n").alias("n"), F.array_sort(F.collect_list("mean")).alias("_m"))
+    return ranked.select(*keys, "n", F.col("_m")[low].alias("lo"), F.col("_m")[high].alias("hi"))
 
 
 def clipped_histogram(df: DataFrame, value: str, most: int) -> DataFrame:
