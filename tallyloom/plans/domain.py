@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, titles
-from ..operators import graph
+from ..operators import graph, spatial
+from ..sources import nested, readers
 from . import acts, laws, marts, matching, people, places, records
 from .analytics import query, table
 
@@ -380,9 +381,9 @@ def seeded_sample(spark, sf_dir):
     return records.seeded_sample(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
 
 
-@query("""WITH m AS (SELECT DISTINCT o_custkey AS n FROM orders), g AS (SELECT range AS n FROM range(1, (SELECT max(n) + 1 FROM m)) WHERE range NOT IN (SELECT n FROM m)) SELECT DISTINCT ((n - 1) // 100 + 1)::INT AS page FROM g""")
+@query("""WITH m AS (SELECT DISTINCT o_custkey AS n FROM orders WHERE o_orderstatus = 'P'), g AS (SELECT range AS n FROM range(1, (SELECT max(n) + 1 FROM m)) WHERE range NOT IN (SELECT n FROM m)) SELECT DISTINCT ((n - 1) // 100 + 1)::INT AS page FROM g""")
 def missing_pages(spark, sf_dir):
-    have = table(spark, sf_dir, "orders").select("o_custkey").distinct()
+    have = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_custkey").distinct()
     top = have.agg(F.max("o_custkey")).first()[0]
     return records.page_buckets(spark.range(1, top + 1).join(have, F.col("id") == F.col("o_custkey"), "left_anti"), "id")
 
@@ -424,3 +425,90 @@ def beds_of_titles(spark, sf_dir):
     title = F.expr("concat('An Act Increasing the Bed Capacity of the Luna Hospital from ', o_custkey % 50 + 10, ' to One Hundred (100) Beds')")
     found = laws.classify(table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1).alias("ra"), title.alias("title")))
     return found.select("ra", F.col("beds_from").cast("long").alias("beds_from"), "beds_to", "category", "action")
+
+
+# --- places on a plane (J23, O13) --------------------------------------------
+
+#: A shape with a notch, moved and stretched qy nation; every second has a hole.
+_SHAPE = [(0, 0), (60, 10), (80, 70), (40, 40), (10, 90)]
+_CENTRE = "CAST(n_nationkey % 5 * 100 AS DOUBLE)", "CAST(n_nationkey div 5 * 100 AS DOUBLE)"
+_POINT = "CAST(c_custkey * 37 % 5000 AS DOUBLE) / 10", "CAST(c_custkey * 91 % 5000 AS DOUBLE) / 10"
+_TRIANGLE = [(20, 20), (30, 20), (30, 30)]
+_RING = lambda points, k: "array(" + ", ".join(f"array({_CENTRE[0]} + {x} * {k}, {_CENTRE[1]} + {y} * {k})" for x, y in [*points, points[0]]) + ")"
+_SCALE = "(1 + n_nationkey % 3 * 0.5D)"
+_SHAPES = f"CASE WHEN n_nationkey % 2 = 0 THEN array({_RING(_SHAPE, _SCALE)}, {_RING(_TRIANGLE, _SCALE)}) ELSE array({_RING(_SHAPE, _SCALE)}) END"
+_EDGES = "e AS (SELECT n_nationkey, (n_nationkey % 5 * 100)::DOUBLE AS cx, (n_nationkey // 5 * 100)::DOUBLE AS cy, 1 + n_nationkey % 3 * 0.5::DOUBLE AS k, px, py, qx, qy FROM nation JOIN (VALUES " + ", ".join(
+    f"({hole}, {a[0]}, {a[1]}, {b[0]}, {b[1]})" for hole, ring in ((0, _SHAPE), (1, _TRIANGLE)) for a, b in zip(ring, [*ring[1:], ring[0]], strict=True)
+) + ") v(hole, px, py, qx, qy) ON hole = 0 OR n_nationkey % 2 = 0), s AS (SELECT n_nationkey, cx + px * k AS px, cy + py * k AS py, cx + qx * k AS qx, cy + qy * k AS qy FROM e)"
+_CROSSED = "(py > y) <> (qy > y) AND x < px + (qx - px) * (y - py) / (qy - py)"
+
+
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").selectExpr("n_nationkey", f"{_SHAPES} AS rings")
+
+
+@query(f"""WITH {_EDGES}, c AS (SELECT c_custkey, (c_custkey * 37 % 5000)::DOUBLE / 10 AS x, (c_custkey * 91 % 5000)::DOUBLE / 10 AS y FROM customer)
+SELECT c_custkey, n_nationkey FROM c, s WHERE {_CROSSED} GROUP BY 1, 2 HAVING count(*) % 2 = 1""")
+def points_in_polygons(spark, sf_dir):
+    points = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_POINT[0]} AS x", f"{_POINT[1]} AS y")
+    return spatial.containing(points, _shapes(spark, sf_dir), "x", "y", "n_nationkey", 50.0).select("c_custkey", "n_nationkey")
+
+
+@query("""WITH c AS (SELECT c_custkey, (c_custkey * 37 % 5000)::DOUBLE / 10 AS x, (c_custkey * 91 % 5000)::DOUBLE / 10 AS y FROM customer), s AS (SELECT s_suppkey, (s_suppkey * 53 % 2000)::DOUBLE / 10 AS sx, (s_suppkey * 71 % 5000)::DOUBLE / 10 AS sy FROM supplier),
+g AS (SELECT c_custkey, s_suppkey, sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy)) AS gap FROM c, s) SELECT c_custkey, arg_min(s_suppkey, (gap, s_suppkey)) AS s_suppkey, round(min(gap), 6) AS gap FROM g GROUP BY 1""")
+def nearest_sites(spark, sf_dir):
+    points = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_POINT[0]} AS x", f"{_POINT[1]} AS y")
+    sites = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "CAST(s_suppkey * 53 % 2000 AS DOUBLE) / 10 AS x", "CAST(s_suppkey * 71 % 5000 AS DOUBLE) / 10 AS y")
+    return spatial.nearest(points, sites, "c_custkey", "s_suppkey", 10.0).withColumn("gap", F.round("gap", 6))
+
+
+@query(f"""WITH {_EDGES}, b AS (SELECT n_nationkey, min(px) AS x0, min(py) AS y0, max(px) AS x1, max(py) AS y1 FROM s GROUP BY 1),
+h AS (SELECT c_custkey, c_nationkey, j, sin((c_custkey * 31 + j * 7.1::DOUBLE) * 12.9898::DOUBLE + 78.233::DOUBLE) * 43758.5453::DOUBLE AS u, sin((c_custkey * 17 + j * 3.3::DOUBLE) * 12.9898::DOUBLE + 78.233::DOUBLE) * 43758.5453::DOUBLE AS v FROM customer, range(60) r(j)),
+t AS (SELECT c_custkey, c_nationkey, j, x0 + (u - floor(u)) * (x1 - x0) AS x, y0 + (v - floor(v)) * (y1 - y0) AS y FROM h JOIN b ON n_nationkey = c_nationkey),
+i AS (SELECT c_custkey, j, any_value(x) AS x, any_value(y) AS y FROM t JOIN s ON n_nationkey = c_nationkey AND {_CROSSED} GROUP BY 1, 2 HAVING count(*) % 2 = 1)
+SELECT c_custkey, min(j)::INTEGER AS tried, round(arg_min(x, j), 4) AS x, round(arg_min(y, j), 4) AS y FROM i GROUP BY 1""")
+def drawn_points(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(_shapes(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
+    return c.select("c_custkey", spatial.drawn_point(F.col("rings"), F.col("c_custkey")).alias("p")).select("c_custkey", "p.tried", F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"))
+
+
+# --- sources (S12, C12, C18) -------------------------------------------------
+
+_LINK_ROWS = r"""WITH p AS (SELECT page_id, regexp_split_to_array(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?i)<li[^>]*>') AS p FROM pages), e AS (SELECT page_id, unnest(range(2, len(p) + 1)) AS i, unnest(p[2:]) AS part FROM p)
+SELECT page_id, (i - 1)::INTEGER AS row, md5(trim(regexp_replace(regexp_replace(part, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), ' ')) AS cell, regexp_extract(part, '(?i)href\s*=\s*["'']?([^"''\s>]+)', 1) AS href FROM e"""
+
+
+@query(_LINK_ROWS)
+def link_rows(spark, sf_dir):
+    rows = readers.html_table_rows(table(spark, sf_dir, "pages"), "html", ["page_id"], "li")
+    return rows.select("page_id", "row", F.md5(F.array_join("cells", "|")).alias("cell"), "href")
+
+
+@query(_LINK_ROWS)
+def link_rows_lateral(spark, sf_dir):
+    readers.register(spark)
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    return spark.sql("SELECT page_id, r.row, md5(array_join(r.cells, '|')) AS cell, r.href FROM {pages}, LATERAL table_rows(html, 'li') r", pages=pages)
+
+
+_SAID = "CASE o_orderkey % 4 WHEN 0 THEN 'Approved by the President' WHEN 1 THEN 'Read' ELSE 'Lapsed into law' END"
+
+
+@query("""WITH l AS (SELECT l_orderkey, arg_min(l_suppkey, (l_linenumber, l_suppkey)) AS author, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1),
+o AS (SELECT o_orderkey, o_custkey, year(o_orderdate) - 1991 AS congress, author, n, o_orderkey % 5 <> 0 AS has_codes, o_orderkey % 7 AS h, o_orderkey % 4 AS a FROM orders JOIN l ON l_orderkey = o_orderkey)
+SELECT o_orderkey AS bill, congress::INTEGER AS congress, CASE WHEN has_codes THEN 'K' || author END AS author_code, (CASE WHEN has_codes THEN n ELSE 0 END)::INTEGER AS n_authors, CASE WHEN h = 1 THEN NULL WHEN h = 2 THEN 'Filed' ELSE 'Law' END AS status,
+CASE WHEN h NOT IN (1, 2) AND a <> 1 THEN (o_orderkey % 90000 + 1000)::INTEGER END AS ra, CASE WHEN o_orderkey % 3 = 1 THEN 'Local' END AS committee, CASE WHEN has_codes AND s_suppkey IS NOT NULL THEN 'Ana S' || s_suppkey END AS member
+FROM o LEFT JOIN supplier ON s_suppkey = author AND s_suppkey % 3 = congress % 3""")
+def nested_bills(spark, sf_dir):
+    lists = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))).alias("l"))
+    o = table(spark, sf_dir, "orders").join(lists, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("codes", F.transform("l", lambda x: F.concat(F.lit("K"), x["l_suppkey"].cast("string"))))
+    entry = "named_struct('action', {}, 'date', '2001-01-01')"
+    history = f"CASE o_orderkey % 7 WHEN 1 THEN NULL WHEN 2 THEN slice(array({entry.format(chr(39) + 'x' + chr(39))}), 1, 0) ELSE array({entry.format(chr(39) + 'Read' + chr(39))}, {entry.format(_SAID)}, {entry.format('concat(' + chr(39) + 'Republic Act ' + chr(39) + ', o_orderkey % 90000 + 1000)')}) END"
+    status = "CASE o_orderkey % 7 WHEN 1 THEN slice(array(named_struct('status', 'x')), 1, 0) WHEN 2 THEN array(named_struct('status', 'Filed')) ELSE array(named_struct('status', 'Filed'), named_struct('status', 'Law')) END"
+    committees = "CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN array(named_struct('name', 'Local'), named_struct('name', 'Other')) ELSE slice(array(named_struct('name', 'x')), 1, 0) END"
+    meta = "named_struct('congress', year(o_orderdate) - 1991, 'bill_number', o_orderkey, 'congress_website_author_codes', CASE WHEN o_orderkey % 5 <> 0 THEN codes WHEN o_orderkey % 2 = 0 THEN slice(codes, 1, 0) END)"
+    documents = o.selectExpr(f"to_json(named_struct('meta', {meta}, 'history', {history}, 'status', {status}, 'committees', {committees}, 'more', 1)) AS json")
+    persons = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "to_json(named_struct('id', s_suppkey, 'last_name', concat('S', s_suppkey), 'first_name', 'Ana', 'congress_website_author_keys', array(concat('K', s_suppkey)), 'memberships', transform(filter(sequence(0, 12), c -> c % 3 = s_suppkey % 3), c -> named_struct('congress', c, 'subtype', 'house')))) AS json")
+    sat = records.memberships(nested.people(persons, "json", "s_suppkey")).select(F.col("key").alias("author_code"), "congress", F.col("name").alias("member"))
+    found = nested.bills(documents, "json").join(sat, ["author_code", "congress"], "left")
+    return found.select("bill", "congress", "author_code", "n_authors", "status", "ra", "committee", "member")

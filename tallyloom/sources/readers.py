@@ -74,14 +74,41 @@ def read_latin(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.decode("content", "ISO-8859-1").alias("text"))
 
 
-def html_table_rows(pages: DataFrame, html: str, keep: list[str]) -> DataFrame:
-    """Rows of the tables in a page (S12): comments dropped; ``row`` from 1, ``cells`` and ``href``."""
+def html_table_rows(pages: DataFrame, html: str, keep: list[str], tag: str = "tr") -> DataFrame:
+    """Rows of the tables in a page (S12): comments dropped; ``row`` from 1, ``cells`` and ``href``. ``tag`` is what begins a row."""
     body = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    parts = pages.select(*keep, F.posexplode(F.split(body, r"(?i)<tr[^>]*>")).alias("row", "part")).where("row > 0")
+    parts = pages.select(*keep, F.posexplode(F.split(body, rf"(?i)<{tag}[^>]*>")).alias("row", "part")).where("row > 0")
     cells = F.transform(F.split("part", r"(?i)</td>\s*<td[^>]*>"), lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), r"(?U)\s+", " ")))
     return parts.select(*keep, "row", cells.alias("cells"), F.regexp_extract("part", r"""(?i)href\s*=\s*["']?([^"'\s>]+)""", 1).alias("href"))
 
 
+@F.udtf(returnType="row int, cells array<string>, href string")
+class TableRows:
+    """Rows of the tables in a page as a table function, for SQL: ``SELECT page_id, r.* FROM pages, LATERAL table_rows(html, 'tr') r``.
+
+    The same rows as ``html_table_rows``, which stays inside the JVM; a null page has none.
+    """
+
+    def eval(self, html: str, tag: str):
+        import re
+
+        if html is None:
+            return
+        parts = re.split(rf"<{tag}[^>]*>", re.sub(r"<!--.*?-->", "", html, flags=re.S), flags=re.I)
+        for row, part in enumerate(parts[1:], 1):
+            cells = [re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", c)).strip(" ") for c in re.split(r"</td>\s*<td[^>]*>", part, flags=re.I)]
+            href = re.search(r"""href\s*=\s*["']?([^"'\s>]+)""", part, re.I)
+            yield row, cells, href[1] if href else ""
+
+
+def register(spark: SparkSession) -> None:
+    """Make the table function and the archive source known to a session."""
+    from .archives import ZippedCsv
+
+    spark.udtf.register("table_rows", TableRows)
+    spark.dataSource.register(ZippedCsv)
+
+
 GEOJSON = "features array<struct<properties:string,geometry:string>>"
 
 
