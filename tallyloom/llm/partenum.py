@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import discard, free_shuffles, hub_join, mix, prepare, save, small_side
-from .neardup import _families, _keys, _sets, _sets_of, components, verify
+from .neardup import _families, _keys, _sets, components
 
 _U = np.uint64
 _GOLD = 0x9E3779B97F4A7C15
@@ -243,6 +243,31 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("_la", "a") != F.coalesce("_lb", "b")).select("a", "b")
 
 
+def _sets_beside(docs: DataFrame, width: int) -> DataFrame:
+    """``a``, ``b`` and the shingle set of ``text``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, n, u, at in _sets(batch.column(2), width):
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.arange(n + 1)).astype(np.int32)), pa.array(u.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(1).slice(first, n), lists], names=["a", "b", "shingles"])
+
+    return docs.select("a", "b", "text").mapInArrow(work, "a long, b long, shingles array<long>")
+
+
+def _verified(pairs: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b; saved) that are links on full sets.
+
+    The set of b is made where its text is read and travels to a once, with a beside it; nothing else of it is kept or sent.
+    """
+    heads = save(pairs.select("a").distinct())
+    left = _sets_beside(source.join(small_side(pairs), F.col("doc_id") == F.col("b")), width).withColumnRenamed("shingles", "sb")
+    right = _sets_beside(source.join(small_side(heads), F.col("doc_id") == F.col("a")).withColumn("b", F.col("a")), width).select("a", F.col("shingles").alias("sa"))
+    both = hub_join(left, right, "a", "b", pairs)
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b").distinct()
+
+
 def _links(reps: DataFrame, source: DataFrame, width: int, percent: int, only: tuple[int, ...] = ()) -> DataFrame:
     """Verified links between representatives by the signatures in ``reps``, enough of them to unite each class.
 
@@ -266,10 +291,10 @@ def _links(reps: DataFrame, source: DataFrame, width: int, percent: int, only: t
     star = save(star.where(near).select("a", "b").distinct())
     # Each with its smallest leader first; the other leaders only where that leaves the two apart.
     tree = save(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = save(verify(tree, _sets_of(tree, source, width), percent))
+    links = save(_verified(tree, source, width, percent))
     free_shuffles(spark)
     other = save(_apart(star.join(tree, ["a", "b"], "left_anti"), save(components(links))))
-    links = save(links.unionByName(verify(other, _sets_of(other, source, width), percent)))
+    links = save(links.unionByName(_verified(other, source, width, percent)))
     labels = save(components(links))
     free_shuffles(spark)
 
@@ -289,7 +314,7 @@ def _links(reps: DataFrame, source: DataFrame, width: int, percent: int, only: t
     met = hub_join(member.join(small_side(mild.select("sig")), "sig", "left_semi"), strangers, "sig", "b", member).where((F.col("b") != F.col("x")) & (F.col("label") != F.col("lx")))
     met = met.withColumnRenamed("nx", "na").where(near).select(F.least("b", "x").alias("a"), F.greatest("b", "x").alias("b"))
     pairs = save(pairs.unionByName(met).distinct())
-    more = verify(pairs, _sets_of(pairs, source, width), percent)
+    more = _verified(pairs, source, width, percent)
     wild = save(torn.where(F.col("m") - F.col("c") > FEW).select("sig"))
     if not wild.isEmpty():
         crowd = save(member.join(small_side(wild), "sig", "left_semi").select("a", "b", "label").distinct())
