@@ -2,9 +2,11 @@
 
 A text that may hold an assignment is lexed as source code or configuration:
 ``name = literal``, ``name: literal``, ``"name": "literal"``, ``name := literal``,
-``name => literal`` and ``<name>literal</name>`` give name-literal pairs. Constants are
+``name => literal`` and ``<name>literal</name>`` give name-literal pairs. So do subscripts (``cfg["name"] = literal``), annotations
+(``name: str = literal``), triple-quoted, raw and template strings, texts in parentheses, arrays, arguments of calls
+(a name that an environment is asked for is none) and YAML blocks, whose lines are literals. Constants are
 propagated: ``k = "x1"; password = k`` pairs ``password`` with the literal where it
-stands, also over several names and over ``+`` of known parts, however many. A literal, or the joined
+stands, also over several names, through templates, and over ``+`` of known parts, however many. A literal, or the joined
 value that it is a part of, is scored by how sensitive its target names are (their words, split at ``_``, ``-``, ``.``, and
 humps) and by how much it looks like a secret.
 
@@ -57,9 +59,111 @@ _HUMP = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _IDENTIFIER = re.compile(r"[A-Za-z_$][\w$.]*\Z")
 
 
+# What the tokens above can't say: targets whose literal is behind brackets, an annotation, or another kind of string.
+_STRING = re.compile(
+    r"""(?P<kind>[rRbBuUfF]{0,2})(?:\"{3}(?P<t>(?:[^\\]|\\.)*?)\"{3}|'{3}(?P<u>(?:[^\\]|\\.)*?)'{3}|"(?P<d>(?:[^"\\\n]|\\.)*)"|'(?P<s>(?:[^'\\\n]|\\.)*)'|`(?P<b>(?:[^`\\]|\\.)*)`)""",
+    re.DOTALL,
+)
+_TARGET = re.compile(
+    r"""(?:\[[\x20\t]*(?P<sq>["'])(?P<sub>[A-Za-z_$][\w$.-]*+)(?P=sq)[\x20\t]*\]|(?P<q>["'])(?P<quoted>[A-Za-z_$][\w$.-]*+)(?P=q)|(?<![\w$.-])(?P<plain>[A-Za-z_$][\w$.-]*+))"""
+    r"""[\x20\t]*(?:(?P<type>:[\x20\t]*[A-Za-z_][\w.]*+(?:\[[\w.,|\x20]*\]|<[\w.,|\x20]*>)?(?:[\x20\t]*\|[\x20\t]*[A-Za-z_][\w.]*+)*[\x20\t]*)=(?![=>])|(?P<op>:=|=>|=(?!=)|:))[\x20\t]*"""
+)
+_CALL = re.compile(r"(?:new[\x20\t]+|await[\x20\t]+)?[A-Za-z_$][\w$.]*+!?[\x20\t]*\(")
+_BLOCK = re.compile(r"[|>][+-]?[0-9]?[\x20\t]*(?:#[^\n]*)?\r?\n")
+_INNER = re.compile(r"(?P<blank>[\s\\]+)|(?P<comment>#[^\n]*|//[^\n]*)|(?P<open>[(\[])|(?P<close>[)\]])|(?P<comma>,)|(?P<plus>\+)|(?P<pair>[A-Za-z_$][\w$.-]*+[\x20\t]*(?:=(?!=)|:(?!:))|[{}])|(?P<name>[A-Za-z_$][\w$.]*+)|(?P<other>.)", re.DOTALL)
+_HOLE = re.compile(r"\$?\{([^{}]*)\}")
+_ASKED = re.compile(r"[A-Z][A-Z0-9_]*\Z")
+
+
+def _parts_of(m: re.Match) -> list[tuple]:
+    """Parts of a string: (begin, end) where it stands, or a name that a template puts in."""
+    which = next(k for k in "tudsb" if m[k] is not None)
+    a, b = m.span(which)
+    if "f" not in m["kind"].lower() and which != "b":
+        return [(a, b)]
+    out, at = [], a
+    for hole in _HOLE.finditer(m.string, a, b):
+        out += [(at, hole.start())] * (hole.start() > at) + [(hole[1].strip(),)]
+        at = hole.end()
+    return [*out, *[(at, b)] * (b > at)]
+
+
+def _bracketed(text: str, at: int, call: bool) -> list[list[tuple]]:
+    """Groups of parts inside the bracket that ends before ``at``: what commas separate; strings beside each other, or with ``+`` between, are one group.
+
+    Reading ends with the bracket, or where a pair or a mapping of its own begins.
+    """
+    groups: list[list[tuple]] = [[]]
+    depth = 1
+    while depth and at < len(text):
+        m = _STRING.match(text, at)
+        if m:
+            groups[-1] += _parts_of(m)
+            at = m.end()
+            continue
+        m = _INNER.match(text, at)
+        at = m.end()
+        if m["pair"]:
+            break
+        depth += bool(m["open"]) - bool(m["close"])
+        if m["comma"] or m["open"] or m["close"]:
+            groups.append([])
+        elif m["name"]:
+            groups[-1].append((m["name"],))
+    groups = [g for g in groups if g]
+    if call:
+        groups = [g for i, g in enumerate(groups) if not (len(g[0]) == 2 and (_ASKED.match(text[slice(*g[0])]) or i == 0 and len(groups) > 1))]
+    return groups
+
+
+def _block_lines(text: str, start: int, at: int) -> list[list[tuple]]:
+    """Lines of a YAML block that are indented more than the line on which its name stands."""
+    begin = text.rfind("\n", 0, start) + 1
+    own = len(text[begin:start]) - len(text[begin:start].lstrip(" -"))
+    groups = []
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        line = text[at:end]
+        inner = line.strip()
+        if inner and len(line) - len(line.lstrip(" ")) <= own:
+            break
+        if inner:
+            a = at + line.index(inner)
+            groups.append([(a, a + len(inner))])
+        at = end + 1
+    return groups
+
+
+def structured(text: str) -> Iterator[tuple[int, str, list[list[tuple]]]]:
+    """(start, name, groups of parts) of targets beyond ``name op literal``."""
+    for m in _TARGET.finditer(text):
+        which = next(k for k in ("sub", "quoted", "plain") if m[k] is not None)
+        name, start, at = m[which], m.start(which), m.end()
+        if m["op"] == ":" and _BLOCK.match(text, at):
+            yield start, name, _block_lines(text, m.start(), _BLOCK.match(text, at).end())
+            continue
+        string = _STRING.match(text, at)
+        beyond = m["sub"] or m["type"]
+        if string and (beyond or string["kind"] or string["d"] is None and string["s"] is None):
+            groups = [_parts_of(string)]
+            at = string.end()
+            while (plus := re.compile(r"[\x20\t]*\+[\x20\t]*").match(text, at)) and (string := _STRING.match(text, plus.end())):
+                groups[0] += _parts_of(string)
+                at = string.end()
+            yield start, name, groups
+        elif not string and text[at : at + 1] in ("(", "["):
+            yield start, name, _bracketed(text, at + 1, call=False)
+        elif not string and (call := _CALL.match(text, at)):
+            yield start, name, _bracketed(text, call.end(), call=True)
+        elif not string and beyond and (bare := re.compile(r"""[^\s,;#"'(){}\[\]<>+]+""").match(text, at)):
+            yield start, name, [[(bare[0],)] if _IDENTIFIER.match(bare[0]) else [bare.span()]]
+
+
 def name_score(name: str) -> float:
-    """How sensitive a target name is, from 0 to 1."""
+    """How sensitive a target name is, from 0 to 1; a plural counts as its singular."""
     parts = [p.lower() for p in _HUMP.findall(name)]
+    parts = [p[:-1] if p[-1:] == "s" and p not in SENSITIVE and p[:-1] in SENSITIVE else p for p in parts]
     joined = ["".join(p) for p in zip(parts, parts[1:], strict=False)]
     score = max([SENSITIVE.get(p, 0.0) for p in [*parts, *joined]], default=0.0)
     return score * (0.4 if any(p in HARMLESS for p in parts) else 1.0)
@@ -119,10 +223,36 @@ def lex(text: str) -> list[tuple[int, int, str, float]]:
     known: dict[str, int | None] = {}
     target: dict[int, tuple[float, int, str]] = {}  # by value: its most sensitive name's score, the first such, that name
     joined: dict[int, tuple[float, int, str]] = {}  # by value: the best score of a joined value it is part of
-    for m in _PAIR.finditer(text):
-        if not m["open"] and m["op"].strip() == "==":
+    def add(a: int, b: int) -> int:
+        value = text[a:b]
+        values.append(Value((), value[:_PREFIX], Counter(value), len(value), (a, b)))
+        return len(values) - 1
+
+    def assign(name: str, start: int, found: list[int]) -> None:
+        at = known[name] = _join(found, values) if found else None
+        score = name_score(name)
+        if score and at is not None:
+            target[at] = max(target.get(at, (0.0, 0, "")), (score, -start, name))
+
+    more = list(structured(text))
+    beyond = {start for start, _, _ in more}
+    events = [(m.start("name"), m) for m in _PAIR.finditer(text) if (m["open"] or m["op"].strip() != "==") and m.start("name") not in beyond]
+    for start, event in sorted([*events, *[(start, (name, groups)) for start, name, groups in more]], key=lambda e: e[0]):
+        if isinstance(event, tuple):
+            name, groups = event
+            for group in groups or [[]]:
+                found = []
+                for part in group:
+                    if len(part) == 2:
+                        found.append(add(*part))
+                    elif known.get(part[0]) is not None:
+                        found.append(known[part[0]])
+                assign(name, start, found)
+            if len(groups) > 1:  # of several values none is the name's
+                known[name] = None
             continue
-        found: list[int] = []
+        m = event
+        found = []
         base = m.start("rhs")
         bare = 0
         for p in _PART.finditer(m["rhs"]):
@@ -131,13 +261,9 @@ def lex(text: str) -> list[tuple[int, int, str, float]]:
             if k == 3 and value in known:
                 found += [known[value]] if known[value] is not None else []
             elif k < 3 or not _IDENTIFIER.match(value) or not bare and any(c.isdigit() for c in value):
-                values.append(Value((), value[:_PREFIX], Counter(value), len(value), (base + p.start(k), base + p.end(k))))
-                found.append(len(values) - 1)
+                found.append(add(base + p.start(k), base + p.end(k)))
             bare += k == 3
-        at = known[m["name"]] = _join(found, values) if found else None
-        score = name_score(m["name"])
-        if score and at is not None:
-            target[at] = max(target.get(at, (0.0, 0, "")), (score, -m.start(), m["name"]))
+        assign(m["name"], m.start(), found)
     for at, (score, place, name) in target.items():
         joined[at] = (score * _looks(values[at]), place, name)
     out = []

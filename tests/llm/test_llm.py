@@ -269,6 +269,46 @@ def test_secrets_with_long_and_split_names():
     assert literals(long_run) == [] and literals(long_run + f" = '{value}'") == [(value, long_run)]
 
 
+def test_secrets_syntax():
+    """What each syntax gives, and what it doesn't."""
+
+    def literals(text):
+        return [(text[a:b], name) for kind, a, b, name, _ in secrets.scan(text) if kind == "literal"]
+
+    v, w = "Xk29fLq0Zt7vB3", "Qm48sWd1Yr6nC5"
+    cases = {
+        f'cfg["password"] = "{v}"': [(v, "password")], f"os.environ['API_TOKEN'] = k + 'x'\nsettings [ 'password' ] := '{v}'": [(v, "password")],
+        f'password: str = "{v}"': [(v, "password")], f'const apiKey: string = "{v}"': [(v, "apiKey")], f"auth_token: Optional[str] | None = '{v}'": [(v, "auth_token")],
+        f'PASSWORD="""{v}"""': [(v, "PASSWORD")], f"secret = r'{v}'": [(v, "secret")], f"secret = b\"{v}\"": [(v, "secret")], f"let token = `{v}`": [(v, "token")],
+        f"private_key: |\n  {v}{w}\n\n  {w}{v}\nname: x": [(v + w, "private_key"), (w + v, "private_key")], f"a:\n  - secret: >-\n      {v}\n    other: {w}": [(v, "secret")],
+        f'"tokens": ["{v}", "{w}"]': [(v, "tokens"), (w, "tokens")], f'passwords = ["{v}",\n  # no\n  "{w}"]': [(v, "passwords"), (w, "passwords")],
+        f'password = (\n  "{v}"\n)': [(v, "password")], f"password = ('{v[:7]}'\n '{v[7:]}')": [(v[:7], "password"), (v[7:], "password")],
+        f'k = "{v}"\npassword = f"{{k}}"': [(v, "password")], f'k = "{v[:7]}"\nlet token = `${{k}}{v[7:]}`': [(v[:7], "token"), (v[7:], "token")], f'k = "{v}"\ncfg["secret"] = k': [(v, "secret")],
+        f'password = os.environ.get("DB_PASSWORD", "{v}")': [(v, "password")], f'token = Secret("{v}")': [(v, "token")], f"apiKey = decode(trim('{v}'))": [(v, "apiKey")],
+        f"connect(user='x', password='{v}')": [(v, "password")], 'password = os.environ["DB_PASSWORD"]': [], 'password = getenv("DB_PASSWORD")': [], f'title = f("{v}")': [], f'password = make(title="{v}")': [],
+        f'title: str = "{v}"': [], f'x["title"] = "{v}"': [], 'password = input("Enter it please: ")': [], 'tokens: ["true", "none"]': [], f'k = ["{v}"]\ntitle = f"{{k}}"': [],
+    }
+    for text, expected in cases.items():
+        assert literals(text) == expected, text
+    values = {"double": f'"{v}"', "single": f"'{v}'", "raw": f"r'{v}'", "triple": f'"""{v}"""', "template": f"`{v}`", "parens": f"( '{v}' )", "array": f'["{v}"]', "call": f'f("{v}")', "constant": "k"}
+    targets = {"plain": "{} = ", "colon": "{}: ", "walrus": "{} := ", "arrow": "{} => ", "json": '"{}": ', "subscript": 'c["{}"] = ', "annotation": "{}: str = "}
+    for syntax in targets.values():
+        for value in values.values():
+            for name, sensitive in (("password", True), ("db_token", True), ("title", False)):
+                text = f'k = "{v}"\n' + syntax.format(name) + value + "\n"
+                at = text.index(v) if value == "k" else text.rindex(v)
+                assert [(s[1], s[2]) for s in secrets.scan(text) if s[0] == "literal"] == [(at, at + len(v))] * sensitive, text
+
+
+def test_secrets_lexing_is_linear():
+    import time
+
+    for text in ("password = f(" * 20_000, "password = [" * 20_000, 'password = ["a", ' * 20_000, "password: |\n" * 20_000, 'tokens = [' + '"Zx81kLmQ09aa", ' * 50_000, "password = (" + "(" * 50_000, 'password = """' * 3_000, "password = `" * 3_001, "password: a | " * 20_000):
+        began = time.perf_counter()
+        secrets.scan(text)
+        assert time.perf_counter() - began < 10, text[:20]
+
+
 def test_cheap_tests_lose_no_span():
     rng = np.random.default_rng(3)
     names = ["password", "pass_word", "apiKey", "API-KEY", "db.secret", "title", "x1", "authToken", "key$", "cré_dential", "pin"]
