@@ -15,7 +15,7 @@ Two sets with Jaccard similarity p differ by at most k = (1 - p) / (1 + p) of th
 4. A set without enough rich groups (the hash decides, so hardly any) would break the argument: where one occurs, all sets of
    that instance get signatures of single shingles too. Thus no link can be missed.
 5. Signatures are range-sorted with ids, so that frequent ones are dealt over tasks, and equal runs read off. Each member of
-   a run is compared with the first, on full sets. Runs whose members these links, followed to their ends, don't unite are
+   a run is compared with the first, on full sets, unless the counts of 256 parts of the domain differ by too much already. Runs whose members these links, followed to their ends, don't unite are
    compared further: as pairs in short ones, a few strangers with all others, else by blocks, where no pair is a row.
 """
 
@@ -38,6 +38,8 @@ _GOLD = 0x9E3779B97F4A7C15
 FEW = 16
 #: Sizes below this are in bands whose groups are single shingles.
 SMALL = 64
+#: Parts of the domain whose elements are counted for each set, to tell pairs that can't be partners.
+COUNTED = 256
 #: Rows of two numbers in an Arrow batch.
 WIDE_ROWS = 1 << 16
 _SUBSETS = ((0, 1), (0, 2), (1, 2))
@@ -158,7 +160,7 @@ def set_keys(source: DataFrame, width: int) -> DataFrame:
 
 
 def signatures(source: DataFrame, width: int, percent: int, only: tuple[int, ...] = ()) -> DataFrame:
-    """``rep``, ``n``, its key, ``sigs`` and ``poor`` (instances) of each document."""
+    """``rep``, ``n``, its key, ``sigs``, ``poor`` (instances) and ``counts`` (a byte for each of COUNTED parts, 255 for more) of each document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,16 +168,18 @@ def signatures(source: DataFrame, width: int, percent: int, only: tuple[int, ...
                 where = np.searchsorted(at, np.arange(n + 1))
                 one, two = _keys(u, where)
                 row, sig, poor = signatures_of(u, at, n, percent, only)
+                part = np.bincount(at * COUNTED + (u >> _U(56)).astype(np.int64), minlength=n * COUNTED)
+                counts = np.minimum(part, 255).astype(np.uint8).reshape(n, COUNTED)
                 lists = [[] for _ in range(n)]
                 for r, t in poor:
                     lists[r].append(t)
                 edges = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), pa.array(np.diff(where), pa.int64()), pa.array(one), pa.array(two), pa.ListArray.from_arrays(edges, pa.array(sig.view(np.int64))), pa.array(lists, pa.list_(pa.int32()))],
-                    names=["rep", "n", "key1", "key2", "sigs", "poor"],
+                    [batch.column(0).slice(first, n), pa.array(np.diff(where), pa.int64()), pa.array(one), pa.array(two), pa.ListArray.from_arrays(edges, pa.array(sig.view(np.int64))), pa.array(lists, pa.list_(pa.int32())), pa.array([c.tobytes() for c in counts], pa.binary())],
+                    names=["rep", "n", "key1", "key2", "sigs", "poor", "counts"],
                 )
 
-    return source.mapInArrow(work, "rep long, n long, key1 long, key2 long, sigs array<long>, poor array<int>")
+    return source.mapInArrow(work, "rep long, n long, key1 long, key2 long, sigs array<long>, poor array<int>, counts binary")
 
 
 @contextmanager
@@ -255,6 +259,21 @@ def _sets_beside(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("a", "b", "text").mapInArrow(work, "a long, b long, shingles array<long>")
 
 
+def _possible(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b; saved) that differ by no more elements than partners may, as far as the counts of parts tell: no partner is lost."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, COUNTED).astype(np.int16) for i in (3, 5))
+            size = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            good = np.abs(a - b).sum(axis=1) <= (100 - percent) * size // (100 + percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
+
+    side = lambda c: counts.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}"))
+    both = hub_join(pairs.join(side("b"), "b"), side("a"), "a", "b", pairs).select("a", "b", "na", "ca", "nb", "cb")
+    return both.mapInArrow(work, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b; saved) that are links on full sets.
 
@@ -276,6 +295,7 @@ def _links(reps: DataFrame, source: DataFrame, width: int, percent: int, only: t
     spark = reps.sparkSession
     near = f"100 * least(na, nb) >= {int(percent)} * greatest(na, nb)"
     flat = reps.select(F.explode("sigs").alias("sig"), "rep", "n")
+    counts = save(reps.select("rep", "n", "counts"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with _wide(spark):
         runs = save(flat.repartitionByRange(parts, "sig", "rep").sortWithinPartitions("sig", "rep").mapInArrow(_runs(FEW), _RUNS))
@@ -290,6 +310,7 @@ def _links(reps: DataFrame, source: DataFrame, width: int, percent: int, only: t
     star = star.select("a", "na", F.col("o.m").alias("b"), F.col("o.s").alias("nb")).unionByName(many.where("a <> b").select("a", "na", "b", "nb"))
     star = save(star.where(near).select("a", "b").distinct())
     # Each with its smallest leader first; the other leaders only where that leaves the two apart.
+    star = save(_possible(star, counts, percent))
     tree = save(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = save(_verified(tree, source, width, percent))
     free_shuffles(spark)
@@ -313,7 +334,7 @@ def _links(reps: DataFrame, source: DataFrame, width: int, percent: int, only: t
     strangers = member.join(small_side(mild), "sig").where(F.col("label") != F.col("main")).select("sig", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("label").alias("lx"))
     met = hub_join(member.join(small_side(mild.select("sig")), "sig", "left_semi"), strangers, "sig", "b", member).where((F.col("b") != F.col("x")) & (F.col("label") != F.col("lx")))
     met = met.withColumnRenamed("nx", "na").where(near).select(F.least("b", "x").alias("a"), F.greatest("b", "x").alias("b"))
-    pairs = save(pairs.unionByName(met).distinct())
+    pairs = save(_possible(save(pairs.unionByName(met).distinct()), counts, percent))
     more = _verified(pairs, source, width, percent)
     wild = save(torn.where(F.col("m") - F.col("c") > FEW).select("sig"))
     if not wild.isEmpty():
@@ -349,7 +370,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         # An id may have several texts; its class's representative is the one with the class's key.
         found = signatures(chosen, width, percent, only)
         held = found.join(small_side(own), (F.col("rep") == F.col("_rep")) & (F.col("key1") == F.col("_k1")) & (F.col("key2") == F.col("_k2")), "left_semi")
-        return save(held.groupBy("key1", "key2", "rep").agg(F.first("n").alias("n"), F.first("sigs").alias("sigs"), F.first("poor").alias("poor"))) if several else save(held)
+        return save(held.groupBy("key1", "key2", "rep").agg(F.first("n").alias("n"), F.first("sigs").alias("sigs"), F.first("poor").alias("poor"), F.first("counts").alias("counts"))) if several else save(held)
 
     several = not full.groupBy("doc_id").count().where("count > 1").isEmpty()
     reps = signed()
