@@ -66,9 +66,8 @@ def runs(c: Column, width: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(c, i, F.lit(width)))).otherwise(F.array().cast("array<string>"))
 
 
-def bag(c: Column, width: int = 1) -> Column:
-    """Runs of ``width`` letters, each with its number among its equals: what two such arrays share are the runs that two multisets share."""
-    every = runs(c, width)
+def numbered(every: Column) -> Column:
+    """Each element with its number among its equals: what two such arrays share are the elements that two multisets share."""
     return F.transform(every, lambda r, i: F.concat(r, F.size(F.filter(F.slice(every, F.lit(1), i + 1), lambda x: x == r)).cast("string")))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import bag, most_ratio, ro_ratio, runs
+from ..functions.similarity import most_ratio, numbered, ro_ratio, runs
 
 
 def bounded(pairs: DataFrame, one: str, other: str) -> DataFrame:
@@ -19,7 +19,9 @@ def bounded(pairs: DataFrame, one: str, other: str) -> DataFrame:
 
 
 def with_bags(df: DataFrame, name: str, side: str) -> DataFrame:
-    return df.withColumns({f"_{side}{k}": bag(F.col(name), k) for k in (1, 2)})
+    """Letters and pairs of letters of a name, numbered among their equals, as ``_<side>1`` and ``_<side>2``."""
+    held = df.withColumns({f"_runs{k}": runs(F.col(name), k) for k in (1, 2)})  # in a column of their own, so that they are made once
+    return held.withColumns({f"_{side}{k}": numbered(F.col(f"_runs{k}")) for k in (1, 2)}).drop("_runs1", "_runs2")
 
 
 def worth_comparing(pairs: DataFrame, left_id: str) -> tuple[DataFrame, DataFrame]:

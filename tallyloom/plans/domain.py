@@ -7,11 +7,13 @@ what an operator must find is known that way, the SQL states it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, titles
-from ..operators import graph, spatial
+from ..operators import graph, resolve, spatial
 from ..sources import nested, readers
 from . import acts, laws, marts, matching, people, places, records
 from .analytics import query, table
@@ -512,3 +514,81 @@ def nested_bills(spark, sf_dir):
     sat = records.memberships(nested.people(persons, "json", "s_suppkey")).select(F.col("key").alias("author_code"), "congress", F.col("name").alias("member"))
     found = nested.bills(documents, "json").join(sat, ["author_code", "congress"], "left")
     return found.select("bill", "congress", "author_code", "n_authors", "status", "ra", "committee", "member")
+
+
+# --- rivals, ties and misses (J11, J13, J15, J17, J18, C8, C10, C13) ---------
+
+
+@query("""WITH n AS (SELECT c_nationkey, c_custkey::VARCHAR AS a, s_suppkey::VARCHAR AS b FROM customer JOIN supplier ON c_nationkey = s_nationkey) SELECT c_nationkey AS nation, a AS customer, b AS supplier FROM n WHERE contains(a, b) OR contains(b, a)""")
+def contained_names(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").selectExpr("c_nationkey AS nation", "CAST(c_custkey AS STRING) AS customer")
+    s = table(spark, sf_dir, "supplier").selectExpr("s_nationkey AS nation", "CAST(s_suppkey AS STRING) AS supplier")
+    return resolve.contained_either_way(c, s, "customer", "supplier", "nation")
+
+
+# A town has a hospital twice under one name, a private one and one of another name; a province has one elsewhere of
+# the same name, and two of a nearly equal name stand far away.
+@query("""WITH k AS (SELECT c_custkey, c_custkey % 6 AS k FROM customer)
+SELECT c_custkey AS ra, CASE k WHEN 0 THEN 'a' || c_custkey WHEN 1 THEN 'e' || c_custkey WHEN 2 THEN 'f' || c_custkey END AS hid, CASE k WHEN 0 THEN 'town' WHEN 1 THEN 'province' WHEN 2 THEN 'national' END AS level,
+CASE WHEN k < 3 THEN 'found' WHEN k = 3 THEN 'no_name' WHEN k = 4 THEN 'not_found' ELSE 'no_place' END AS match FROM k""")
+def hospital_stages(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    own = "concat('Quirino', c_custkey, ' Lopez')"
+    wanted = c.selectExpr("c_custkey AS ra", f"CASE c_custkey % 6 WHEN 3 THEN 'An Act on Nothing' WHEN 4 THEN 'An Act Increasing the Beds of the Zyxwv Hospital in the City of Q' WHEN 5 THEN 'An Act Increasing the Beds of the Zyxwv Hospital in the City of Q' ELSE concat('An Act Increasing the Beds of the ', {own}, ' Memorial Hospital in the City of Q') END AS title", "CASE WHEN c_custkey % 6 IN (2, 5) THEN split('none', ';') ELSE split(concat('T', c_custkey), ';') END AS munis", "CASE WHEN c_custkey % 6 IN (2, 5) THEN split('Nowhere', ';') ELSE split(concat('P', c_custkey), ';') END AS provinces")
+    rows = [
+        ("a", f"concat({own}, ' Memorial Hospital')", "concat('Villa', c_custkey)", "'R'", "'G'", "c_custkey % 6 = 0"), ("b", f"concat({own}, ' Memorial Hospital')", "concat('Villa', c_custkey)", "'R'", "'G'", "c_custkey % 6 = 0"),
+        ("0", f"concat({own}, ' Memorial Hospital')", "concat('Villa', c_custkey)", "'R'", "'P'", "true"), ("d", "'Other General Hospital'", "concat('Villa', c_custkey)", "'R'", "'G'", "c_custkey % 6 NOT IN (2, 5)"),
+        ("e", f"concat({own}, ' Memorial Hospital')", "'Far'", "concat('P', c_custkey)", "'G'", "c_custkey % 6 = 1"), ("f", f"concat({own}, ' Memorial Hospital')", "'Far'", "'S'", "'G'", "c_custkey % 6 = 2"), ("g", f"concat({own}, ' Mem. Hospitall')", "'Far'", "'S'", "'G'", "c_custkey % 6 = 2"),
+    ]
+    registry = reduce(DataFrame.unionByName, [c.where(keep).selectExpr(f"concat('{h}', c_custkey) AS hid", f"{name} AS name", f"{town} AS municipality", f"{province} AS province", f"{sector} AS sector") for h, name, town, province, sector, keep in rows])
+    towns = c.selectExpr("concat('T', c_custkey) AS psgc10", "concat('villa', c_custkey) AS town_key")
+    found = matching.match_hospitals(wanted, registry, towns)
+    return found.select("ra", F.when(F.col("match") == "found", F.col("hid")).alias("hid"), "level", "match")
+
+
+# A town has an elementary and two high schools of one name, an annex, and a school known by its barangay alone.
+@query("""WITH k AS (SELECT s_suppkey, s_suppkey % 7 AS k FROM supplier)
+SELECT s_suppkey AS ra, CASE k WHEN 0 THEN 'h1-' || s_suppkey WHEN 1 THEN 'e-' || s_suppkey WHEN 2 THEN 'x-' || s_suppkey WHEN 3 THEN 'b-' || s_suppkey END AS school_id,
+CASE WHEN k < 2 THEN 'named' WHEN k = 2 THEN 'annex' WHEN k = 3 THEN 'barangay' WHEN k = 4 THEN 'not_found' WHEN k = 5 THEN 'no_name' ELSE 'no_town' END AS match FROM k""")
+def school_stages(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select("s_suppkey")
+    target = "CASE s_suppkey % 7 WHEN 0 THEN 'Luna National High School' WHEN 1 THEN 'Luna Elementary School' WHEN 2 THEN 'Mabinni National High School' WHEN 4 THEN 'Zyxwv Trade School' WHEN 6 THEN 'Luna School' END"
+    wanted = s.selectExpr("s_suppkey AS ra", "CASE WHEN s_suppkey % 7 = 6 THEN split('none', ';') ELSE split(concat('T', s_suppkey), ';') END AS munis", "CASE s_suppkey % 7 WHEN 3 THEN 'An Act Separating a High School in Barangay San Isidro, T' ELSE 'An Act on a School' END AS title", "'separate' AS action", f"{target} AS target")
+    rows = [("h2", "Luna NHS", "Pob", "false, true"), ("e", "Luna ES", "Pob", "true, false"), ("h1", "Luna National HS", "Pob", "false, true"), ("x", "Mabini NHS - Annex", "Pob", "false, true"), ("b", "Rizal NHS", "San Isidro II", "false, true"), ("a", "Rizal CS", "San Isidro II", "true, false")]
+    schools = reduce(DataFrame.unionByName, [s.selectExpr(f"concat('{i}-', s_suppkey) AS school_id", "concat('T', s_suppkey) AS muni", f"split('{name}', ';') AS names", f"'{name}' AS name", f"'{barangay}' AS barangay", f"{levels.split(', ')[0]} AS offers_es", f"{levels.split(', ')[1]} AS offers_jhs") for i, name, barangay, levels in rows])
+    return matching.match_schools(wanted, schools, F.col("target")).select("ra", "school_id", "match")
+
+
+_ENTRY = "CASE l_returnflag WHEN 'A' THEN 'Approved on Third Reading' WHEN 'N' THEN 'Interpellations of Senator X' ELSE CASE WHEN l_linestatus = 'O' THEN 'Certified by the President' ELSE 'Read' END END"
+
+
+@query(f"""WITH h AS (SELECT l_orderkey AS doc, {_ENTRY} AS a, l_shipdate::DATE AS d FROM lineitem),
+r AS (SELECT doc, list_sort(list(DISTINCT d) FILTER (a LIKE 'App%' OR a LIKE 'Int%')) AS f, list_sort(list(DISTINCT d) FILTER (a LIKE 'Int%')) AS e, max(d) FILTER (a LIKE 'App%') AS t, bool_or(a LIKE 'Cert%') AS c FROM h GROUP BY 1),
+x AS (SELECT o_orderkey AS doc, o_orderkey % 997 + 9000 AS ra FROM orders WHERE o_orderkey % 3 = 0 UNION SELECT o_orderkey, (o_orderkey + 1) % 997 + 9000 FROM orders JOIN r ON doc = o_orderkey AND len(f) > 0 WHERE o_orderkey % 5 = 0),
+j AS (SELECT ra, string_agg(DISTINCT doc::VARCHAR, ',' ORDER BY doc::VARCHAR) AS docs, list_distinct(flatten(list(f))) AS f, list_distinct(flatten(list(e))) AS e, max(t) AS t, bool_or(c) AS c FROM x JOIN r USING (doc) GROUP BY 1)
+SELECT ra, docs, coalesce(len(f), 0)::INTEGER AS floor_days, coalesce(len(e), 0)::INTEGER AS debate_days, strftime(t, '%Y-%m-%d') AS third, CASE WHEN t IS NOT NULL THEN count(*) OVER (PARTITION BY t) END AS third_reading_with, CASE WHEN c AND ra % 4 = 0 THEN 'both' WHEN c THEN 'senate record' WHEN ra % 4 = 0 THEN 'list' ELSE '' END AS certified_by FROM j""")
+def floor_of_acts(spark, sf_dir):
+    entry = F.struct(F.expr(_ENTRY).alias("action"), F.to_date("l_shipdate").alias("date"))
+    history = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(entry).alias("history"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey").join(history, F.col("o_orderkey") == F.col("l_orderkey"))
+    became = F.array(F.struct(F.concat(F.lit("Republic Act No. "), (F.col("o_orderkey") % 997 + 9000).cast("string")).alias("action"), F.lit(None).cast("date").alias("date")))
+    senate = o.select(F.col("o_orderkey").alias("doc"), F.lit("SB").alias("kind"), F.lit(14).alias("congress"), F.col("o_orderkey").alias("bill"), F.when(F.col("o_orderkey") % 3 == 0, F.concat("history", became)).otherwise(F.col("history")).alias("history"))
+    cites = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "(o_orderkey + 1) % 997 + 9000 AS ra").where("o_orderkey % 5 = 0").groupBy("ra").agg(F.collect_set("o_orderkey").alias("sb"))
+    numbers = table(spark, sf_dir, "orders").selectExpr("o_orderkey % 997 + 9000 AS ra").distinct()
+    none = F.array().cast("array<bigint>")
+    wanted = numbers.join(cites, "ra", "full_outer").select("ra", F.lit(14).alias("congress"), none.alias("hb"), F.coalesce("sb", none).alias("sb"))
+    found = acts.floor_of_acts(wanted, acts.floor_records(senate))
+    by = acts.certified_by(found.select("ra", "certified"), found.where("ra % 4 = 0").select("ra"))
+    return found.join(by, "ra").select("ra", F.array_join(F.array_sort(F.transform("docs", lambda d: d.cast("string"))), ",").alias("docs"), F.size("floor").alias("floor_days"), F.size("debate").alias("debate_days"), F.date_format("third", "yyyy-MM-dd").alias("third"), "third_reading_with", "certified_by")
+
+
+# Acts whose header agrees with their date, or is a slip of the pen, or that have nothing but bills or neighbours.
+@query("""WITH o AS (SELECT o_orderkey AS ra, o_orderdate::DATE AS d, (o_orderdate::DATE >= DATE '1995-07-23')::INTEGER + (o_orderdate::DATE >= DATE '1998-07-01')::INTEGER + 9 AS by_date, o_orderkey % 4 AS k FROM orders WHERE o_orderdate BETWEEN DATE '1992-12-01' AND DATE '1995-04-30' OR o_orderdate BETWEEN DATE '1996-01-01' AND DATE '1998-04-30')
+SELECT ra, (CASE WHEN k = 3 THEN 9 + ra % 2 ELSE by_date END)::INTEGER AS congress, CASE k WHEN 0 THEN 'header' WHEN 1 THEN 'passage date' WHEN 2 THEN 'approval date' ELSE 'house record' END AS congress_from FROM o""")
+def congress_of_acts(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_orderdate BETWEEN DATE '1992-12-01' AND DATE '1995-04-30' OR o_orderdate BETWEEN DATE '1996-01-01' AND DATE '1998-04-30'")
+    day = "CAST(o_orderdate AS DATE)"
+    own = f"CASE WHEN {day} >= DATE '1995-07-23' THEN 10 ELSE 9 END"
+    wanted = o.selectExpr("o_orderkey AS ra", f"CASE WHEN o_orderkey % 4 <> 3 THEN {day} END AS date", f"CASE o_orderkey % 4 WHEN 0 THEN {own} WHEN 1 THEN 3 WHEN 2 THEN 19 END AS congress_text", f"CASE WHEN o_orderkey % 4 = 1 THEN array(date_sub({day}, 20), date_add({day}, 900)) ELSE CAST(array() AS ARRAY<DATE>) END AS passed")
+    house = o.where("o_orderkey % 4 = 3").selectExpr("o_orderkey AS ra", "CAST(9 + o_orderkey % 2 AS INT) AS congress").unionByName(o.where("o_orderkey % 4 = 2").selectExpr("o_orderkey AS ra", "explode(array(9, 10)) AS congress"))
+    return acts.assign_congress(wanted, house)

@@ -93,6 +93,7 @@ def test_containment(spark):
 
 def test_bags(spark):
     row = spark.createDataFrame([("banana", ""), ("a", None)], "a string, b string")
-    got = row.select(similarity.bag(F.col("a")).alias("x"), similarity.bag(F.col("a"), 2).alias("y"), similarity.bag(F.col("b"), 2).alias("z")).collect()
+    bag = lambda c, k: similarity.numbered(similarity.runs(F.col(c), k))
+    got = row.select(bag("a", 1).alias("x"), bag("a", 2).alias("y"), bag("b", 2).alias("z")).collect()
     assert got[0].x == ["b1", "a1", "n1", "a2", "n2", "a3"] and got[0].y == ["ba1", "an1", "na1", "an2", "na2"] and got[0].z == []
     assert got[1].x == ["a1"] and got[1].y == [] and not got[1].z
