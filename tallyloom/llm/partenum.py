@@ -16,7 +16,7 @@ Two sets with Jaccard similarity p differ by at most k = (1 - p) / (1 + p) of th
    that instance get signatures of single shingles too. Thus no link can be missed.
 5. Signatures are range-sorted with ids, so that frequent ones are dealt over tasks, and equal runs read off. Each member of
    a run is compared with the first, on full sets, unless the counts of 256 parts of the domain differ by too much already. Runs whose members these links, followed to their ends, don't unite are
-   compared further: as pairs in short ones, a few strangers with all others, else by blocks, where no pair is a row.
+   compared further: as pairs in short ones, a few strangers with all others, else by blocks with their counts, where only pairs that may be partners are rows.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import discard, free_shuffles, hub_join, mix, prepare, save, small_side
-from .neardup import _families, _keys, _sets, components
+from .neardup import BLOCK, _keys, _sets, components
 
 _U = np.uint64
 _GOLD = 0x9E3779B97F4A7C15
@@ -274,6 +274,35 @@ def _possible(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(work, "a long, b long").distinct()
 
 
+def _in_crowds(rows: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (``sig``, ``b``, ``label``; saved) of one run with different labels that may be partners.
+
+    Members come with their counts and never as pairs: a run is cut into blocks of BLOCK, and each pair of blocks is compared in a task.
+    """
+    size = rows.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    held = rows.join(small_side(save(size)), "sig").withColumn("own", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    held = held.join(counts.withColumnRenamed("rep", "b"), "b").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = held.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "b", "label", "n", "counts")
+
+    def compare(key, table):
+        i, j = key[1].as_py(), key[2].as_py()
+        own, rep, label, n = (table[c].to_numpy() for c in ("own", "b", "label", "n"))
+        parts = np.frombuffer(b"".join(table["counts"].to_pylist()), dtype=np.uint8).reshape(-1, COUNTED).astype(np.int16)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        found = []
+        for at in range(0, len(left), 32):
+            some = left[at : at + 32]
+            small, large = np.minimum(n[some][:, None], n[right][None]), np.maximum(n[some][:, None], n[right][None])
+            x, y = np.nonzero((label[some][:, None] != label[right][None]) & (100 * small >= percent * large) & ((i != j) | (rep[some][:, None] < rep[right][None])))
+            x, y = some[x], right[y]
+            good = np.abs(parts[x] - parts[y]).sum(axis=1) <= (100 - percent) * (n[x] + n[y]) // (100 + percent)
+            found.append(np.stack([np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])])[:, good])
+        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return held.groupBy("sig", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b; saved) that are links on full sets.
 
@@ -334,12 +363,13 @@ def _links(reps: DataFrame, source: DataFrame, width: int, percent: int, only: t
     strangers = member.join(small_side(mild), "sig").where(F.col("label") != F.col("main")).select("sig", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("label").alias("lx"))
     met = hub_join(member.join(small_side(mild.select("sig")), "sig", "left_semi"), strangers, "sig", "b", member).where((F.col("b") != F.col("x")) & (F.col("label") != F.col("lx")))
     met = met.withColumnRenamed("nx", "na").where(near).select(F.least("b", "x").alias("a"), F.greatest("b", "x").alias("b"))
-    pairs = save(_possible(save(pairs.unionByName(met).distinct()), counts, percent))
-    more = _verified(pairs, source, width, percent)
+    pairs = _possible(save(pairs.unionByName(met).distinct()), counts, percent)
     wild = save(torn.where(F.col("m") - F.col("c") > FEW).select("sig"))
     if not wild.isEmpty():
-        crowd = save(member.join(small_side(wild), "sig", "left_semi").select("a", "b", "label").distinct())
-        more = more.unionByName(_families(crowd, source, width, percent))
+        crowd = save(member.join(small_side(wild), "sig", "left_semi").select("sig", "b", "label"))
+        pairs = pairs.unionByName(_in_crowds(crowd, counts, percent)).distinct()
+    pairs = save(pairs)
+    more = _verified(pairs, source, width, percent)
     return save(links.unionByName(more))
 
 
