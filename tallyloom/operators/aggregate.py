@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -193,6 +196,15 @@ def sum_columns(df: DataFrame, columns: Iterable[str], name: str, value: str) ->
     return one.unpivot([], columns, name, value)
 
 
+def row_totals(df: DataFrame, pattern: str, name: str) -> DataFrame:
+    """``name``: the sum of a row's columns whose names match ``pattern``, each cut to a whole number; blanks and what isn't a number count nothing.
+
+    Columns are chosen by their names when the plan is built, so tables with other columns of the kind need no change.
+    """
+    found = [c for c in df.columns if re.search(pattern, c)]
+    return df.withColumn(name, reduce(add, [F.expr(f"coalesce(try_cast(try_cast(`{c}` as double) as bigint), 0)") for c in found], F.lit(0).cast("long")))
+
+
 def rate(n: Column, population: Column, scale: int = 100_000) -> Column:
     """n for each ``scale`` of population; null without population."""
     return F.when(population > 0, n / population * scale)

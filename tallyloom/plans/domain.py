@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, titles
-from ..operators import graph, resolve, spatial
+from ..operators import aggregate, graph, resolve, spatial
 from ..sources import nested, readers
 from . import acts, laws, marts, matching, people, places, records
 from .analytics import query, table
@@ -42,7 +42,12 @@ MATCHED = {
     "registry_name": "concat(CASE WHEN o_custkey % 9 = 0 THEN 'Mental Hospital ' ELSE 'Hospital ' END, o_custkey)", "registry_beds": "o_custkey % 100", "year": "year(o_orderdate)",
     "action": "CASE o_orderkey % 4 WHEN 0 THEN 'establish' WHEN 1 THEN 'convert' WHEN 2 THEN 'rename' ELSE 'separate' END", "first_year": "CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE 1990 + o_custkey % 12 END",
 }
-ENTITIES = {"laws": ("orders", LAWS), "bills": ("lineitem", BILLS), "matched": ("orders", MATCHED)}
+EFFORTS = {
+    "ra": "o_orderkey", "scope": "CASE o_orderkey % 3 WHEN 0 THEN 'local' WHEN 1 THEN 'private' ELSE 'national' END", "linked": "o_orderkey % 7 <> 0", "floor_days": "o_orderkey % 11", "debate_days": "CASE WHEN o_orderkey % 4 = 0 THEN o_custkey % 6 ELSE 0 END",
+    "certified": "o_orderkey % 13 = 0", "batch": "o_orderkey % 5 = 0", "third": "CASE WHEN o_orderkey % 9 > 0 THEN CAST(o_orderdate AS DATE) END", "third_with": "CASE WHEN o_orderkey % 9 > 0 THEN o_custkey % 50 END", "category": "concat('k', o_custkey % 8)",
+}
+TERMS = {"id": "c_custkey", "congress": "13 + c_custkey % 7", "family_seat": "CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_custkey % 3 = 0 END", "local_laws_enacted": "c_nationkey % 15"}
+ENTITIES = {"efforts": ("orders", EFFORTS), "terms": ("customer", TERMS), "laws": ("orders", LAWS), "bills": ("lineitem", BILLS), "matched": ("orders", MATCHED)}
 
 
 def entity(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,13 +141,13 @@ def mart_schools_before(spark, sf_dir):
     return marts.school_existed(entity(spark, sf_dir, "matched"), since=1998)
 
 
-@query(over("laws", """, t AS (SELECT 'A' || c_custkey AS author, 10 AS congress FROM customer), b AS (SELECT 'A' || l_suppkey AS author, 10 AS congress, l_returnflag = 'A' AS loc FROM lineitem),
-bc AS (SELECT author, count(*) AS n, count(*) FILTER (loc) AS l FROM b GROUP BY 1), lc AS (SELECT author, count(*) AS n, count(*) FILTER (scope = 'local') AS l FROM laws WHERE congress = 10 GROUP BY 1)
-SELECT author, congress, coalesce(bc.n, 0) AS bills_filed, coalesce(bc.l, 0) AS local_bills_filed, coalesce(lc.n, 0) AS laws_enacted, coalesce(lc.l, 0) AS local_laws_enacted FROM t LEFT JOIN bc USING (author) LEFT JOIN lc USING (author)"""))
+@query(over("laws", """, t AS (SELECT DISTINCT 'A' || (c_custkey % 60)::VARCHAR AS author, 7 + c_custkey % 7 AS congress FROM customer), b AS (SELECT 'A' || (l_suppkey % 60)::VARCHAR AS author, l_linenumber + 6 AS congress, l_returnflag = 'A' AS loc FROM lineitem),
+bc AS (SELECT author, congress, count(*) AS n, count(*) FILTER (loc) AS l FROM b GROUP BY 1, 2), lc AS (SELECT author, congress, count(*) AS n, count(*) FILTER (scope = 'local') AS l FROM laws GROUP BY 1, 2)
+SELECT author, congress, coalesce(bc.n, 0) AS bills_filed, coalesce(bc.l, 0) AS local_bills_filed, coalesce(lc.n, 0) AS laws_enacted, coalesce(lc.l, 0) AS local_laws_enacted FROM t LEFT JOIN bc USING (author, congress) LEFT JOIN lc USING (author, congress)"""))
 def mart_terms(spark, sf_dir):
-    terms = table(spark, sf_dir, "customer").selectExpr("concat('A', c_custkey) AS author", "10 AS congress")
-    bills = table(spark, sf_dir, "lineitem").selectExpr("concat('A', l_suppkey) AS author", "10 AS congress", "CASE WHEN l_returnflag = 'A' THEN 'local' ELSE 'x' END AS scope")
-    return marts.term_counters(terms, bills, entity(spark, sf_dir, "laws").where("congress = 10").withColumn("congress", F.lit(10)))
+    terms = table(spark, sf_dir, "customer").selectExpr("concat('A', c_custkey % 60) AS author", "7 + c_custkey % 7 AS congress").distinct()
+    bills = table(spark, sf_dir, "lineitem").selectExpr("concat('A', l_suppkey % 60) AS author", "l_linenumber + 6 AS congress", "CASE WHEN l_returnflag = 'A' THEN 'local' ELSE 'x' END AS scope")
+    return marts.term_counters(terms, bills, entity(spark, sf_dir, "laws"))
 
 
 @query(over("matched", """, e AS (SELECT CASE WHEN ra % 3 = 0 THEN 'national' ELSE 'local' END AS scope, ra % 2 = 0 AS linked, ra % 7 AS floor_days, ra % 5 AS debate_days FROM matched),
@@ -592,3 +597,77 @@ def congress_of_acts(spark, sf_dir):
     wanted = o.selectExpr("o_orderkey AS ra", f"CASE WHEN o_orderkey % 4 <> 3 THEN {day} END AS date", f"CASE o_orderkey % 4 WHEN 0 THEN {own} WHEN 1 THEN 3 WHEN 2 THEN 19 END AS congress_text", f"CASE WHEN o_orderkey % 4 = 1 THEN array(date_sub({day}, 20), date_add({day}, 900)) ELSE CAST(array() AS ARRAY<DATE>) END AS passed")
     house = o.where("o_orderkey % 4 = 3").selectExpr("o_orderkey AS ra", "CAST(9 + o_orderkey % 2 AS INT) AS congress").unionByName(o.where("o_orderkey % 4 = 2").selectExpr("o_orderkey AS ra", "explode(array(9, 10)) AS congress"))
     return acts.assign_congress(wanted, house)
+
+
+# --- remainders of the report tables (M3, M6, M7, M9, P9) ---------------------
+
+
+@query(over("bills", "SELECT strftime(date_filed, '%Y-%m') AS month, scope, count(*) AS n FROM bills GROUP BY ALL"))
+def mart_monthly(spark, sf_dir):
+    return marts.monthly_filings(entity(spark, sf_dir, "bills"))
+
+
+@query(over("bills", "SELECT congress, strftime(date_filed, '%Y-%m-%d') AS day, count(*) AS n FROM bills WHERE congress IN (2, 3) GROUP BY ALL"))
+def mart_daily(spark, sf_dir):
+    return marts.daily_filings(entity(spark, sf_dir, "bills"), (2, 3)).select("congress", F.date_format("date_filed", "yyyy-MM-dd").alias("day"), "n")
+
+
+@query(f"WITH b AS ({over('bills', 'SELECT scope, count(*) AS filed FROM bills WHERE congress + 5 = 10 GROUP BY 1')}), l AS ({over('laws', 'SELECT scope, count(*) AS laws FROM laws WHERE congress = 10 GROUP BY 1')}) SELECT scope, coalesce(filed, 0) AS filed, coalesce(laws, 0) AS laws FROM b FULL JOIN l USING (scope)")
+def mart_one_congress(spark, sf_dir):
+    return marts.one_congress(entity(spark, sf_dir, "bills").withColumn("congress", F.col("congress") + 5), entity(spark, sf_dir, "laws"), 10)
+
+
+@query()
+def mart_examples(spark, sf_dir):
+    return marts.filed_examples(entity(spark, sf_dir, "laws"), "ra", 12)
+
+
+@query(over("matched", "SELECT year % 20 AS congress, action, count(*) AS n FROM matched GROUP BY ALL"))
+def mart_schools_by_congress(spark, sf_dir):
+    return marts.schools_by_congress(entity(spark, sf_dir, "matched").withColumn("congress", F.col("year") % 20))
+
+
+@query(over("matched", "SELECT ra, year FROM matched WHERE year BETWEEN 1987 AND 2023 AND action IN ('establish', 'separate', 'convert', 'create') AND match = 'not_found' ORDER BY ra LIMIT 400"))
+def mart_schools_not_found(spark, sf_dir):
+    return marts.schools_not_found(entity(spark, sf_dir, "matched")).select("ra", "year")
+
+
+@query(over("terms", "SELECT congress, family_seat, count(*) AS n, list_sort(list(local_laws_enacted))[(count(*) // 2 + 1)::BIGINT] AS median, round_even(avg(local_laws_enacted), 3) AS mean, round_even(avg(CASE WHEN local_laws_enacted = 0 THEN 1.0::DOUBLE ELSE 0 END), 3) AS zero_share, round_even(any_value(s), 3) AS family_share FROM (SELECT *, avg(CASE WHEN family_seat THEN 1.0::DOUBLE ELSE 0 END) OVER (PARTITION BY congress) AS s FROM terms WHERE family_seat IS NOT NULL) GROUP BY 1, 2"))
+def mart_families(spark, sf_dir):
+    return marts.families_by_congress(entity(spark, sf_dir, "terms"))
+
+
+@query()
+def mart_family_summary(spark, sf_dir):
+    return marts.family_summary(entity(spark, sf_dir, "terms"), "id")
+
+
+@query(over("terms", "SELECT family_seat, least(local_laws_enacted, 12)::BIGINT AS bin, count(*) AS n FROM terms WHERE family_seat IS NOT NULL GROUP BY ALL"))
+def mart_seats_histogram(spark, sf_dir):
+    return marts.seats_histogram(entity(spark, sf_dir, "terms"))
+
+
+@query(over("efforts", "SELECT scope, count(*) AS laws, count(*) FILTER (linked) AS linked, (sum(floor_days) FILTER (linked))::BIGINT AS floor_days, (sum(debate_days) FILTER (linked))::BIGINT AS debate_days, count(*) FILTER (linked AND debate_days > 0) AS debated, count(*) FILTER (certified) AS certified, count(*) FILTER (linked AND batch) AS batch, (list_sort(list(third_with) FILTER (linked AND third_with IS NOT NULL)))[(count(third_with) FILTER (linked) // 2 + 1)::BIGINT] AS third_with_median FROM efforts GROUP BY 1"))
+def mart_effort_scopes(spark, sf_dir):
+    return marts.effort_scopes(entity(spark, sf_dir, "efforts"))
+
+
+@query(over("efforts", "SELECT ra, debate_days, floor_days FROM efforts WHERE linked ORDER BY debate_days DESC, floor_days DESC, ra LIMIT 12"))
+def mart_effort_top(spark, sf_dir):
+    return marts.effort_top(entity(spark, sf_dir, "efforts")).select("ra", "debate_days", "floor_days")
+
+
+@query(over("efforts", "SELECT category, count(*) AS n FROM efforts WHERE scope = 'local' AND debate_days > 0 GROUP BY 1"))
+def mart_debated_local(spark, sf_dir):
+    return marts.debated_local(entity(spark, sf_dir, "efforts"))
+
+
+@query(over("efforts", "SELECT strftime(third, '%Y-%m-%d') AS third, count(*) AS n FROM efforts WHERE third IS NOT NULL GROUP BY 1 ORDER BY n DESC, min(ra) LIMIT 1"))
+def mart_third_day(spark, sf_dir):
+    return marts.biggest_third_day(entity(spark, sf_dir, "efforts")).select(F.date_format("third", "yyyy-MM-dd").alias("third"), "n")
+
+
+@query("SELECT l_orderkey, sum(trunc(l_quantity)::BIGINT + trunc(l_tax * 100)::BIGINT)::BIGINT AS total FROM lineitem GROUP BY 1")
+def pattern_totals(spark, sf_dir):
+    texts = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").cast("string").alias("g1_quantity"), (F.col("l_tax") * 100).cast("string").alias("g2_tax"), F.lit("n/a").alias("g3_none"), F.lit("9").alias("other"))
+    return aggregate.row_totals(texts, r"^g\d+_", "total").groupBy("l_orderkey").agg(F.sum("total").alias("total"))

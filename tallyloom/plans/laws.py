@@ -1,7 +1,7 @@
 """Titles of acts: kind, scope, action, facility, beds, terms of office.
 
 The tables below are data; the logic is :mod:`tallyloom.operators.rules`. All of it is
-one projection: the only Python function reads titles of public-works items.
+one projection of built-in functions.
 """
 
 from __future__ import annotations

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import aggregate, dedup
+from . import records
 
 # --- fixed values ------------------------------------------------------------
 
@@ -147,3 +148,79 @@ def accuracy(predicted: DataFrame, labels: DataFrame) -> DataFrame:
     """Share of hand labels met, for kind and scope."""
     both = predicted.join(labels.select("ra", F.col("category").alias("_label"), F.col("scope").alias("_scope")), "ra")
     return both.agg(F.count("*").alias("n"), *[F.bround(F.avg((F.col(a) == F.col(b)).cast("double")), 4).alias(a) for a, b in (("category", "_label"), ("scope", "_scope"))])
+
+
+# --- what else the report documents hold (M3, M6, M7, M9) ---------------------
+
+
+def daily_filings(bills: DataFrame, congresses: tuple[int, ...] = (17, 18, 19)) -> DataFrame:
+    """Bills by day of filing in some Congresses (M3)."""
+    return bills.where(F.col("date_filed").isNotNull() & F.col("congress").isin(*congresses)).groupBy("congress", "date_filed").agg(F.count("*").alias("n"))
+
+
+def monthly_filings(bills: DataFrame) -> DataFrame:
+    """Bills by month of filing ("yyyy-MM") and scope (M3)."""
+    return bills.where("date_filed is not null").groupBy(F.date_format("date_filed", "yyyy-MM").alias("month"), "scope").agg(F.count("*").alias("n"))
+
+
+def one_congress(bills: DataFrame, laws: DataFrame, congress: int = 8) -> DataFrame:
+    """What a Congress received and passed, by scope: ``filed`` and ``laws`` (M3)."""
+    of = lambda df, name: df.where(F.col("congress") == congress).groupBy("scope").agg(F.count("*").alias(name))
+    return of(bills, "filed").join(of(laws, "laws"), "scope", "full_outer").na.fill(0, ["filed", "laws"])
+
+
+def filed_examples(bills: DataFrame, order: str, congress: int = 8, k: int = 40, letters: int = 220) -> DataFrame:
+    """Titles of k local bills of a Congress, drawn by a seeded generator from those in order (M3): ``draw`` and ``title``."""
+    chosen = bills.where((F.col("congress") == congress) & (F.col("scope") == "local") & (F.col("title") != "")).select(order, "title")
+    return records.seeded_sample(chosen, order, k).select("draw", F.substring("title", 1, letters).alias("title"))
+
+
+def schools_by_congress(matched: DataFrame) -> DataFrame:
+    """Acts on schools by Congress and action (M6)."""
+    return matched.where("congress is not null").groupBy("congress", "action").agg(F.count("*").alias("n"))
+
+
+def schools_not_found(matched: DataFrame, k: int = 400, first: int = 1987, last: int = 2023) -> DataFrame:
+    """The first k founding acts whose school wasn't found, by act (M6)."""
+    return matched.where(F.col("year").between(first, last) & F.col("action").isin(*FOUNDING) & (F.col("match") == "not_found")).orderBy("ra").limit(k)
+
+
+def families_by_congress(terms: DataFrame, value: str = "local_laws_enacted") -> DataFrame:
+    """Family seats and others of each Congress: n, mean, upper median, share of zeros, and the share of family seats (M7)."""
+    known = terms.where("family_seat is not null")
+    out = aggregate.summary(known, ["congress", "family_seat"], value)
+    share = known.groupBy("congress").agg(F.avg(F.col("family_seat").cast("double")).alias("family_share"))
+    return out.join(share, "congress").select("congress", "family_seat", "n", "median", *[F.bround(c, 3).alias(c) for c in ("mean", "zero_share", "family_share")])
+
+
+def seats_histogram(terms: DataFrame, value: str = "local_laws_enacted", most: int = 12) -> DataFrame:
+    """Terms by their acts, ``most`` or more as one bin, for family seats and others (M7)."""
+    return terms.where("family_seat is not null").groupBy("family_seat", F.least(F.col(value), F.lit(most)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def effort_scopes(efforts: DataFrame) -> DataFrame:
+    """Acts by scope with what the Senate spent on those that are linked, and the upper median of acts that shared a third reading (M9, A10).
+
+    ``efforts``: ``scope``, ``linked``, ``floor_days``, ``debate_days``, ``certified``, ``batch``, ``third_with``.
+    """
+    on = lambda c: F.when(F.col("linked"), F.col(c))
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    by = efforts.groupBy("scope").agg(F.count("*").alias("laws"), F.count_if("linked").alias("linked"), none(F.sum(on("floor_days"))).alias("floor_days"), none(F.sum(on("debate_days"))).alias("debate_days"), F.count_if(on("debate_days") > 0).alias("debated"), F.count_if("certified").alias("certified"), F.count_if(on("batch")).alias("batch"))
+    middle = aggregate.upper_median(efforts.where("linked"), ["scope"], "third_with", "third_with_median")
+    return by.join(middle, "scope", "left")
+
+
+def effort_top(efforts: DataFrame, k: int = 12) -> DataFrame:
+    """The k linked acts with most days of debate, then most floor days, then the first (M9)."""
+    return efforts.where("linked").orderBy(F.desc("debate_days"), F.desc("floor_days"), "ra").limit(k)
+
+
+def debated_local(efforts: DataFrame) -> DataFrame:
+    """Local acts that were debated, by kind (M9)."""
+    return efforts.where("scope = 'local' and debate_days > 0").groupBy("category").agg(F.count("*").alias("n"))
+
+
+def biggest_third_day(efforts: DataFrame) -> DataFrame:
+    """The day of third reading with most acts, of equals that of the first act (M9)."""
+    days = efforts.where("third is not null").groupBy("third").agg(F.count("*").alias("n"), F.min("ra").alias("_first"))
+    return days.agg(F.max_by(F.struct("third", "n"), F.struct("n", -F.col("_first"))).alias("d")).where("d is not null").select("d.*")

@@ -1,6 +1,7 @@
 import datetime as dt
 
 from pyspark.sql import functions as F
+from tallyloom.operators import aggregate
 from tallyloom.plans import marts, matching
 
 
@@ -94,3 +95,18 @@ def test_town_schools(spark):
     got = {(r.psgc10, r.school_id) for r in matching.town_schools(towns, schools).collect()}
     assert got == {("a", 1), ("b", 3), ("c", 6), ("c", 7)}
     assert matching.town_schools(towns, schools.limit(0)).count() == 0
+
+
+def test_examples_totals_and_days(spark):
+    import random
+
+    rows = [(i, 8 if i % 3 else 9, "local" if i % 2 else "national", f"Title {i} " + "x" * 300 if i % 5 else "") for i in range(400)]
+    good = [r for r in rows if r[1] == 8 and r[2] == "local" and r[3]]
+    expected = {d: good[k][3][:220] for d, k in enumerate(random.Random(8).sample(range(len(good)), 40))}
+    table = spark.createDataFrame(rows, "o int, congress int, scope string, title string").repartition(5)
+    assert {r.draw: r.title for r in marts.filed_examples(table, "o").collect()} == expected
+    wide = spark.createDataFrame([("3.9", "-2.5", "", "7"), ("nan", None, "x", "7"), ("1e3", "inf", " 4 ", "7")], "g1_a string, kinder_b string, jhsng_c string, g1 string")
+    totals = aggregate.row_totals(wide, r"^(kinder|g\d+|esng|jhsng)_|^g1[12]_", "n")
+    assert [r.n for r in totals.collect()] == [1, 0, 1004]
+    efforts = spark.createDataFrame([(2, dt.date(2001, 1, 2)), (1, dt.date(2001, 1, 5)), (3, None)], "ra int, third date")
+    assert tuple(marts.biggest_third_day(efforts).first()) == (dt.date(2001, 1, 5), 1) and marts.biggest_third_day(efforts.where("third is null")).count() == 0
