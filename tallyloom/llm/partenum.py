@@ -198,19 +198,26 @@ _RUNS = "sig long, members array<long>, sizes array<long>"
 
 
 def _runs(few: int):
-    """Runs of equal signatures of a range in order: short ones as lists (sig null), members of long ones, and of the first and last, a row each."""
+    """Runs of equal signatures of a range in order.
 
-    def batch_of(sig, rep, n, edges, named):
+    Short runs are lists (sig null). Members of a long one are a row each, beside its first member. Those of the range's first run, and of its last (or the first
+    member of a long last one), are rows of their own, as the run may go on in other ranges.
+    """
+
+    def lists(sig, rep, n, edges):
         edges = pa.array(np.asarray(edges, dtype=np.int32))
-        lists = [pa.ListArray.from_arrays(edges, pa.array(v)) for v in (rep, n)]
-        return pa.RecordBatch.from_arrays([pa.array(sig) if named else pa.nulls(len(edges) - 1, pa.int64()), *lists], names=["sig", "members", "sizes"])
+        columns = [pa.ListArray.from_arrays(edges, pa.array(v)) for v in (rep, n)]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(edges) - 1, pa.int64()) if sig is None else pa.array(sig), *columns], names=["sig", "members", "sizes"])
+
+    def alone(sig, rep, n):
+        return lists(sig, rep, n, np.arange(len(sig) + 1))
 
-    def rows(sig, rep, n):
-        return batch_of(sig, rep, n, np.arange(len(sig) + 1), True)
+    def beside(sig, rep, n, first, first_n):
+        return lists(sig, np.stack([first, rep], axis=1).ravel(), np.stack([first_n, n], axis=1).ravel(), np.arange(len(sig) + 1) * 2)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
-        apart = None  # the signature whose members are given a row each
+        none = [np.zeros(0, np.int64)] * 3
+        held, apart, head = none, None, None  # apart: a run that is passed on as it comes; head: its first member, unless the run is the range's first
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -221,21 +228,32 @@ def _runs(few: int):
             length = np.diff(np.append(start, len(held[0])))
             open_at = start[-1]  # the last run may go on
             start, length = start[:-1], length[:-1]
-            long = (length > few) | (held[0][start] == apart)
+            known = held[0][start] == apart
+            first, first_n = held[1][start].copy(), held[2][start].copy()
+            if head is not None:
+                first[known], first_n[known] = head
+            single = known & (head is None)
+            mark = np.repeat(single, length)
+            if mark.any():
+                yield alone(*[h[:open_at][mark] for h in held])
+            long = ((length > few) | known) & ~single
             mark = np.repeat(long, length)
             if mark.any():
-                yield rows(*[h[:open_at][mark] for h in held])
-            short = ~long & (length > 1)
+                yield beside(*[h[:open_at][mark] for h in held], np.repeat(first[long], length[long]), np.repeat(first_n[long], length[long]))
+            short = ~long & ~single & (length > 1)
             if short.any():
                 mark = np.repeat(short, length)
-                yield batch_of(None, *[h[:open_at][mark] for h in held[1:]], np.concatenate([[0], np.cumsum(length[short])]), False)
+                yield lists(None, *[h[:open_at][mark] for h in held[1:]], np.concatenate([[0], np.cumsum(length[short])]))
             held = [h[open_at:] for h in held]
             if len(held[0]) > few or held[0][0] == apart:
-                apart = held[0][0]
-                yield rows(*held)
-                held = [np.zeros(0, np.int64)] * 3
+                if held[0][0] != apart:
+                    apart, head = held[0][0], (held[1][0], held[2][0])
+                yield alone(*held) if head is None else beside(*held, np.full(len(held[0]), head[0]), np.full(len(held[0]), head[1]))
+                held = none
         if len(held[0]):
-            yield rows(*held)
+            yield alone(*held)
+        elif head is not None:
+            yield alone(np.array([apart]), np.array([head[0]]), np.array([head[1]]))
 
     return work
 
@@ -331,9 +349,10 @@ def _links(reps: DataFrame, source: DataFrame, width: int, percent: int, only: t
     discard(reps)
     free_shuffles(spark)
     lists = save(runs.where("sig is null").groupBy("members").agg(F.first("sizes").alias("sizes")))
-    single = runs.where("sig is not null").select("sig", F.col("members")[0].alias("b"), F.col("sizes")[0].alias("nb"))
+    long = runs.where("size(members) = 2 and sig is not null").select("sig", *[F.col(c)[i].alias(n) for n, c, i in (("b", "members", 1), ("nb", "sizes", 1), ("a", "members", 0), ("na", "sizes", 0))])
+    single = runs.where("size(members) = 1 and sig is not null").select("sig", F.col("members")[0].alias("b"), F.col("sizes")[0].alias("nb"))
     heads = single.groupBy("sig").agg(F.min(F.struct("b", "nb")).alias("h"), F.count("*").alias("m")).where("m > 1").select("sig", F.col("h.b").alias("a"), F.col("h.nb").alias("na"))
-    many = save(hub_join(single, save(heads), "sig", "b"))
+    many = long.unionByName(save(hub_join(single, save(heads), "sig", "b")))
     others = lambda c: F.slice(c, F.lit(2), F.size(c) - 1)
     star = lists.select(F.col("members")[0].alias("a"), F.col("sizes")[0].alias("na"), F.explode(F.arrays_zip(others("members").alias("m"), others("sizes").alias("s"))).alias("o"))
     star = star.select("a", "na", F.col("o.m").alias("b"), F.col("o.s").alias("nb")).unionByName(many.where("a <> b").select("a", "na", "b", "nb"))

@@ -114,3 +114,38 @@ def test_partners_share_a_signature():
                 row, sig, poor = partenum.signatures_of(both, at, 2, percent)
                 if not poor and k:
                     assert len(np.intersect1d(sig[row == 0], sig[row == 1])), (size, percent)
+
+
+def test_runs_of_a_range():
+    """Whatever the batches, members meet the same first one, and only the outer runs stay open."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    for _ in range(60):
+        rows = sorted((rng.choice([1, 1, 1, 2, 3, 4, 4, 4, 5, 6]), i, 10 + i) for i in rng.sample(range(100), rng.randrange(1, 30)))
+        cuts = sorted(rng.sample(range(len(rows) + 1), min(3, len(rows))))
+        parts = [rows[i:j] for i, j in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in p], pa.int64()) for k in range(3)], names=["sig", "rep", "n"]) for p in parts]
+        lists, long, single = [], set(), set()
+        for batch in partenum._runs(3)(iter(batches)):
+            for r in batch.to_pylist():
+                assert r["sizes"] == [10 + m for m in r["members"]]
+                if r["sig"] is None:
+                    lists.append(r["members"])
+                elif len(r["members"]) == 2:
+                    long.add((r["sig"], *r["members"]))
+                else:
+                    single.add((r["sig"], *r["members"]))
+        runs = {}
+        for sig, rep, _ in rows:
+            runs.setdefault(sig, []).append(rep)
+        first, last = rows[0][0], rows[-1][0]
+        inner = {s: m for s, m in runs.items() if s not in (first, last)}
+        assert sorted(lists) == sorted(m for m in inner.values() if 1 < len(m) <= 3)
+        assert {x for x in long if x[0] != last} == {(s, m[0], x) for s, m in inner.items() if len(m) > 3 for x in m}
+        assert {(s, x) for s, x in single if s == first} == {(first, x) for x in runs[first]}
+        if last != first:
+            ends = {x for s, x in single if s == last}
+            held = {x for s, _, x in long if s == last}
+            assert runs[last][0] in ends and ends | held == set(runs[last]) and all(m == runs[last][0] for s, m, _ in long if s == last)
+        assert {s for s, _ in single} <= {first, last}
