@@ -93,6 +93,6 @@ def test_long_texts_are_cut_at_ends_of_pieces(monkeypatch):
     text = "one two three, " * 10 + "x" * 100 + ". and so on"
     batch = pa.RecordBatch.from_arrays([pa.array(["a b", text, None, "c"]), pa.array(["en", "fr", "en", None])], names=["text", "lang"])
     parts = list(collocation._shards(iter([batch])))
-    assert b"".join(p[0].tobytes() for p in parts if p[2] == ["fr"]) + parts[-1][0].tobytes() == (text[:150] + "a b" + text[150:] + "c").encode()
+    assert b"".join(p[0].tobytes() for p in parts if p[2] == ["fr"]) + parts[-1][0].tobytes() == (text[:251] + "a b" + text[251:] + "c").encode()
     assert parts[-1][2] == ["en", "fr", "en", "und"]
     assert all(len(p[1]) == len(p[2]) + 1 and p[1][-1] == len(p[0]) for p in parts)
