@@ -76,7 +76,9 @@ class MemberReader(DataSourceReader):
                 out += [Member(archive, n) for n in z.namelist() if fnmatch.fnmatch(n.lower(), self.members)]
         return out
 
-    def read(self, partition: Member) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Member | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no member fits
+            return
         store, place = _open(partition.archive)
         with store.open_input_file(place) as handle, zipfile.ZipFile(handle) as z:
             text = decoded(z.read(partition.member), partition.member, self.encodings)
