@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import most_ratio, numbered, ro_ratio, runs
+from .scratch import written
 
 
 def bounded(pairs: DataFrame, one: str, other: str) -> DataFrame:
@@ -72,7 +73,7 @@ def alike_candidates(left: DataFrame, right: DataFrame, left_name: str, right_na
     def sides(df: DataFrame, name: str, side: str) -> DataFrame:
         return with_bags(df.where(F.col(name).isNotNull()).select(F.col(name).alias(f"_{side}n")).distinct(), f"_{side}n", side)
 
-    l, r = sides(left, left_name, "l"), sides(right, right_name, "r")  # noqa: E741
+    l, r = written(sides(left, left_name, "l")), written(sides(right, right_name, "r"))  # noqa: E741
     often = r.select(F.explode("_r2").alias("_t")).groupBy("_t").agg(F.count("*").alias("_n"))
     # 3 * matches <= pairs + length + 1 with matches >= least * length / 2, and the partner no shorter than least / (2 - least) of this.
     share = lambda n: F.ceil(n * (1 + least / (2 - least)) * (1.5 * least - 1) - 1 - 1e-9)
