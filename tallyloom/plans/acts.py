@@ -21,8 +21,8 @@ MISSPELT_ORDINALS = {"nineth": 9, "nineteeth": 19}
 MONTH_STARTS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 _MONTH = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)[a-z]*\.?"
 _DATE = rf"{_MONTH}\s+\d{{1,2}}\s*,?\s*\d{{4}}"
-HOUSE_BILL = r"(?iU)\b(?:house bill|h\.\s*b\.|h\.\s*no\.|h\.\s*bill)\s*(?:no\.?|nos\.?|number)?\s*([0-9]{1,5})"
-SENATE_BILL = r"(?iU)\b(?:senate bill|s\.\s*b\.|s\.\s*no\.|s\.\s*bill)\s*(?:no\.?|nos\.?|number)?\s*([0-9]{1,5})"
+HOUSE_BILL = r"(?iU)\b(?:house bill|h\.\s*b\.|h\.\s*no\.|h\.\s*bill)\s*(?:no\.?|nos\.?|number)?\s*([0-9]+)"
+SENATE_BILL = r"(?iU)\b(?:senate bill|s\.\s*b\.|s\.\s*no\.|s\.\s*bill)\s*(?:no\.?|nos\.?|number)?\s*([0-9]+)"
 LAPSED = r"(?iU)lapsed\s+into\s+law|became\s+law\s+without|without\s+(?:the\s+)?(?:executive\s+)?(?:approval|signature)\s+of\s+the\s+president|pursuant\s+to\s+(?:the\s+provisions\s+of\s+)?(?:section|sec\.)\s*27\s*\(1\)"
 BUDGET = r"(?iU)general appropriations act|annual appropriations|included in the (?:annual )?(?:budget|appropriation)"
 CURRENT = r"(?iU)(?:charged|taken) (?:against|from) the (?:current|existing|available)|out of any funds in the national treasury|current year'?s appropriations?|is hereby appropriated"
@@ -54,7 +54,7 @@ def text_date(c: Column) -> Column:
 
 def _numbers(pattern: str, *texts: Column) -> Column:
     found = F.concat(*[F.regexp_extract_all(t, F.lit(pattern), 1) for t in texts])
-    return F.array_sort(F.array_distinct(F.transform(found, lambda s: s.cast("int"))))
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(found, lambda s: s.try_cast("int")))))
 
 
 def passage_dates(tail: Column) -> Column:
