@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import referenced_acts, squeeze
 from ..operators import intervals
-from ..operators.rules import Rule, first_match, ladder
+from ..operators.rules import Rule, bound, first_match, ladder
 
 # --- fixed values ------------------------------------------------------------
 # Categories and their scope; terms; patterns; word lists. They must equal the
@@ -154,7 +154,10 @@ _IGNORE = "(?iU)"
 
 def category(title: Column) -> Column:
     """Kind of an act by the first rule whose guard holds; rows whose guard fails fall through."""
-    t = squeeze(title)
+    return bound(squeeze(title), lambda t: bound(_first_rule(t), lambda found: _checked(t, found)))
+
+
+def _first_rule(t: Column) -> Column:
     place = t.rlike(SPECIFIC_PLACE)
     cited = referenced_acts(F.when(t.rlike(_IGNORE + PUBLIC_WORKS), t))
     item = ~t.rlike(_IGNORE + r"\bbonds?\b") & (
@@ -162,14 +165,19 @@ def category(title: Column) -> Column:
     )
     guards = {"office": place, "land": place, "school_generic": place, "rename_place": ~t.rlike(_IGNORE + FACILITY), "public_works": item}
     names = {"school_generic": "school", "office_specific": "office"}
-    found = first_match(t, [Rule(names.get(k, k), _IGNORE + p, guards.get(k)) for k, p in RULE_PATTERNS])
+    return first_match(t, [Rule(names.get(k, k), _IGNORE + p, guards.get(k)) for k, p in RULE_PATTERNS])
+
+
+def _checked(t: Column, found: Column) -> Column:
+    """The kind that the first rule gave, put right by what else the title says."""
+    place = t.rlike(SPECIFIC_PLACE)
     local = found.isin(*[k for k, s in SCOPES.items() if s == "local"])
     changed = ladder(
         [
             (found.isNull() & place & ~t.rlike(_IGNORE + NATIONAL_HINT), "other_local"),
             (found.isNull(), "national"),
             ((found == "lgu") & ~place & t.rlike(_IGNORE + r"local government code|republic act no\.? 7160"), "national"),
-            (local & ~place & t.rlike(_IGNORE + EVERYWHERE), "national"),
+            (local & t.rlike(_IGNORE + EVERYWHERE) & ~place, "national"),
             ((found == "commemoration") & place & ~t.rlike(_IGNORE + r"\b(national|philippine|international|world)\b"), "holiday"),
         ]
     )
@@ -183,9 +191,12 @@ def scope(kind: Column) -> Column:
 
 def action(title: Column) -> Column:
     """What the act does: the verb that opens the title, else the first verb of its list found near the beginning."""
-    head = F.lower(F.substring(F.regexp_replace(F.trim(title), r"(?i)^(an?|the)\s+act\s+(to\s+)?", ""), 1, 60))
-    opening = first_match(head, [Rule(a, r"(?U)^\s*" + p) for a, p in ACTIONS])
-    return F.coalesce(opening, first_match(head, [Rule(a, r"(?U)\b" + p) for a, p in ACTIONS]), F.lit("other"))
+
+    def verb(head: Column) -> Column:
+        opening = first_match(head, [Rule(a, r"(?U)^\s*" + p) for a, p in ACTIONS])
+        return F.coalesce(opening, first_match(head, [Rule(a, r"(?U)\b" + p) for a, p in ACTIONS]), F.lit("other"))
+
+    return bound(F.lower(F.substring(F.regexp_replace(F.trim(title), r"(?i)^(an?|the)\s+act\s+(to\s+)?", ""), 1, 60)), verb)
 
 
 def _found(c: Column, pattern: str, group: int) -> Column:
