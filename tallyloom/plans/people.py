@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import person_key
 from ..operators.resolve import contained_either_way
+from ..operators.scratch import written
 
 #: The election that filled a Congress.
 ELECTIONS = {12: 2001, 13: 2004, 14: 2007, 15: 2010, 16: 2013, 17: 2016, 18: 2019, 19: 2022, 20: 2025}
@@ -29,12 +30,15 @@ def match_winners(persons: DataFrame, winners: DataFrame) -> DataFrame:
     sharing = p.groupBy("last", "congress").agg(F.count_distinct("id").alias("namesakes"))
     p = p.join(sharing, ["last", "congress"]).withColumn("year", split[F.col("congress")]).where("year is not null")
     w = winners.select("wid", "year", person_key(F.col("last")).alias("wlast"), person_key(F.col("first")).alias("wfirst"), person_key(F.col("middle")).alias("wmiddle"))
+    p, w = written(p), written(w)  # keys are made once
     exact = p.join(w.withColumnRenamed("year", "_y"), (F.col("year") == F.col("_y")) & (F.col("last") == F.col("wlast"))).drop("_y").withColumn("exact", F.lit(True))
     rest = p.join(exact.select("id", "congress").distinct(), ["id", "congress"], "left_anti").where("last <> ''")
     # Surnames that contain each other meet by their rarest run of letters, one row a surname.
-    pairs = contained_either_way(rest, w, "last", "wlast", "year")
-    inside = rest.join(pairs, ["year", "last"]).join(w, ["year", "wlast"]).withColumn("exact", F.lit(False))
-    both = exact.unionByName(inside)
+    rest = written(rest)
+    both = exact
+    if not rest.isEmpty():
+        pairs = contained_either_way(rest, w, "last", "wlast", "year")
+        both = exact.unionByName(rest.join(pairs, ["year", "last"]).join(w, ["year", "wlast"]).withColumn("exact", F.lit(False)))
     mine, theirs = _words(F.col("first")), _words(F.col("wfirst"))
     starts = lambda a: F.transform(a, lambda x: F.substring(x, 1, 3))
     first = F.arrays_overlap(mine, theirs) | F.arrays_overlap(starts(mine), starts(theirs))
@@ -46,7 +50,7 @@ def match_winners(persons: DataFrame, winners: DataFrame) -> DataFrame:
     both = both.join(n, ["id", "congress"])
     rank = F.when(first, 0).when(F.col("exact") & (F.col("_n") == 1) & (F.col("namesakes") == 1) & middle, 1).when((F.col("_n") == 1) & (F.size(mine) == 0), 2)
     good = both.withColumn("_rank", rank).where("_rank is not null")
-    return good.groupBy("id", "congress").agg(F.min(F.struct("_rank", "wid")).alias("_b")).select("id", "congress", F.col("_b.wid").alias("wid"))
+    return written(good.groupBy("id", "congress").agg(F.min(F.struct("_rank", "wid")).alias("_b")).select("id", "congress", F.col("_b.wid").alias("wid")))
 
 
 def family_seats(matched: DataFrame, winners: DataFrame, top: DataFrame) -> DataFrame:
