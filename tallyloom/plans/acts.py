@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import windows
 from ..operators.intervals import last_ended, term_of
 from ..operators.rules import ladder
+from ..operators.scratch import written
 from .laws import CONGRESSES, congress_of
 
 # --- fixed values ------------------------------------------------------------
@@ -145,6 +146,7 @@ def floor_of_acts(acts: DataFrame, floor: DataFrame) -> DataFrame:
 
     ``acts``: ``ra``, ``congress``, ``hb``, ``sb``. Adds ``third_reading_with``, the acts of the same last third reading.
     """
+    floor = written(floor)  # three branches read the records
     late = acts.where(F.col("congress") >= FLOOR_FROM)
     became = floor.select("doc", F.explode("acts").alias("ra")).join(late.select("ra"), "ra").select("ra", "doc")
     cited = late.select("ra", "congress", F.lit("SB").alias("kind"), F.explode("sb").alias("bill")).unionByName(late.select("ra", "congress", F.lit("HB").alias("kind"), F.explode("hb").alias("bill")))
@@ -152,7 +154,7 @@ def floor_of_acts(acts: DataFrame, floor: DataFrame) -> DataFrame:
     docs = became.unionByName(cited).distinct().join(floor, "doc")
     both = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
     out = docs.groupBy("ra").agg(F.array_sort(F.collect_set("doc")).alias("docs"), both("floor").alias("floor"), both("debate").alias("debate"), F.max("third").alias("third"), F.bool_or("batch").alias("batch"), F.bool_or("certified").alias("certified"))
-    return windows.count_alike(out, "third", "third_reading_with")
+    return written(windows.count_alike(out, "third", "third_reading_with"))
 
 
 def certified_by(floor: DataFrame, listed: DataFrame) -> DataFrame:
