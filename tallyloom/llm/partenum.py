@@ -16,7 +16,8 @@ Two sets with Jaccard similarity p differ by at most k = (1 - p) / (1 + p) of th
    that instance get signatures of single shingles too. Thus no link can be missed.
 5. Signatures are range-sorted with ids, so that frequent ones are dealt over tasks, and equal runs read off. Each member of
    a run is compared with the first, on full sets, unless the counts of 256 parts of the domain differ by too much already. Runs whose members these links, followed to their ends, don't unite are
-   compared further: as pairs in short ones, a few strangers with all others, else by blocks with their counts, where only pairs that may be partners are rows.
+   compared further: short ones as pairs. Near copies share many long runs, mostly with the same first member, so long runs with one first member are one crowd, where each member comes once: a few
+   strangers are compared with all others, else all by blocks with their counts, where only pairs that may be partners are rows.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from .neardup import BLOCK, _keys, _sets, components
 
 _U = np.uint64
 _GOLD = 0x9E3779B97F4A7C15
-#: Members of a run that are compared as pairs, and strangers of a longer one that are compared with all others.
+#: Members of a run that are compared as pairs, and strangers of a crowd that are compared with all others.
 FEW = 16
 #: Sizes below this are in bands whose groups are single shingles.
 SMALL = 64
@@ -293,14 +294,14 @@ def _possible(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
 
 
 def _in_crowds(rows: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members (``sig``, ``b``, ``label``; saved) of one run with different labels that may be partners.
+    """Pairs (a, b) of members (``head``, ``b``, ``label``; saved) of one crowd with different labels that may be partners.
 
-    Members come with their counts and never as pairs: a run is cut into blocks of BLOCK, and each pair of blocks is compared in a task.
+    Members come with their counts and never as pairs: a crowd is cut into blocks of BLOCK, and each pair of blocks is compared in a task.
     """
-    size = rows.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    held = rows.join(small_side(save(size)), "sig").withColumn("own", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    size = rows.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    held = rows.join(small_side(save(size)), "head").withColumn("own", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     held = held.join(counts.withColumnRenamed("rep", "b"), "b").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    held = held.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "b", "label", "n", "counts")
+    held = held.select("head", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "b", "label", "n", "counts")
 
     def compare(key, table):
         i, j = key[1].as_py(), key[2].as_py()
@@ -318,7 +319,7 @@ def _in_crowds(rows: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
         a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return held.groupBy("sig", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return held.groupBy("head", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
@@ -352,7 +353,7 @@ def _links(reps: DataFrame, source: DataFrame, width: int, percent: int, only: t
     long = runs.where("size(members) = 2 and sig is not null").select("sig", *[F.col(c)[i].alias(n) for n, c, i in (("b", "members", 1), ("nb", "sizes", 1), ("a", "members", 0), ("na", "sizes", 0))])
     single = runs.where("size(members) = 1 and sig is not null").select("sig", F.col("members")[0].alias("b"), F.col("sizes")[0].alias("nb"))
     heads = single.groupBy("sig").agg(F.min(F.struct("b", "nb")).alias("h"), F.count("*").alias("m")).where("m > 1").select("sig", F.col("h.b").alias("a"), F.col("h.nb").alias("na"))
-    many = long.unionByName(save(hub_join(single, save(heads), "sig", "b")))
+    many = save(long.unionByName(save(hub_join(single, save(heads), "sig", "b"))).select("a", "na", "b", "nb").distinct())
     others = lambda c: F.slice(c, F.lit(2), F.size(c) - 1)
     star = lists.select(F.col("members")[0].alias("a"), F.col("sizes")[0].alias("na"), F.explode(F.arrays_zip(others("members").alias("m"), others("sizes").alias("s"))).alias("o"))
     star = star.select("a", "na", F.col("o.m").alias("b"), F.col("o.s").alias("nb")).unionByName(many.where("a <> b").select("a", "na", "b", "nb"))
@@ -373,19 +374,19 @@ def _links(reps: DataFrame, source: DataFrame, width: int, percent: int, only: t
     pairs = each.select("a", "na", F.col("o.m").alias("b"), F.col("o.s").alias("nb")).where(near).select("a", "b").distinct()
     pairs = _apart(pairs, labels)
 
-    # Long runs: strangers to its largest class are compared with all others if they are few, else all by blocks.
-    member = many.join(small_side(labels).select(F.col("node").alias("_n"), "component"), F.col("b") == F.col("_n"), "left").select("sig", "a", "b", "nb", F.coalesce("component", "b").alias("label"))
+    # Crowds, the long runs of one first member: strangers to its largest class are compared with all others if they are few, else all by blocks.
+    member = many.join(small_side(labels).select(F.col("node").alias("_n"), "component"), F.col("b") == F.col("_n"), "left").select(F.col("a").alias("head"), "b", "nb", F.coalesce("component", "b").alias("label"))
     member = save(member)
-    sizes = member.groupBy("sig", "label").agg(F.count("*").alias("c")).groupBy("sig").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("top"))
-    torn = save(sizes.where("m > top.c").select("sig", "m", F.col("top.c").alias("c"), F.col("top.label").alias("label")))
-    mild = save(torn.where(F.col("m") - F.col("c") <= FEW).select("sig", F.col("label").alias("main")))
-    strangers = member.join(small_side(mild), "sig").where(F.col("label") != F.col("main")).select("sig", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("label").alias("lx"))
-    met = hub_join(member.join(small_side(mild.select("sig")), "sig", "left_semi"), strangers, "sig", "b", member).where((F.col("b") != F.col("x")) & (F.col("label") != F.col("lx")))
+    sizes = member.groupBy("head", "label").agg(F.count("*").alias("c")).groupBy("head").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("top"))
+    torn = save(sizes.where("m > top.c").select("head", "m", F.col("top.c").alias("c"), F.col("top.label").alias("label")))
+    mild = save(torn.where(F.col("m") - F.col("c") <= FEW).select("head", F.col("label").alias("main")))
+    strangers = member.join(small_side(mild), "head").where(F.col("label") != F.col("main")).select("head", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("label").alias("lx"))
+    met = hub_join(member.join(small_side(mild.select("head")), "head", "left_semi"), strangers, "head", "b", member).where((F.col("b") != F.col("x")) & (F.col("label") != F.col("lx")))
     met = met.withColumnRenamed("nx", "na").where(near).select(F.least("b", "x").alias("a"), F.greatest("b", "x").alias("b"))
     pairs = _possible(save(pairs.unionByName(met).distinct()), counts, percent)
-    wild = save(torn.where(F.col("m") - F.col("c") > FEW).select("sig"))
+    wild = save(torn.where(F.col("m") - F.col("c") > FEW).select("head"))
     if not wild.isEmpty():
-        crowd = save(member.join(small_side(wild), "sig", "left_semi").select("sig", "b", "label"))
+        crowd = save(member.join(small_side(wild), "head", "left_semi").select("head", "b", "label"))
         pairs = pairs.unionByName(_in_crowds(crowd, counts, percent)).distinct()
     pairs = save(pairs)
     more = _verified(pairs, source, width, percent)

@@ -84,6 +84,24 @@ def test_long_runs(spark, monkeypatch):
     assert ours(spark, rows) == plain(rows)
 
 
+def test_members_of_a_crowd_come_once(spark, monkeypatch):
+    """Near copies share many runs with one first member: a member is a row once beside it, however many they share."""
+    monkeypatch.setattr(partenum, "FEW", 2)
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(400)]
+    rows = [(i, " ".join(edited(rng, base, rng.choice([8, 12, 16])))) for i in range(40)]
+    seen = []
+    whole = partenum._in_crowds
+
+    def crowds(members, counts, percent):
+        seen.append((members.count(), members.select(members.columns[0], "b").distinct().count(), members.select("b").distinct().count()))
+        return whole(members, counts, percent)
+
+    monkeypatch.setattr(partenum, "_in_crowds", crowds)
+    assert ours(spark, rows) == plain(rows)
+    assert seen and all(n == once and n <= 20 * texts for n, once, texts in seen)
+
+
 def test_sets_without_rich_groups(spark, monkeypatch):
     """Where too few groups are rich, single shingles find what groups can't."""
     monkeypatch.setattr(partenum, "groups_of", lambda instance, percent: np.where(instance >= 6, 1, 0))
