@@ -15,7 +15,7 @@ Two sets with Jaccard similarity p differ by at most k = (1 - p) / (1 + p) of th
 4. A set without enough rich groups (the hash decides, so hardly any) would break the argument: where one occurs, all sets of
    that instance get signatures of single shingles too. Thus no link can be missed.
 5. Signatures are range-sorted with ids, so that frequent ones are dealt over tasks, and equal runs read off. Each member of
-   a run is compared with the first, on full sets, unless the counts of 256 parts of the domain differ by too much already. Runs whose members these links, followed to their ends, don't unite are
+   a run is compared with the first, on full sets, unless the counts of parts of the domain (256 and more) differ by too much already. Runs whose members these links, followed to their ends, don't unite are
    compared further: short ones as pairs. Near copies share many long runs, mostly with the same first member, so long runs with one first member are one crowd, where each member comes once: a few
    strangers are compared with all others, else all by blocks with their counts, where only pairs that may be partners are rows.
 """
@@ -39,8 +39,10 @@ _GOLD = 0x9E3779B97F4A7C15
 FEW = 16
 #: Sizes below this are in bands whose groups are single shingles.
 SMALL = 64
-#: Parts of the domain whose elements are counted for each set, to tell pairs that can't be partners.
-COUNTED = 256
+#: Parts of the domain whose elements are counted for each set, to tell pairs that can't be partners: at least and at most.
+COUNTED, FINEST = 256, 8192
+#: Counts that one step of their comparison may hold.
+_CELLS = 8_000_000
 #: Rows of two numbers in an Arrow batch.
 WIDE_ROWS = 1 << 16
 _SUBSETS = ((0, 1), (0, 2), (1, 2))
@@ -147,6 +149,49 @@ def signatures_of(u: np.ndarray, at: np.ndarray, n_rows: int, percent: int, only
     return row[order], sig[order], poor
 
 
+def parts_of(size: np.ndarray) -> np.ndarray:
+    """Parts whose elements are counted for sets of these sizes: doubled until a part has two elements at most. In coarser parts differences cancel out."""
+    return np.minimum(COUNTED << np.maximum(np.ceil(np.log2(np.maximum(size, 1) / (2 * COUNTED))), 0).astype(np.int64), FINEST)
+
+
+def counts_of(u: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """A byte for each part of each set (255 for more)."""
+    parts = parts_of(size)
+    edges = np.concatenate([[0], np.cumsum(parts)])
+    shift = (64 - np.log2(parts).astype(np.int64)).astype(np.uint64)
+    n = np.minimum(np.bincount(edges[at] + (u >> shift[at]).astype(np.int64), minlength=edges[-1]), 255).astype(np.uint8).tobytes()
+    return [n[i:j] for i, j in zip(edges, edges[1:], strict=False)]
+
+
+def _folded(counts: list[bytes], parts: int) -> np.ndarray:
+    """Counts of so many parts, made of counts of as many or more."""
+    out = np.empty((len(counts), parts), dtype=np.int16)
+    length = np.array([len(c) for c in counts], dtype=np.int64)
+    for n in np.unique(length):
+        rows = np.flatnonzero(length == n)
+        held = np.frombuffer(b"".join(counts[i] for i in rows.tolist()), dtype=np.uint8).reshape(len(rows), parts, n // parts)
+        out[rows] = held.sum(axis=2, dtype=np.int16)
+    return out
+
+
+def may_link(counts: list[bytes], size: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether rows x and y, pair by pair, differ by no more elements than partners may, in parts as fine as both have."""
+    good = np.zeros(len(x), dtype=bool)
+    length = np.array([len(c) for c in counts], dtype=np.int64)
+    both = np.minimum(length[x], length[y])
+    for parts in np.unique(both):
+        pairs = np.flatnonzero(both == parts)
+        used, place = np.unique(np.concatenate([x[pairs], y[pairs]]), return_inverse=True)
+        held = _folded([counts[i] for i in used.tolist()], int(parts))
+        left, right = place[: len(pairs)], place[len(pairs) :]
+        step = max(1, _CELLS // int(parts))
+        for i in range(0, len(pairs), step):
+            a, b = left[i : i + step], right[i : i + step]
+            total = size[used[a]] + size[used[b]]
+            good[pairs[i : i + step]] = np.abs(held[a] - held[b]).sum(axis=1, dtype=np.int64) <= (100 - percent) * total // (100 + percent)
+    return good
+
+
 def set_keys(source: DataFrame, width: int) -> DataFrame:
     """``doc_id``, ``n_shingles`` and a 128-bit key of each document's set."""
 
@@ -161,7 +206,7 @@ def set_keys(source: DataFrame, width: int) -> DataFrame:
 
 
 def signatures(source: DataFrame, width: int, percent: int, only: tuple[int, ...] = ()) -> DataFrame:
-    """``rep``, ``n``, its key, ``sigs``, ``poor`` (instances) and ``counts`` (a byte for each of COUNTED parts, 255 for more) of each document."""
+    """``rep``, ``n``, its key, ``sigs``, ``poor`` (instances) and ``counts`` of each document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,14 +214,13 @@ def signatures(source: DataFrame, width: int, percent: int, only: tuple[int, ...
                 where = np.searchsorted(at, np.arange(n + 1))
                 one, two = _keys(u, where)
                 row, sig, poor = signatures_of(u, at, n, percent, only)
-                part = np.bincount(at * COUNTED + (u >> _U(56)).astype(np.int64), minlength=n * COUNTED)
-                counts = np.minimum(part, 255).astype(np.uint8).reshape(n, COUNTED)
+                counts = counts_of(u, at, np.diff(where))
                 lists = [[] for _ in range(n)]
                 for r, t in poor:
                     lists[r].append(t)
                 edges = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), pa.array(np.diff(where), pa.int64()), pa.array(one), pa.array(two), pa.ListArray.from_arrays(edges, pa.array(sig.view(np.int64))), pa.array(lists, pa.list_(pa.int32())), pa.array([c.tobytes() for c in counts], pa.binary())],
+                    [batch.column(0).slice(first, n), pa.array(np.diff(where), pa.int64()), pa.array(one), pa.array(two), pa.ListArray.from_arrays(edges, pa.array(sig.view(np.int64))), pa.array(lists, pa.list_(pa.int32())), pa.array(counts, pa.binary())],
                     names=["rep", "n", "key1", "key2", "sigs", "poor", "counts"],
                 )
 
@@ -283,11 +327,13 @@ def _possible(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, COUNTED).astype(np.int16) for i in (3, 5))
-            size = batch.column(2).to_numpy() + batch.column(4).to_numpy()
-            good = np.abs(a - b).sum(axis=1) <= (100 - percent) * size // (100 + percent)
+            n = batch.num_rows
+            size = np.concatenate([batch.column(2).to_numpy(), batch.column(4).to_numpy()])
+            good = may_link(batch.column(3).to_pylist() + batch.column(5).to_pylist(), size, np.arange(n), np.arange(n, 2 * n), percent)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
 
+    ids = save(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    counts = counts.join(small_side(ids), "rep", "left_semi")
     side = lambda c: counts.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}"))
     both = hub_join(pairs.join(side("b"), "b"), side("a"), "a", "b", pairs).select("a", "b", "na", "ca", "nb", "cb")
     return both.mapInArrow(work, "a long, b long").distinct()
@@ -300,13 +346,14 @@ def _in_crowds(rows: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
     """
     size = rows.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     held = rows.join(small_side(save(size)), "head").withColumn("own", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
-    held = held.join(counts.withColumnRenamed("rep", "b"), "b").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = save(rows.select(F.col("b").alias("rep")).distinct())
+    held = held.join(counts.join(small_side(members), "rep", "left_semi").withColumnRenamed("rep", "b"), "b").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     held = held.select("head", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "b", "label", "n", "counts")
 
     def compare(key, table):
         i, j = key[1].as_py(), key[2].as_py()
         own, rep, label, n = (table[c].to_numpy() for c in ("own", "b", "label", "n"))
-        parts = np.frombuffer(b"".join(table["counts"].to_pylist()), dtype=np.uint8).reshape(-1, COUNTED).astype(np.int16)
+        parts = table["counts"].to_pylist()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         found = []
         for at in range(0, len(left), 32):
@@ -314,7 +361,7 @@ def _in_crowds(rows: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
             small, large = np.minimum(n[some][:, None], n[right][None]), np.maximum(n[some][:, None], n[right][None])
             x, y = np.nonzero((label[some][:, None] != label[right][None]) & (100 * small >= percent * large) & ((i != j) | (rep[some][:, None] < rep[right][None])))
             x, y = some[x], right[y]
-            good = np.abs(parts[x] - parts[y]).sum(axis=1) <= (100 - percent) * (n[x] + n[y]) // (100 + percent)
+            good = may_link(parts, n, x, y, percent)
             found.append(np.stack([np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])])[:, good])
         a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})

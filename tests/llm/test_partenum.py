@@ -134,6 +134,26 @@ def test_partners_share_a_signature():
                     assert len(np.intersect1d(sig[row == 0], sig[row == 1])), (size, percent)
 
 
+def test_counts_tell_large_sets_apart():
+    """Counts lose no partner, and tell most other pairs apart in large sets too, where 256 parts don't."""
+    rng = np.random.default_rng(5)
+    for size in (30, 300, 520, 1000, 3000, 6000, 40000):
+        base = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64)) << np.uint64(1)
+        sets = [base]
+        for share in (0.95, 0.9, 0.82, 0.75, 0.6):
+            keep = base[rng.permutation(len(base))[: int(len(base) * share)]]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(0, 2**63, int(len(base) * (1 - share)), dtype=np.uint64) << np.uint64(1)])))
+        n = np.array([len(x) for x in sets])
+        counts = partenum.counts_of(np.concatenate(sets), np.repeat(np.arange(len(sets)), n), n)
+        x, y = (np.array(v) for v in zip(*combinations(range(len(sets)), 2), strict=True))
+        good = partenum.may_link(counts, n, x, y, 80)
+        for i, j, g in zip(x, y, good, strict=True):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            alike = 100 * common / (n[i] + n[j] - common)
+            assert g or alike < 80, (size, i, j)
+            assert not g or alike >= 65 or size > 2 * partenum.FINEST, (size, i, j, alike)
+
+
 def test_runs_of_a_range():
     """Whatever the batches, members meet the same first one, and only the outer runs stay open."""
     import pyarrow as pa
