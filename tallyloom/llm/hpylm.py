@@ -92,23 +92,29 @@ def seat(c: np.ndarray, p: np.ndarray, others: np.ndarray, d: float, keys: np.nd
     next opens one with weight ``(THETA + d (others + t)) p`` and joins one with ``n - d t``. They come in runs of a
     RUN-th of those already seated, one by one at first; chances are the same within a run.
     """
-    t = np.minimum(c, 1).astype(np.int64)
+    out = np.minimum(c, 1).astype(np.int64)
     live = np.flatnonzero(c > 1)
-    n, turn = 1, 0
-    while len(live):
+    # The most customers first: those still to come are of the first few then, so nothing is copied from turn to turn.
+    less = -c[live].astype(np.int64)
+    order = np.argsort(less, kind="stable")
+    live, less = live[order], less[order]
+    p, others, keys, t = p[live], others[live], keys[live], out[live]
+    n, turn, k = 1, 0, len(live)
+    while k:
         run = 1 + n // RUN
-        a = (THETA + d * (others[live] + t[live])) * p[live]
-        q = a / (a + np.maximum(n - d * t[live], 1e-9))
-        u = _uniform(keys[live], salt * 0x51ED2701 + turn * _GOLD)
+        a = (THETA + d * (others[:k] + t[:k])) * p[:k]
+        q = a / (a + np.maximum(n - d * t[:k], 1e-9))
+        u = _uniform(keys[:k], salt * 0x51ED2701 + turn * _GOLD)
         if run == 1:
-            t[live] += u < q
+            t[:k] += u < q
         else:
-            m = np.minimum(run, c[live] - n)
-            t[live] += np.minimum(m, _binomial(m, q, u, _uniform(keys[live], salt * 0x51ED2701 + turn * _GOLD + 1)))
+            m = np.minimum(run, -less[:k] - n)
+            t[:k] += np.minimum(m, _binomial(m, q, u, _uniform(keys[:k], salt * 0x51ED2701 + turn * _GOLD + 1)))
         n += run
-        live = live[c[live] > n]
+        k = int(np.searchsorted(less, -n))
         turn += 1
-    return t
+    out[live] = t
+    return out
 
 
 def discount(n1: int, n2: int) -> float:
@@ -218,7 +224,8 @@ def _pack(**values: np.ndarray | bytes | int) -> bytes:
             return v
         if v.dtype.kind in "iu" and v.min() >= 0:
             v = v.astype(np.min_scalar_type(int(v.max())))
-        return v.dtype.str, np.ascontiguousarray(v).view(np.uint8).reshape(len(v), -1).T.tobytes()
+        raw = np.ascontiguousarray(v).view(np.uint8).reshape(len(v), -1)
+        return v.dtype.str, b"".join(raw[:, k].tobytes() for k in range(raw.shape[1]))
 
     raw = pickle.dumps({k: planes(v) for k, v in values.items()}, protocol=5)
     return len(raw).to_bytes(8, "little") + bytes(pa.Codec("zstd", 1).compress(raw))
@@ -229,7 +236,10 @@ def _unpack(data: bytes) -> dict:
         if not isinstance(v, tuple):
             return v
         size = np.dtype(v[0]).itemsize
-        return np.frombuffer(np.frombuffer(v[1], np.uint8).reshape(size, -1).T.tobytes(), v[0])
+        raw = np.empty((len(v[1]) // size, size), np.uint8)
+        for k, plane in enumerate(np.frombuffer(v[1], np.uint8).reshape(size, -1)):
+            raw[:, k] = plane
+        return raw.reshape(-1).view(v[0])
 
     raw = pickle.loads(pa.Codec("zstd", 1).decompress(data[8:], int.from_bytes(data[:8], "little")))
     return {k: whole(v) for k, v in raw.items()}
@@ -346,7 +356,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], folder: str, buckets: int) -> Ite
         for doc_id, text, held in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             found = (text or "").encode("utf-8", "surrogatepass").lower().split()
             found.append(b"")
-            parts.append(np.array(list(map(number.__getitem__, found)), dtype=np.int32))
+            parts.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)))
             docs.append((doc_id, held, len(found)))
             tokens += len(found)
             if tokens >= BLOCK_TOKENS:
@@ -448,7 +458,8 @@ def _start(key: tuple, left: pa.Table, right: pa.Table, folder: str, buckets: in
     right = right.sort_by("bucket")
     said = [_unpack(x) for x in right["words"].to_pylist()]
     back = [_unpack(x) for x in right["pairs"].to_pylist()]
-    pair = np.unique(_pair_codes(d["ids"], m))
+    pair = np.sort(_pair_codes(d["ids"], m))  # np.unique would hash all tokens first
+    pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])]
     u, w = np.divmod(pair, m)
     hashed = _pair_hash(h, u, w)
     by = np.argsort(hashed)

@@ -456,6 +456,19 @@ def test_seating_follows_the_restaurant():
     assert (hpylm.seat(c[order], np.full(200, p), np.full(200, others), d, keys[:200][order], 3) == t[order]).all()
 
 
+def test_seating_copies_nothing_from_turn_to_turn(monkeypatch):
+    """Customers still to come are the first few of one array, and come as one by one in any order."""
+    rng = np.random.default_rng(2)
+    n = 3000
+    c, p, others, keys = np.minimum(rng.zipf(1.3, n), 20_000), rng.random(n) * 0.01, rng.integers(0, 2000, n), rng.integers(0, 2**63, n, dtype=np.uint64)
+    alone = np.concatenate([hpylm.seat(c[i : i + 1], p[i : i + 1], others[i : i + 1], 0.7, keys[i : i + 1], 3) for i in range(0, n, 30)])
+    seen, real = [], hpylm._uniform
+    monkeypatch.setattr(hpylm, "_uniform", lambda k, salt: (seen.append(k), real(k, salt))[1])
+    assert (hpylm.seat(c, p, others, 0.7, keys, 3)[::30] == alone).all()
+    assert len(seen) > 24 and all(np.shares_memory(k, seen[0]) for k in seen)
+
+
+
 def test_language_model_does_not_depend_on_partitions(spark, documents, monkeypatch):
     monkeypatch.setattr(hpylm, "BLOCK_TOKENS", 9000)
     found = []
